@@ -1,0 +1,4 @@
+"""Intentionally empty: the feature set is batch only (no watermark, window or state operators).
+
+Slices are re-run incrementally through :mod:`tradelattice.sources.slices`.
+"""
