@@ -7,6 +7,7 @@ of every grouping and join, so all years run in one plan. Definitions follow the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -304,12 +305,13 @@ class Complexity:
 
 def compute_complexity(
     trade: DataFrame, year: int | None = None, threshold: float = 1.0, include_self: bool = False,
-    country_score: DataFrame | None = None, score: str = "eci_raw",
+    country_score: Callable[[DataFrame], DataFrame] | None = None, score: str = "eci_raw",
 ) -> Complexity:
     """All metrics: year, iso3, hs4, export_value, rca, mcp, eci, pci, density, coi, cog, diversity, ubiquity.
 
     The cells, the presence table and the proximities are written once to the shared folder, because
-    several branches read them. ``country_score`` replaces the eigenvector scores behind PCI.
+    several branches read them. ``country_score`` maps the presence table to the scores behind PCI, in place
+    of the eigenvector.
     """
     cells = stage(trade_cells(trade, year), "cells")
     packs = B.blocks_for(B.axis_sizes(cells, products="hs4")["products"])
@@ -318,7 +320,7 @@ def compute_complexity(
     axes = Axes.of(m)
     phi = stage(proximity(m, axes), "proximity")
     countries = stage(eci(m, axes), "eci")
-    products = pci(m, country_score or countries, score)
+    products = stage(pci(m, country_score(m) if country_score else countries, score), "pci")
     near = nearness(m, phi, axes, products)
     table = (
         base.join(near, ["year", "iso3", "hs4"], "left")

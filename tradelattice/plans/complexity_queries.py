@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tradelattice.operators import complexity as C, profiles as A
 from tradelattice.operators.ordering import top_k
-from tradelattice.plans.registry import SHARED, query, r, rounded
+from tradelattice.plans.registry import SHARED, query, r, r6, rounded
 from tradelattice.session import stage
 
 FOCUS = "N03"
@@ -81,9 +81,7 @@ def present(t):
 
 def reflected(t):
     """All metrics with the reflections score behind PCI, so that SQL can follow them."""
-    return C.compute_complexity(
-        t.exports, country_score=C.reflections(C.presence(adv(t)), 2), score="k"
-    )
+    return C.compute_complexity(t.exports, country_score=lambda m: C.reflections(m, 2), score="k")
 
 
 @query("trade_grid", f"SELECT year, iso3, hs4, {r('export_value')} AS export_value FROM {{grid_cells}}")
@@ -161,18 +159,18 @@ def reflections_query(t):
     return rounded(C.reflections(C.presence(adv(t)), 2))
 
 
-@query("pci", f"SELECT year, hs4, {r('pci')} AS pci FROM {{pcir}}")
+@query("pci", f"SELECT year, hs4, {r6('pci')} AS pci FROM {{pcir}}")
 def pci_query(t):
     m = present(t)
     return rounded(C.pci(m, C.reflections(m, 2), "k"))
 
 
-@query("coi", f"SELECT year, iso3, {r('coi')} AS coi FROM {{coir}}")
+@query("coi", f"SELECT year, iso3, {r6('coi')} AS coi FROM {{coir}}")
 def coi_query(t):
     return rounded(reflected(t).table.groupBy("year", "iso3").agg(F.max("coi").alias("coi")))
 
 
-@query("cog", f"SELECT year, iso3, hs4, {r('cog')} AS cog FROM {{outlook}} WHERE mcp = 0")
+@query("cog", f"SELECT year, iso3, hs4, {r6('cog')} AS cog FROM {{outlook}} WHERE mcp = 0")
 def cog_query(t):
     table = stage(grid_adv(t), "advantage")
     m = C.presence(table)
@@ -184,7 +182,7 @@ def cog_query(t):
 
 @query("complexity", f"""
     SELECT o.year, o.iso3, o.hs4, {r('o.export_value')} AS export_value, {r('o.rca')} AS rca, o.mcp::INT AS mcp,
-           {r('o.pci')} AS pci, {r('o.density')} AS density, {r('c.coi')} AS coi, {r('o.cog')} AS cog,
+           {r6('o.pci')} AS pci, {r('o.density')} AS density, {r6('c.coi')} AS coi, {r6('o.cog')} AS cog,
            coalesce(a.k, 0)::BIGINT AS diversity, coalesce(b.k, 0)::BIGINT AS ubiquity
     FROM {{outlook}} o JOIN {{coir}} c USING (year, iso3) LEFT JOIN {{kc}} a USING (year, iso3)
          LEFT JOIN {{kp}} b USING (year, hs4)""")
@@ -210,7 +208,7 @@ def country_complexity_query(t):
 
 
 @query("product_complexity", f"""
-    SELECT p.year, p.hs4, {r('q.pci')} AS pci, p.k::BIGINT AS ubiquity FROM {{kp}} p JOIN {{pcir}} q USING (year, hs4)""")
+    SELECT p.year, p.hs4, {r6('q.pci')} AS pci, p.k::BIGINT AS ubiquity FROM {{kp}} p JOIN {{pcir}} q USING (year, hs4)""")
 def product_complexity_query(t):
     return rounded(C.product_complexity(reflected(t).table).where("ubiquity > 0"))
 
@@ -223,7 +221,7 @@ def density_matrix(t):
 @query("complexity_report", f"""
     SELECT 'diversity' AS item, NULL AS label, sum(mcp)::DOUBLE AS value, NULL::DOUBLE AS pci FROM {{focus_now}}
     UNION ALL SELECT 'products_with_rca', NULL, sum(mcp)::DOUBLE, NULL FROM {{focus_now}}
-    UNION ALL SELECT 'nearest_product', hs4, {r('density')}, {r('pci')}
+    UNION ALL SELECT 'nearest_product', hs4, {r('density')}, {r6('pci')}
               FROM (SELECT * FROM {{focus_now}} WHERE mcp = 0 ORDER BY density DESC NULLS LAST, hs4 LIMIT 10)""")
 def complexity_report_query(t):
     return rounded(A.complexity_report(reflected(t).table, FOCUS)).where("item <> 'eci'")

@@ -29,14 +29,23 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return register
 
 
-def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+# Columns that come out of standardised scores carry more rounding noise than plain ratios.
+COARSE = {"pci", "cog", "coi", "score", "predicted_value", "gravity_pred"}
+
+
+def rounded(df: DataFrame, digits: int = 8, coarse: int = 6) -> DataFrame:
     """Doubles rounded for comparison across engines."""
     return df.select(*[
-        F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        F.round(f.name, coarse if f.name in COARSE else digits).alias(f.name)
+        if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields
     ])
 
 
-def r(expression: str, digits: int = 9) -> str:
+def r(expression: str, digits: int = 8) -> str:
     """The same rounding in SQL, without negative zero."""
     return f"(round({expression}, {digits}) + 0.0)"
+
+
+def r6(expression: str) -> str:
+    return r(expression, 6)

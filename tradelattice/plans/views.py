@@ -77,7 +77,7 @@ VIEWS = {
                     WHEN hs4 LIKE '302%' THEN 'XXXX' ELSE hs4 END AS product_hs92_code,
                CASE WHEN hs4 LIKE '400%' THEN 'abc' WHEN hs4 LIKE '401%' THEN NULL WHEN hs4 LIKE '402%' THEN '1d'
                     ELSE CAST(CAST(export_value AS DECIMAL(18,2)) AS STRING) END AS export_value,
-               CAST(CAST(export_value / 2 AS DECIMAL(18,2)) AS STRING) AS import_value,
+               CAST(CAST(export_value * 2 AS DECIMAL(18,2)) AS STRING) AS import_value,
                hs4 AS product_id, '0.25' AS distance
         FROM {exports}""",
     "raw_flows": """
