@@ -138,15 +138,14 @@ def block_product(
 
 
 def grid(rows: DataFrame, columns: DataFrame, keys: Sequence[str], row: str, column: str, packs: int = 1) -> DataFrame:
-    """Complete (row, column) grid per key.
+    """Complete (row, column) grid per key, or of the two lists where there is no key.
 
-    The columns are packed into ``packs`` arrays of bounded length; each row meets the packs of its key
-    by an equi join and unpacks them in place, so the grid itself is never shuffled.
+    The columns are packed into ``packs`` arrays of bounded length; each row meets every pack of its key
+    by an equi join on (key, pack) and unpacks it in place, so the grid itself is never shuffled.
     """
-    packed = (
-        columns.select(*keys, column).withColumn("_pack", block_of(column, packs))
-        .groupBy(*keys, "_pack").agg(F.collect_set(column).alias("_ids"))
-    )
-    return rows.select(*keys, row).distinct().join(packed, list(keys)).select(
-        *keys, row, F.explode("_ids").alias(column)
+    pack = F.pmod(F.hash(F.col(column)), F.lit(packs))
+    packed = columns.select(*keys, column, pack.alias("_pack")).groupBy(*keys, "_pack").agg(
+        F.collect_set(column).alias("_ids")
     )
+    asked = rows.select(*keys, row).distinct().withColumn("_pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    return asked.join(packed, [*keys, "_pack"]).select(*keys, row, F.explode("_ids").alias(column))

@@ -16,6 +16,11 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def top_k_ranked(df: DataFrame, order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
+    """First ``k`` rows with their rank; only those ``k`` rows are numbered together."""
+    return top_k(df, order, k).withColumn(rank, F.row_number().over(Window.orderBy(*order)))
+
+
 def top_k_per(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank"
 ) -> DataFrame:

@@ -111,16 +111,11 @@ def csv_gravity(t):
     return tables.read_gravity(t.spark, path, YEARS)
 
 
-def _sliced(t):
-    folder = scratch_path(t.spark, "slices")
-    slices.write_slices(t.raw_totals.withColumn("flow", F.lit("X")), folder, "reporterCode", "flow", "Period", 4, "0")
-    slices.write_slices(t.raw_flows, folder, "reporterCode", "flowCode", "period", 4, "all")
-    return folder
-
-
 @query("slice_scan", "SELECT Period AS \"Period\", reporterCode AS \"reporterCode\", cmdCode AS \"cmdCode\", fobvalue FROM {raw_totals}")
 def slice_scan(t):
-    return slices.read_slices(t.spark, _sliced(t), "totals").select("Period", "reporterCode", "cmdCode", "fobvalue")
+    folder = scratch_path(t.spark, "slices")
+    slices.write_slices(t.raw_totals.withColumn("flow", F.lit("X")), folder, "reporterCode", "flow", "Period", 4, "0")
+    return slices.read_slices(t.spark, folder, "totals").select("Period", "reporterCode", "cmdCode", "fobvalue")
 
 
 @query("slice_keys", """
@@ -128,7 +123,9 @@ def slice_scan(t):
            4::INT AS slice_level, 'all' AS slice_partner, count(*)::BIGINT AS n
     FROM {raw_flows} GROUP BY ALL""")
 def slice_keys(t):
-    df = slices.with_slice_keys(slices.read_slices(t.spark, _sliced(t), "bilateral"))
+    folder = scratch_path(t.spark, "slices")
+    slices.write_slices(t.raw_flows, folder, "reporterCode", "flowCode", "period", 4, "all")
+    df = slices.with_slice_keys(slices.read_slices(t.spark, folder, "bilateral"))
     return df.groupBy("slice_reporter", "slice_flow", "slice_year", "slice_level", "slice_partner").agg(
         F.count(F.lit(1)).alias("n")
     )

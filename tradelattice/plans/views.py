@@ -7,9 +7,13 @@ brand), year = year of shipment. ``{name}`` stands for another table or view.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tradelattice.session import scratch_path
+from tradelattice.sources.tables import materialise
+
 TABLES = ["nation", "region", "supplier", "customer", "part", "orders", "lineitem", "embeddings"]
 
 _HS = """CASE p.p_type WHEN 'ECONOMY' THEN '1' WHEN 'LARGE' THEN '2' WHEN 'MEDIUM' THEN '3' WHEN 'PROMO' THEN '4'
@@ -28,6 +32,10 @@ VIEWS = {
     "products": f"""
         SELECT {_HS} AS hs4, max(p.p_type || ' ' || p.p_brand) AS product_name, max(p.p_type) AS section
         FROM {{part}} p GROUP BY 1""",
+    "sections": """
+        SELECT substr(hs4, 1, 1) AS code, max(section) AS name, CAST(substr(hs4, 1, 1) || '0' AS INT) AS hs2_from,
+               CAST(substr(hs4, 1, 1) || '2' AS INT) AS hs2_to
+        FROM {products} GROUP BY 1""",
     "exports": f"""
         SELECT CAST(year(l.l_shipdate) AS INT) AS year, {_iso('s.s_nationkey')} AS iso3, {_HS} AS hs4,
                CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS export_value
@@ -121,6 +129,7 @@ VIEWS = {
 }
 
 FORMATTER = string.Formatter()
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 def references(sql: str) -> list[str]:
@@ -133,6 +142,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder, self._made = spark, folder, {}
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table written once per session and folder, then read by every query that needs it."""
+        place = (self.spark.sparkContext.applicationId, self.folder, name)
+        if place not in _STORED:
+            _STORED[place] = scratch_path(self.spark, name)
+        return materialise(self.spark, _STORED[place], build)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in VIEWS:
