@@ -58,14 +58,20 @@ def negatives(candidates: DataFrame, positives: DataFrame, ratio: int = 1, seed:
     """``ratio`` negative pairs per positive of each split: (src, dst, split).
 
     Candidates that are positive in any split are excluded. The rest is put in hash order and cut into
-    consecutive runs, one per split, so no pair is a negative of two splits.
+    consecutive runs, one per split, so no pair is a negative of two splits. Where fewer pairs are left
+    than asked for, all are used and shared in the same proportions.
     """
     free = candidates.select("src", "dst").distinct().join(positives, ["src", "dst"], "left_anti")
     order = [F.col("_key"), F.col("src"), F.col("dst")]
     numbered = ranked(free.withColumn("_key", shuffle_key("src", "dst", seed=seed)), order, rank="_n")
-    need = positives.agg(*[(F.count_if(F.col("split") == s) * ratio).alias(s) for s in SPLITS]).first()
-    upto = [need["train"], need["train"] + need["val"], need["train"] + need["val"] + need["test"]]
-    split = F.when(F.col("_n") <= upto[0], "train").when(F.col("_n") <= upto[1], "val").when(F.col("_n") <= upto[2], "test")
+    left = numbered.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n")).first()["n"]
+    counts = positives.agg(*[(F.count_if(F.col("split") == s) * ratio).alias(s) for s in SPLITS]).first()
+    total = sum(counts)
+    split, upto = None, 0
+    for name in SPLITS:
+        upto += counts[name]
+        bound = F.col("_n") <= (upto if left >= total else upto * left // max(total, 1))
+        split = F.when(bound, name) if split is None else split.when(bound, name)
     return numbered.select("src", "dst", split.alias("split")).where("split IS NOT NULL")
 
 

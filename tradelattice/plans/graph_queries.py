@@ -67,12 +67,14 @@ SHARED.update({
     "allpairs": "SELECT c.iso3 AS src, p.hs4 AS dst FROM (SELECT DISTINCT iso3 FROM {cells}) c, (SELECT DISTINCT hs4 FROM {cells}) p",
 })
 SHARED["neg"] = """
-    SELECT src, dst, CASE WHEN n <= c.train THEN 'train' WHEN n <= c.train + c.val THEN 'val' ELSE 'test' END AS split
-    FROM (SELECT src, dst, row_number() OVER (ORDER BY md5(src || '|' || dst || '|42'), src, dst) AS n
-          FROM {allpairs} a WHERE NOT EXISTS (SELECT 1 FROM {pos} p WHERE p.src = a.src AND p.dst = a.dst)),
-         (SELECT count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val,
-                 count(*) AS total FROM {pos}) c
-    WHERE n <= c.total"""
+    SELECT src, dst, CASE WHEN n <= c.train * c.free // c.total THEN 'train'
+                          WHEN n <= (c.train + c.val) * c.free // c.total THEN 'val' ELSE 'test' END AS split
+    FROM (SELECT src, dst, row_number() OVER (ORDER BY md5(src || '|' || dst || '|42'), src, dst) AS n FROM {freepairs}),
+         (SELECT count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) AS total,
+                 least(count(*), (SELECT count(*) FROM {freepairs})) AS free FROM {pos}) c
+    WHERE n <= c.free"""
+SHARED["freepairs"] = """
+    SELECT src, dst FROM {allpairs} a WHERE NOT EXISTS (SELECT 1 FROM {pos} p WHERE p.src = a.src AND p.dst = a.dst)"""
 
 
 def reflected_table(t):
