@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 NUMERIC_TEXT = r"\A\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*\z"
 
+WHOLE_TEXT = r"\A\s*[+-]?[0-9]+(\.0*)?\s*\z"
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -66,9 +68,10 @@ def to_whole(df: DataFrame, columns: Iterable[str]) -> DataFrame:
             continue
         if isinstance(kind, T.IntegralType):
             changed[name] = F.col(name).try_cast("int")
+        elif isinstance(kind, T.StringType):
+            changed[name] = F.when(F.col(name).rlike(WHOLE_TEXT), F.trim(name).try_cast("double").try_cast("int"))
         else:
-            number = parse_number(F.col(name).cast("string"))
-            changed[name] = F.when(number == F.floor(number), number.try_cast("int"))
+            changed[name] = F.when(F.col(name) == F.floor(name), F.col(name).try_cast("int"))
     return df.withColumns(changed) if changed else df
 
 

@@ -124,15 +124,15 @@ def proximity_sums(phi: DataFrame) -> DataFrame:
     return phi.groupBy("year", F.col("hs4_j").alias("hs4")).agg(F.sum("proximity").alias("phi_sum"))
 
 
-def nearness(m: DataFrame, phi: DataFrame, axes: Axes, pci: DataFrame | None = None) -> DataFrame:
-    """Sums over the products j a country has: ``near`` of phi_jp and, given PCI, ``held`` of phi_jp PCI_j / phi_sum_j."""
+def nearness(m: DataFrame, phi: DataFrame, axes: Axes, products: DataFrame | None = None) -> DataFrame:
+    """Sums over the products j a country has: ``near`` of phi_jp and ``held`` of phi_jp PCI_j / phi_sum_j.
+
+    ``held`` needs ``products`` (year, hs4, pci, phi_sum).
+    """
     weights = phi.select("year", F.col("hs4_i").alias("j"), F.col("hs4_j").alias("hs4"), "proximity")
     outputs = {"near": "proximity"}
-    if pci is not None:
-        scale = (
-            proximity_sums(phi).join(pci.select("year", "hs4", "pci"), ["year", "hs4"], "left")
-            .select("year", F.col("hs4").alias("j"), F.try_divide("pci", "phi_sum").alias("_s"))
-        )
+    if products is not None:
+        scale = products.select("year", F.col("hs4").alias("j"), F.try_divide("pci", "phi_sum").alias("_s"))
         weights = weights.join(scale, ["year", "j"], "left").withColumn(
             "gain", F.coalesce(F.col("proximity") * F.col("_s"), F.lit(0.0))
         )
@@ -197,11 +197,13 @@ def _second_vector(year: pd.DataFrame) -> pd.DataFrame:
             raw = -raw
         spread = raw.std()
         eci = (raw - raw.mean()) / spread if spread > 0 else eci
-    return pd.DataFrame({"year": year["year"].iloc[0], "iso3": names, "eci_raw": raw, "eci": eci})
+    return pd.DataFrame({
+        "year": year["year"].iloc[0], "iso3": names, "eci_raw": raw, "eci": eci, "diversity": k.astype("int64"),
+    })
 
 
 def eci(m: DataFrame, axes: Axes | None = None) -> DataFrame:
-    """Economic complexity index per country: (year, iso3, eci_raw, eci).
+    """Economic complexity index per country: (year, iso3, eci_raw, eci, diversity).
 
     The second eigenvector of W = (1/k_c) sum_p M_cp M_dp / k_p, oriented to correlate with diversity and
     standardised. The sums over products run in Spark; what is left per year is one number per pair of
@@ -213,23 +215,23 @@ def eci(m: DataFrame, axes: Axes | None = None) -> DataFrame:
         raise ValueError(f"{axes.countries} countries; the dense solve takes up to {MAX_DENSE_COUNTRIES}")
     k = diversity(m).select("year", F.col("iso3").alias("c"), F.col("diversity").cast("double").alias("k_c"))
     pairs = country_similarity(m, axes).join(k, ["year", "c"])
-    schema = "year int, iso3 string, eci_raw double, eci double"
+    schema = "year int, iso3 string, eci_raw double, eci double, diversity long"
     solved = pairs.groupBy("year").applyInPandas(_second_vector, schema)
-    return solved.select("year", "iso3", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("eci_raw", "eci")])
+    return solved.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("eci_raw", "eci")})
 
 
 def pci(m: DataFrame, country_score: DataFrame, score: str = "eci_raw") -> DataFrame:
     """Product complexity: mean score of the countries with the product, standardised over products.
 
-    (year, hs4, pci).
+    (year, hs4, pci, ubiquity).
     """
     q = (
         m.join(country_score.select("year", "iso3", score), ["year", "iso3"])
-        .groupBy("year", "hs4").agg(F.avg(score).alias("q"))
+        .groupBy("year", "hs4").agg(F.avg(score).alias("q"), F.count(F.lit(1)).alias("ubiquity"))
     )
     spread = q.groupBy("year").agg(F.avg("q").alias("_m"), F.stddev_pop("q").alias("_s"))
     return q.join(spread, "year").select(
-        "year", "hs4", F.try_divide(F.col("q") - F.col("_m"), F.col("_s")).alias("pci")
+        "year", "hs4", F.try_divide(F.col("q") - F.col("_m"), F.col("_s")).alias("pci"), "ubiquity"
     )
 
 
@@ -253,8 +255,11 @@ def reflections(m: DataFrame, levels: int = 2) -> DataFrame:
 
 def coi(table: DataFrame) -> DataFrame:
     """Complexity outlook per country: sum of density x PCI over the products it lacks: (year, iso3, coi)."""
-    gain = F.when(F.col("mcp") == 0, F.col("density") * F.col("pci"))
-    return table.groupBy("year", "iso3").agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("coi"))
+    return table.groupBy("year", "iso3").agg(F.coalesce(F.sum(_open_gain()), F.lit(0.0)).alias("coi"))
+
+
+def _open_gain() -> Column:
+    return F.when(F.col("mcp") == 0, F.col("density") * F.col("pci"))
 
 
 def outlook_gain(table: DataFrame, phi: DataFrame, axes: Axes | None = None) -> DataFrame:
@@ -265,7 +270,7 @@ def outlook_gain(table: DataFrame, phi: DataFrame, axes: Axes | None = None) ->
     only the sparse part is multiplied.
     """
     m = presence(table)
-    products = one_per_key(table, ["year", "hs4"], ["pci"])
+    products = one_per_key(table, ["year", "hs4"], ["pci"]).join(proximity_sums(phi), ["year", "hs4"], "left")
     held = nearness(m, phi, axes or Axes.of(m), products).select("year", "iso3", "hs4", "held")
     return _with_cog(
         table.join(held, ["year", "iso3", "hs4"], "left").join(_reach(phi, products), ["year", "hs4"], "left")
@@ -274,9 +279,7 @@ def outlook_gain(table: DataFrame, phi: DataFrame, axes: Axes | None = None) ->
 
 def _reach(phi: DataFrame, products: DataFrame) -> DataFrame:
     """sum over all p' of phi_pp' PCI_p' / phi_sum_p': (year, hs4, reach)."""
-    scale = proximity_sums(phi).join(products.select("year", "hs4", "pci"), ["year", "hs4"], "left").select(
-        "year", F.col("hs4").alias("hs4_j"), F.try_divide("pci", "phi_sum").alias("_s")
-    )
+    scale = products.select("year", F.col("hs4").alias("hs4_j"), F.try_divide("pci", "phi_sum").alias("_s"))
     return (
         phi.join(scale, ["year", "hs4_j"], "left").groupBy("year", F.col("hs4_i").alias("hs4"))
         .agg(F.sum(F.col("proximity") * F.col("_s")).alias("reach"))
@@ -309,31 +312,28 @@ def compute_complexity(
 ) -> Complexity:
     """All metrics: year, iso3, hs4, export_value, rca, mcp, eci, pci, density, coi, cog, diversity, ubiquity.
 
-    The cells, the presence table and the proximities are written once to the shared folder, because
-    several branches read them. ``country_score`` maps the presence table to the scores behind PCI, in place
+    The cells, the advantage grid, the proximities and the country and product scores are written once to
+    the shared folder, because several branches read them. ``table`` itself is lazy. ``country_score`` maps the presence table to the scores behind PCI, in place
     of the eigenvector.
     """
     cells = stage(trade_cells(trade, year), "cells")
-    packs = B.blocks_for(B.axis_sizes(cells, products="hs4")["products"])
-    base = mcp(rca(full_grid(cells, packs)), threshold)
-    m = stage(presence(mcp(rca(cells), threshold)), "presence")
-    axes = Axes.of(m)
+    axes = Axes.of(cells)
+    base = stage(mcp(rca(full_grid(cells, axes.product_blocks)), threshold), "advantage")
+    m = presence(base)
     phi = stage(proximity(m, axes), "proximity")
     countries = stage(eci(m, axes), "eci")
-    products = stage(pci(m, country_score(m) if country_score else countries, score), "pci")
-    near = nearness(m, phi, axes, products)
+    scored = pci(m, country_score(m) if country_score else countries, score)
+    products = stage(scored.join(proximity_sums(phi), ["year", "hs4"], "left"), "products")
     table = (
-        base.join(near, ["year", "iso3", "hs4"], "left")
-        .join(products, ["year", "hs4"], "left").join(ubiquity(m), ["year", "hs4"], "left")
-        .join(proximity_sums(phi), ["year", "hs4"], "left").join(_reach(phi, products), ["year", "hs4"], "left")
-        .join(countries.select("year", "iso3", "eci"), ["year", "iso3"], "left")
-        .join(diversity(m), ["year", "iso3"], "left")
+        base.join(nearness(m, phi, axes, products), ["year", "iso3", "hs4"], "left")
+        .join(products, ["year", "hs4"], "left").join(_reach(phi, products), ["year", "hs4"], "left")
+        .join(countries.select("year", "iso3", "eci", "diversity"), ["year", "iso3"], "left")
         .withColumn("density", _density(F.col("near"), F.col("phi_sum"), F.col("mcp"), include_self))
         .withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in ("diversity", "ubiquity")})
     )
-    table = _with_cog(table).drop("near", "phi_sum")
-    table = stage(table, "cells-with-metrics")
-    table = table.join(coi(table), ["year", "iso3"], "left").select(
+    # A window over the products of one country and year stands in for a grouped sum joined back.
+    outlook = F.sum(_open_gain()).over(Window.partitionBy("year", "iso3"))
+    table = _with_cog(table).withColumn("coi", F.coalesce(outlook, F.lit(0.0))).select(
         "year", "iso3", "hs4", "export_value", "rca", "mcp", "eci", "pci", "density", "coi", "cog",
         "diversity", "ubiquity",
     )

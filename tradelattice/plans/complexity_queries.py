@@ -162,7 +162,7 @@ def reflections_query(t):
 @query("pci", f"SELECT year, hs4, {r6('pci')} AS pci FROM {{pcir}}")
 def pci_query(t):
     m = present(t)
-    return rounded(C.pci(m, C.reflections(m, 2), "k"))
+    return rounded(C.pci(m, C.reflections(m, 2), "k").drop("ubiquity"))
 
 
 @query("coi", f"SELECT year, iso3, {r6('coi')} AS coi FROM {{coir}}")
@@ -176,7 +176,9 @@ def cog_query(t):
     m = C.presence(table)
     axes = C.Axes.of(m)
     phi = stage(C.proximity(m, axes), "proximity")
-    table = C.density(table, phi, axes).join(C.pci(m, C.reflections(m, 2), "k"), ["year", "hs4"], "left")
+    table = C.density(table, phi, axes).join(
+        C.pci(m, C.reflections(m, 2), "k").drop("ubiquity"), ["year", "hs4"], "left"
+    )
     return rounded(C.outlook_gain(table, phi, axes).where("mcp = 0").select("year", "iso3", "hs4", "cog"))
 
 

@@ -36,17 +36,20 @@ VIEWS = {
         SELECT substr(hs4, 1, 1) AS code, max(section) AS name, CAST(substr(hs4, 1, 1) || '0' AS INT) AS hs2_from,
                CAST(substr(hs4, 1, 1) || '2' AS INT) AS hs2_to
         FROM {products} GROUP BY 1""",
+    # Codes are made on the supplier, part and customer rows, before they meet the lines; money is summed in
+    # whole cents, so that the sums are exact in any order.
     "exports": f"""
-        SELECT CAST(year(l.l_shipdate) AS INT) AS year, {_iso('s.s_nationkey')} AS iso3, {_HS} AS hs4,
-               CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS export_value
-        FROM {{lineitem}} l JOIN {{supplier}} s ON l.l_suppkey = s.s_suppkey
-             JOIN {{part}} p ON l.l_partkey = p.p_partkey
+        SELECT CAST(year(l.l_shipdate) AS INT) AS year, s.iso3, p.hs4,
+               CAST(sum(CAST(round(l.l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS export_value
+        FROM {{lineitem}} l
+             JOIN (SELECT s_suppkey, {_iso('s_nationkey')} AS iso3 FROM {{supplier}}) s ON l.l_suppkey = s.s_suppkey
+             JOIN (SELECT p.p_partkey, {_HS} AS hs4 FROM {{part}} p) p ON l.l_partkey = p.p_partkey
         GROUP BY 1, 2, 3""",
     "shipments": f"""
-        SELECT CAST(year(l.l_shipdate) AS INT) AS year, s.s_nationkey AS o, c.c_nationkey AS d, {_HS} AS hs4,
-               CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value
+        SELECT CAST(year(l.l_shipdate) AS INT) AS year, s.s_nationkey AS o, c.c_nationkey AS d, p.hs4,
+               CAST(sum(CAST(round(l.l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS value
         FROM {{lineitem}} l JOIN {{supplier}} s ON l.l_suppkey = s.s_suppkey
-             JOIN {{part}} p ON l.l_partkey = p.p_partkey
+             JOIN (SELECT p.p_partkey, {_HS} AS hs4 FROM {{part}} p) p ON l.l_partkey = p.p_partkey
              JOIN {{orders}} r ON l.l_orderkey = r.o_orderkey JOIN {{customer}} c ON r.o_custkey = c.c_custkey
         WHERE s.s_nationkey <> c.c_nationkey
         GROUP BY 1, 2, 3, 4""",
@@ -55,10 +58,11 @@ VIEWS = {
         UNION ALL
         SELECT year, {_iso('d')} AS reporter_iso3, {_iso('o')} AS partner_iso3, hs4, 'M' AS flow, value FROM {{shipments}}""",
     "economy": f"""
-        SELECT {_iso('c.c_nationkey')} AS iso3, CAST(year(r.o_orderdate) AS INT) AS year,
-               CAST(sum(CAST(r.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS gdp,
+        SELECT c.iso3, CAST(year(r.o_orderdate) AS INT) AS year,
+               CAST(sum(CAST(round(r.o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS gdp,
                CAST(count(DISTINCT r.o_custkey) AS DOUBLE) AS population
-        FROM {{orders}} r JOIN {{customer}} c ON r.o_custkey = c.c_custkey
+        FROM {{orders}} r
+             JOIN (SELECT c_custkey, {_iso('c_nationkey')} AS iso3 FROM {{customer}}) c ON r.o_custkey = c.c_custkey
         GROUP BY 1, 2""",
     "gravity": """
         SELECT f.year, f.reporter_iso3 AS iso3_o, f.partner_iso3 AS iso3_d,

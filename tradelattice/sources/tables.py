@@ -43,17 +43,18 @@ def save_complexity(result: C.Complexity, folder: str, proximity: DataFrame | No
 
     An absent or empty proximity table is skipped. Returns the names written.
     """
-    tables = {
-        "complexity": result.table,
-        "country_complexity": C.country_complexity(result.table),
-        "product_complexity": C.product_complexity(result.table),
-        "density_matrix": C.density_table(result.table),
+    save(result.table, f"{folder}/complexity")
+    table = result.table.sparkSession.read.parquet(f"{folder}/complexity")
+    parts = {
+        "country_complexity": C.country_complexity(table),
+        "product_complexity": C.product_complexity(table),
+        "density_matrix": C.density_table(table),
     }
     if proximity is not None and not proximity.isEmpty():
-        tables["proximity_matrix"] = proximity
-    for name, df in tables.items():
+        parts["proximity_matrix"] = proximity
+    for name, df in parts.items():
         save(df, f"{folder}/{name}")
-    return list(tables)
+    return ["complexity", *parts]
 
 
 def save_graph(nodes: dict[str, DataFrame], edges: DataFrame, folder: str) -> None:
