@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
+from tradelattice.session import stage
+
 # Covariates taken in logs, and taken as they are.
 LOGGED = ["dist", "gdp_o", "gdp_d"]
 PLAIN = ["contig", "comlang_off"]
@@ -51,14 +54,22 @@ def fit_gravity(
     flows: DataFrame, gravity: DataFrame, train_years: Sequence[int], logged: Sequence[str] = LOGGED,
     plain: Sequence[str] = PLAIN,
 ) -> dict[str, float]:
-    """Coefficients by name, ``intercept`` included."""
+    """Coefficients by name, ``intercept`` included.
+
+    Flows are fitted in units of their mean, which only moves the intercept and keeps zero flows from
+    sending the first iteration astray.
+    """
     names = [*[f"ln_{c}" for c in logged], *plain]
-    rows = training_rows(flows, gravity, train_years, logged, plain)
-    ready = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "value")
+    rows = stage(training_rows(flows, gravity, train_years, logged, plain), "gravity-training")
+    unit = rows.agg(F.avg("value")).first()[0]
+    if not unit:
+        raise ValueError(f"no positive flows with covariates in {list(train_years)}")
+    scaled = rows.withColumn("value", F.col("value") / F.lit(unit))
+    ready = VectorAssembler(inputCols=names, outputCol="features").transform(scaled).select("features", "value")
     model: GeneralizedLinearRegressionModel = GeneralizedLinearRegression(
         family="poisson", link="log", labelCol="value", maxIter=100, tol=1e-10
     ).fit(ready)
-    return {"intercept": float(model.intercept), **dict(zip(names, (float(b) for b in model.coefficients)))}
+    return {"intercept": float(model.intercept) + math.log(unit), **dict(zip(names, (float(b) for b in model.coefficients)))}
 
 
 def predict_pairs(

@@ -275,12 +275,12 @@ def gravity_fit(t):
     return rounded(Y.predict_gravity(fitted, flows, gravity, [YEAR + 1], YEAR))
 
 
-@query("gravity_pairs", f"SELECT iso3_o, iso3_d, year, {r6('predicted_value')} AS predicted_value FROM {{mu}}")
+@query("gravity_pairs", f"SELECT iso3_o, iso3_d, year, {r('predicted_value', 2)} AS predicted_value FROM {{mu}}")
 def gravity_pairs(t):
     return rounded(Y.predict_pairs(COEFFICIENTS, t.gravity, [YEAR + 1]))
 
 
-@query("gravity_prediction", f"SELECT reporter_iso3, partner_iso3, hs4, year, {r6('predicted_value')} AS predicted_value FROM {{mu_hs}}")
+@query("gravity_prediction", f"SELECT reporter_iso3, partner_iso3, hs4, year, {r('predicted_value', 2)} AS predicted_value FROM {{mu_hs}}")
 def gravity_prediction(t):
     return rounded(Y.predict_gravity(COEFFICIENTS, t.flows, t.gravity, [YEAR + 1], YEAR))
 
@@ -394,35 +394,33 @@ def temporal_validation(t):
 # --- opportunities -------------------------------------------------------------------------------
 
 
-@query("density_baseline", f"""SELECT year, iso3, hs4, {r('round(density, 10)')} AS density, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY year, iso3 ORDER BY round(density, 10) DESC NULLS LAST, hs4)::INT AS rank FROM {{outlook}} WHERE mcp = 0)
+@query("density_baseline", f"""SELECT year, iso3, hs4, {r('density')} AS density, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY year, iso3 ORDER BY {r('density')} DESC NULLS LAST, hs4)::INT AS rank FROM {{outlook}} WHERE mcp = 0)
     WHERE rank <= 50""")
 def density_baseline(t):
-    table = reflected_table(t).withColumn("density", F.round("density", 10))
-    return rounded(O.density_baseline(table))
+    return O.density_baseline(reflected_table(t).withColumn("density", F.round("density", 8)))
 
 
-@query("cog_baseline", f"""SELECT year, iso3, hs4, {r6('round(cog, 10)')} AS cog_score, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY year, iso3 ORDER BY round(cog, 10) DESC NULLS LAST, hs4)::INT AS rank FROM {{outlook}} WHERE mcp = 0)
+@query("cog_baseline", f"""SELECT year, iso3, hs4, {r6('cog')} AS cog_score, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY year, iso3 ORDER BY {r6('cog')} DESC NULLS LAST, hs4)::INT AS rank FROM {{outlook}} WHERE mcp = 0)
     WHERE rank <= 50""")
 def cog_baseline(t):
-    table = reflected_table(t).withColumn("cog", F.round("cog", 10))
-    return rounded(O.cog_baseline(table).withColumn("cog_score", F.round("cog_score", 6)))
+    return O.cog_baseline(reflected_table(t).withColumn("cog", F.round("cog", 6)))
 
 
 @query("product_opportunities", f"""
-    SELECT o.hs4, p.product_name, {r6('round(o.density, 10)')} AS score, row_number() OVER (ORDER BY round(o.density, 10) DESC NULLS LAST, o.hs4)::INT AS rank,
-           {r('round(o.density, 10)')} AS density, {r6('o.pci')} AS pci
+    SELECT o.hs4, p.product_name, {r('o.density')} AS score, row_number() OVER (ORDER BY {r('o.density')} DESC NULLS LAST, o.hs4)::INT AS rank,
+           {r('o.density')} AS density, {r6('o.pci')} AS pci
     FROM {{outlook}} o LEFT JOIN {{products}} p USING (hs4) WHERE o.iso3 = '{FOCUS}' AND o.year = {YEAR} AND o.mcp = 0
     ORDER BY rank LIMIT 50""")
 def product_opportunities(t):
-    table = reflected_table(t).withColumn("density", F.round("density", 10))
-    return rounded(O.rank_products(table, t.products, FOCUS, YEAR))
+    table = reflected_table(t).withColumns({"density": F.round("density", 8), "pci": F.round("pci", 6)})
+    return O.rank_products(table, t.products, FOCUS, YEAR)
 
 
 @query("market_opportunities", f"""
     SELECT c.hs4, p.product_name, c.partner_iso3, n.country_name AS partner_name, {r6('coalesce(d.score, 0.0)')} AS score,
-           row_number() OVER (ORDER BY coalesce(d.score, 0.0) DESC, c.hs4, c.partner_iso3)::INT AS rank, {r6('g.predicted_value')} AS gravity_pred
+           row_number() OVER (ORDER BY coalesce(d.score, 0.0) DESC, c.hs4, c.partner_iso3)::INT AS rank, {r('g.predicted_value', 2)} AS gravity_pred
     FROM (SELECT m.hs4, k.iso3 AS partner_iso3 FROM {{m}} m, {{countries}} k
           WHERE m.iso3 = '{FOCUS}' AND m.year = {YEAR} AND k.iso3 <> '{FOCUS}'
             AND (m.hs4, k.iso3) NOT IN (SELECT hs4, partner_iso3 FROM {{flows}} WHERE flow = 'X' AND year = {YEAR} AND reporter_iso3 = '{FOCUS}')) c

@@ -30,13 +30,16 @@ def query(name: str, oracle: str | None = None) -> Callable:
 
 
 # Columns that come out of standardised scores carry more rounding noise than plain ratios.
-COARSE = {"pci", "cog", "coi", "score", "predicted_value", "gravity_pred"}
+COARSE = {"pci", "cog", "coi", "score"}
+# Amounts of money that are not plain sums.
+AMOUNTS = {"predicted_value", "gravity_pred"}
 
 
 def rounded(df: DataFrame, digits: int = 8, coarse: int = 6) -> DataFrame:
     """Doubles rounded for comparison across engines."""
+    places = lambda name: coarse if name in COARSE else 2 if name in AMOUNTS else digits
     return df.select(*[
-        F.round(f.name, coarse if f.name in COARSE else digits).alias(f.name)
+        F.round(f.name, places(f.name)).alias(f.name)
         if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields
     ])
