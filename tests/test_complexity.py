@@ -1,4 +1,5 @@
 import itertools
+from functools import partial
 
 import numpy as np
 import pytest
@@ -149,3 +150,15 @@ def test_product_scores_follow_the_product_side(presence):
     v = vectors[:, np.argsort(values.real)[::-1][1]].real
     z = np.array([got[(2000, p)] for p in ps])
     assert abs(abs(np.corrcoef(v, z)[0, 1]) - 1) < 1e-9
+
+
+def test_long_country_axis_gives_the_same_index(presence, monkeypatch):
+    presence = presence.where("year = 2000")
+    dense_solve = {(r.year, r.iso3): r for r in C.eci(presence).collect()}
+    monkeypatch.setattr(C, "MAX_DENSE_COUNTRIES", 5)
+    monkeypatch.setattr(C, "second_vectors", partial(C.second_vectors, tolerance=1e-4))
+    iterated = C.eci(presence).collect()
+    assert len(iterated) == len(dense_solve)
+    for r in iterated:
+        want = dense_solve[(r.year, r.iso3)]
+        assert abs(r.eci - want.eci) < 1e-2 and r.diversity == want.diversity

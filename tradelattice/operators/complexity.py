@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradelattice.operators import blocks as B
 from tradelattice.operators.profiles import one_per_key
+from tradelattice.operators.spectral import second_vectors
 from tradelattice.session import stage
 
 MAX_DENSE_COUNTRIES = 5000
@@ -208,11 +209,12 @@ def eci(m: DataFrame, axes: Axes | None = None) -> DataFrame:
     The second eigenvector of W = (1/k_c) sum_p M_cp M_dp / k_p, oriented to correlate with diversity and
     standardised. The sums over products run in Spark; what is left per year is one number per pair of
     countries, solved densely in symmetric form because its leading eigenvalues lie too close together
-    for power iteration. The number of countries is checked first.
+    for power iteration. The number of countries is counted first; beyond ``MAX_DENSE_COUNTRIES`` the
+    vectors are found by distributed orthogonal iteration instead.
     """
     axes = axes or Axes.of(m)
     if axes.countries > MAX_DENSE_COUNTRIES:
-        raise ValueError(f"{axes.countries} countries; the dense solve takes up to {MAX_DENSE_COUNTRIES}")
+        return _oriented(second_vectors(m, diversity(m), ubiquity(m)))
     k = diversity(m).select("year", F.col("iso3").alias("c"), F.col("diversity").cast("double").alias("k_c"))
     pairs = country_similarity(m, axes).join(k, ["year", "c"])
     schema = "year int, iso3 string, eci_raw double, eci double, diversity long"
@@ -220,6 +222,18 @@ def eci(m: DataFrame, axes: Axes | None = None) -> DataFrame:
     return solved.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("eci_raw", "eci")})
 
 
+def _oriented(vectors: DataFrame) -> DataFrame:
+    """Sign and scale of distributed vectors: (year, iso3, eci_raw, eci, diversity)."""
+    stats = vectors.groupBy("year").agg(
+        F.when(F.covar_pop("x", "diversity") < 0, -1.0).otherwise(1.0).alias("_sign"), F.avg("x").alias("_m"),
+        F.stddev_pop("x").alias("_s"),
+    )
+    return vectors.join(stats, "year").select(
+        "year", "iso3", (F.col("x") * F.col("_sign")).alias("eci_raw"),
+        (F.try_divide(F.col("x") - F.col("_m"), F.col("_s")) * F.col("_sign")).alias("eci"), "diversity",
+    )
+
+
 def pci(m: DataFrame, country_score: DataFrame, score: str = "eci_raw") -> DataFrame:
     """Product complexity: mean score of the countries with the product, standardised over products.
 
