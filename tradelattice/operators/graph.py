@@ -127,7 +127,7 @@ def dangling(edges: DataFrame, end: str, nodes: DataFrame, key: str) -> DataFram
 
 
 def require_unique(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    found = duplicates(nodes, keys).limit(5).collect()
+    found = duplicates(nodes, keys).take(5)
     if found:
         raise ValueError(f"duplicate keys on {list(keys)}: {found}")
     return nodes

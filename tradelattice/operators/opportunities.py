@@ -122,9 +122,10 @@ def explain_density(presence: DataFrame, phi: DataFrame, links: DataFrame) -> Da
     sums = phi.groupBy("year", F.col("hs4_i").alias("hs4")).agg(F.sum("proximity").alias("_s"))
     near = phi.select("year", F.col("hs4_i").alias("hs4"), F.col("hs4_j").alias("because_hs4"), "proximity")
     held = presence.select("year", "iso3", F.col("hs4").alias("because_hs4"))
+    # A link first meets what its country has, then the proximities of just those pairs.
     return (
-        links.select("year", "iso3", "hs4").join(near, ["year", "hs4"])
-        .join(held, ["year", "iso3", "because_hs4"], "left_semi").join(sums, ["year", "hs4"])
+        links.select("year", "iso3", "hs4").join(held, ["year", "iso3"])
+        .join(near, ["year", "hs4", "because_hs4"]).join(sums, ["year", "hs4"])
         .select("year", "iso3", "hs4", "because_hs4", (F.col("proximity") / F.col("_s")).alias("contribution"))
     )
 

@@ -138,7 +138,7 @@ def positive_pairs(t):
 
 def all_pairs(t):
     cells = C.trade_cells(t.exports)
-    none = positive_pairs(t).limit(0)
+    none = positive_pairs(t).where("split IS NULL")
     return O.missing_links(cells.select("iso3"), cells.select("hs4"), none, "iso3", "hs4")
 
 
@@ -237,14 +237,14 @@ def typed_edges_exports_only(t):
     return G.typed_edges(adv(t)).groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stored_graph", "SELECT rel, count(*)::BIGINT AS n FROM {edge} WHERE rel IN ('PROXIMITY', 'IN_SECTION') GROUP BY ALL")
+@query("stored_graph", "SELECT rel, count(*)::BIGINT AS n FROM {edge} GROUP BY ALL")
 def stored_graph(t):
     path = scratch_path(t.spark, "graph")
     nodes = {"country": G.require_unique(country_node_table(t), ["iso3"]), "product": product_node_table(t),
              "section": G.section_nodes(t.sections)}
     tables.save_graph(nodes, typed_edge_table(t), path)
     edges = t.spark.read.parquet(f"{path}/edges")
-    return edges.where("rel IN ('PROXIMITY', 'IN_SECTION')").groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
+    return edges.groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stored_complexity", "SELECT year, count(*)::BIGINT AS n FROM {pres} GROUP BY ALL")

@@ -145,7 +145,7 @@ def relation_propagation(t):
 
 @query("random_walks")
 def random_walks(t):
-    return E.random_walks(link_graph(t), length=20, per_node=4)
+    return E.random_walks(link_graph(t))
 
 
 @query("random_walks_second_order")
@@ -161,7 +161,7 @@ def neighbour_index(t):
 
 @query("node2vec")
 def node2vec(t):
-    return _long(E.node2vec(link_graph(t), length=20))
+    return _long(E.node2vec(link_graph(t)))
 
 
 # --- decoders ------------------------------------------------------------------------------------
