@@ -19,12 +19,19 @@ from tradelattice.operators.ordering import ranked
 from tradelattice.session import stage
 
 
-def _per_dim(agg, vector: str, dim: int) -> list[Column]:
-    return [agg(F.col(vector)[i]).alias(f"_d{i}") for i in range(dim)]
+def _sums(vector: str, dim: int) -> list[Column]:
+    return [F.sum(F.col(vector)[i]).alias(f"_d{i}") for i in range(dim)]
 
 
-def _vector(dim: int) -> Column:
-    return F.array(*[F.col(f"_d{i}") for i in range(dim)]).alias("vector")
+def _vector(dim: int, over: Column | None = None) -> Column:
+    return F.array(*[F.col(f"_d{i}") if over is None else F.col(f"_d{i}") / over for i in range(dim)]).alias("vector")
+
+
+def _mean(joined: DataFrame, keys: list, dim: int) -> DataFrame:
+    """Mean vector per key: one sum per dimension and one shared count, which halves the aggregation buffer."""
+    names = [k if isinstance(k, str) else "node" for k in keys]
+    sums = joined.groupBy(*keys).agg(*_sums("vector", dim), F.count(F.lit(1)).alias("_n"))
+    return sums.select(*names, _vector(dim, F.col("_n")))
 
 
 def _scaled(vector: str, by: Column) -> Column:
@@ -38,7 +45,7 @@ def propagate(adj: DataFrame, vectors: DataFrame, dim: int, mode: str = "mean")
     """
     if mode == "mean":
         joined = adj.join(vectors.withColumnRenamed("node", "src"), "src")
-        return joined.groupBy(F.col("dst").alias("node")).agg(*_per_dim(F.avg, "vector", dim)).select("node", _vector(dim))
+        return _mean(joined, [F.col("dst").alias("node")], dim)
     if mode != "gcn":
         raise ValueError(f"unknown mode {mode}")
     # Both square roots are applied to node rows, before and after the sum over edges.
@@ -51,7 +58,7 @@ def propagate(adj: DataFrame, vectors: DataFrame, dim: int, mode: str = "mean")
     sent = adj.join(scaled.select(F.col("node").alias("src"), "vector"), "src").select(F.col("dst").alias("node"), "vector")
     summed = (
         sent.unionByName(scaled.select("node", "vector")).groupBy("node")
-        .agg(*_per_dim(F.sum, "vector", dim)).select("node", _vector(dim))
+        .agg(*_sums("vector", dim)).select("node", _vector(dim))
     )
     return summed.join(scaled.select("node", "_w"), "node").select("node", _scaled("vector", F.col("_w")).alias("vector"))
 
@@ -73,10 +80,7 @@ def propagate_hops(
 def propagate_relations(edges: DataFrame, features: DataFrame, dim: int, relations: Sequence[str]) -> DataFrame:
     """Mean per (dst, relation), blocks concatenated in the order of ``relations`` after the node's own features."""
     zeros = F.array_repeat(F.lit(0.0), dim)
-    per_rel = (
-        edges.join(features.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node"), "rel")
-        .agg(*_per_dim(F.avg, "vector", dim)).select("node", "rel", _vector(dim))
-    )
+    per_rel = _mean(edges.join(features.withColumnRenamed("node", "src"), "src"), [F.col("dst").alias("node"), "rel"], dim)
     blocks = per_rel.groupBy("node").agg(
         *[F.max_by("vector", F.when(F.col("rel") == rel, 1)).alias(f"_r{k}") for k, rel in enumerate(relations)]
     )
