@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelattice.llm import bpe, decontamination, near_duplicates, quality, toxicity
+from tradelattice.llm import bpe, decontamination, interpolated_lm, near_duplicates, quality, toxicity
 from tradelattice.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op3_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return interpolated_lm.score(table(spark, folder, "documents"))
