@@ -23,6 +23,7 @@ from tradelattice.llm.common import fold, text_of
 
 CACHED_WORDS = 300_000  # per worker, a few dozen MB
 BATCH_ROWS = 256
+FIT_WORDS = 10_000  # whose features are worked out at once in training
 AGAIN = "\x00again"
 WHOLE, GRAM, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3), np.uint64(0xD6E8FEB86659FD93)
 
@@ -136,9 +137,11 @@ def fit(texts: list[str], labels: list[int], settings: Settings) -> Model:
     documents = [np.fromiter((ids.setdefault(w, len(ids)) for w in words_of(t)), np.int32) for t in texts]
     if not ids:
         return Model(settings, np.zeros(settings.buckets, np.float32), prior)
-    flat, begins = word_features(list(ids), settings)
-    sizes = np.diff(begins)
-    del ids
+    words = list(ids)
+    parts = [word_features(words[at:at + FIT_WORDS], settings) for at in range(0, len(words), FIT_WORDS)]
+    flat, sizes = np.concatenate([b for b, _ in parts]), np.concatenate([np.diff(e) for _, e in parts])
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    del ids, words, parts
     rng = np.random.default_rng(settings.seed)
     vectors = rng.normal(0, 1 / settings.dim, (settings.buckets, settings.dim)).astype(np.float32)
     head = rng.normal(0, 0.1, (settings.dim, 2)).astype(np.float32)
