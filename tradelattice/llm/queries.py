@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelattice.llm import bpe, decontamination, interpolated_lm, near_duplicates, quality, toxicity
+from tradelattice.llm import (
+    bpe, collision_search, decontamination, interpolated_lm, licenses, near_duplicates, quality, toxicity, warc, wordpiece,
+)
 from tradelattice.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +66,42 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
     return interpolated_lm.score(table(spark, folder, "documents"))
+
+
+@query
+def op4_word_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return wordpiece.with_counts(docs, wordpiece.pieces(public_tokenizers.path("piece_bpe_32k.model"))).select("doc_id", "pieces.*")
+
+
+@query
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = warc.archive(table(spark, folder, "pages"))
+    number = lambda name: F.regexp_extract(name, r"^urn:page:(-?\d+)$", 1).try_cast("long")
+    return warc.read(spark, path, payload=False).select(
+        number("record_id").alias("page_id"), "payload_bytes", F.substring("payload_digest", 6, 32).alias("payload_digest"),
+        "record_type", number("refers_to").alias("refers_to"),
+    )
+
+
+_DIGITS = ", ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {5 * k + 1}, 5))::BIGINT >> {s}) & 31) + 1)::BIGINT, 1)"
+    for k in range(8) for s in (15, 10, 5, 0)
+)
+ORACLES["op5_warc"] = f"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+k as (select *, max(page_id) over (partition by html) as kept from p)
+select page_id, strlen(html)::BIGINT as payload_bytes, concat({_DIGITS}) as payload_digest,
+  case when page_id = kept then 'response' else 'revisit' end as record_type,
+  case when page_id <> kept then kept end as refers_to
+from k"""
+
+
+@query
+def op8_collision_search(spark: SparkSession, folder: str) -> DataFrame:
+    return collision_search.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@query
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents")).drop("spans")
