@@ -67,7 +67,7 @@ NOTICES = {
 class Settings:
     lookups: int = 8
     slack: int = 2
-    least_share: float = 0.6
+    least_share: float = 0.3
 
 
 def notice_words(text: str) -> list[str]:

@@ -147,7 +147,9 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[OneFile]:
         return [OneFile(name) for name in listed(self.path)]
 
-    def read(self, partition: OneFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: OneFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without archives
+            return
         system, root = fs.FileSystem.from_uri(self.path)
         rows, size = [], 0
         with system.open_input_file(f"{root}/{partition.name}") as file:
