@@ -50,7 +50,7 @@ class Settings:
 
 
 def hashed_words(text: str | None, hashes: WordHashes) -> np.ndarray:
-    return hashes.of([w.encode("utf-8", "surrogatepass") for w in WORD.findall((text or "").lower())])
+    return hashes.of(WORD.findall((text or "").lower()))
 
 
 def edits(length: int, settings: Settings) -> int:
@@ -108,6 +108,14 @@ def starts(hits: np.ndarray, length: int, settings: Settings) -> np.ndarray:
     return good - held + 1
 
 
+def cut(words: np.ndarray, start: int, length: int) -> np.ndarray:
+    """``length`` words from ``start``; zeros where the text has none."""
+    out = np.zeros(length, np.uint64)
+    part = words[max(0, start):max(0, start + length)]
+    out[max(0, -start):max(0, -start) + len(part)] = part
+    return out
+
+
 def item_rows(items: DataFrame, settings: Settings) -> DataFrame:
     """(item_id, length, words, keys) of the items that are looked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +188,11 @@ def window_rows(docs: DataFrame, key: str, table: np.ndarray, lengths: list[int]
                     if not found:
                         continue
                     k = edits(n, settings)
-                    windows = np.stack([np.pad(w, (n, 2 * n))[s + n:s + 2 * n] for _, s, w in found])
+                    windows = np.stack([cut(w, s, n) for _, s, w in found])
+                    # Of equal windows of a text the first stands for all.
+                    rows = np.column_stack([np.array([r for r, _, _ in found], np.uint64), windows])
+                    first = np.sort(np.unique(rows, axis=0, return_index=True)[1])
+                    windows, found = windows[first], [found[i] for i in first]
                     around = [w[max(0, s - k):max(0, s + n + k)].tobytes() for _, s, w in found]
                     yield pa.RecordBatch.from_arrays([
                         part.column(0).take(pa.array([r for r, _, _ in found])), pa.array([max(0, s - k) for _, s, _ in found], pa.int64()),
@@ -194,6 +206,9 @@ def window_rows(docs: DataFrame, key: str, table: np.ndarray, lengths: list[int]
 
 def best_stretch(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Fewest word edits that turn the item into a stretch of ``words``; the stretch's start and end."""
+    for start in np.flatnonzero(words[:len(words) - len(item) + 1] == item[0]).tolist():
+        if np.array_equal(words[start:start + len(item)], item):
+            return 0, start, start + len(item)
     places = np.arange(len(words) + 1)
     cost, begin = np.zeros(len(words) + 1, np.int64), places.copy()
     for k, word in enumerate(item):
@@ -227,6 +242,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", settings: Se
             rows.append((*best_stretch(a, np.frombuffer(b, np.uint64)), len(a)))
         return pd.DataFrame(rows, columns=["distance", "start", "end", "length"], dtype="int64")
 
+    place = place.asNondeterministic()  # else it is worked out for the filter and again for the result
     found = pairs.select("key", "item_id", F.col("start").alias("offset"), place("item", "words").alias("at")).where(
         F.col("at.distance") * 100 <= percent * F.col("at.length"))
     best = found.select("key", "item_id", F.struct(

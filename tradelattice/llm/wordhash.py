@@ -24,13 +24,13 @@ def mixed(values: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hash of a word, kept for words met before."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes] | list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
