@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHED_MATCHES, CACHED_PAIRS, CACHED_LENGTH = 250_000, 500_000, 64  # per worker
+CACHED_MATCHES, CACHED_PAIRS, CACHED_LENGTH = 600_000, 500_000, 64  # per worker
 
 
 class Vocabulary:
@@ -33,14 +33,19 @@ class Vocabulary:
         self.pieces = {rank: piece for piece, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self.ends: dict[int, int] = {}  # trie of reversed pieces: node * 256 + byte -> node; 0 is the root
-        self.token_at: dict[int, int] = {}  # node -> rank
+        at: dict[int, int] = {}
         for piece, rank in ranks.items():
             node = 0
             for byte in reversed(piece):
                 node = self.ends.setdefault(node * 256 + byte, len(self.ends) + 1)
-            self.token_at[node] = rank
+            at[node] = rank
         self._whole: dict[int, tuple[int, ...]] = {}
-        self._stable: dict[tuple[int, int], bool] = {}
+        self._stable: dict[int, bool] = {}  # left * 2^32 + right
+        # Of a node the token that it is, -1 if none; tokens that BPE never makes are left out.
+        self.token_at = [-1] * (len(self.ends) + 1)
+        for node, rank in at.items():
+            if self.parts(rank):
+                self.token_at[node] = rank
 
     @classmethod
     def parse(cls, content: bytes) -> Vocabulary:
@@ -67,7 +72,7 @@ class Vocabulary:
         Of the tokens that once stood at the seam, some x on the left and y on the right merge if x + y is a token of
         a rank before the one that took x away, and not after the one that took y away (equal ranks go left to right).
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self._stable.get(key)
         if known is None:
             if len(self._stable) >= CACHED_PAIRS:
@@ -102,21 +107,30 @@ class Prefixes:
         self.append(data)
 
     def append(self, more: bytes) -> None:
+        """Walks back from each new end through the tokens that end there; the longest that fits comes first most often."""
         self.data += more
-        while len(self.last) <= len(self.data):
-            self.last.append(self._last_of(len(self.last)))
-
-    def _last_of(self, end: int) -> int:
-        v, data, last, node, start = self.vocabulary, self.data, self.last, 0, end
-        while start > 0:
-            start -= 1
-            node = v.ends.get(node * 256 + data[start])
-            if node is None:
-                break
-            token = v.token_at.get(node)
-            if token is not None and v.parts(token) and (start == 0 or v.stable(last[start], token)):
-                return token
-        raise ValueError("a byte of the text has no token")
+        v, data, last = self.vocabulary, self.data, self.last
+        above, token_at, stable, known = v.ends.get, v.token_at, v.stable, v._stable.get
+        for end in range(len(last), len(data) + 1):
+            node, start, found = 0, end, []
+            while start:
+                start -= 1
+                node = above(node * 256 + data[start])
+                if node is None:
+                    break
+                token = token_at[node]
+                if token >= 0:
+                    found.append((start, token))
+            for start, token in reversed(found):
+                if start == 0:
+                    break
+                before = last[start]
+                fits = known(before << 32 | token)
+                if stable(before, token) if fits is None else fits:
+                    break
+            else:
+                raise ValueError("a byte of the text has no token")
+            last.append(token)
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in place of bytes ``start`` to ``stop``; returns how many prefixes were worked out anew."""
@@ -124,13 +138,13 @@ class Prefixes:
         self.last, self.data = old[:start + 1], self.data[:start]
         self.append(new)
         edit_end, agree, worked = len(self.data), 0, len(new)
-        self.data += tail
-        while len(self.last) <= len(self.data):
+        while len(self.data) < edit_end + len(tail):
             at = len(self.last)
-            self.last.append(self._last_of(at))
+            self.append(tail[at - 1 - edit_end:at - edit_end])
             worked += 1
             agree = agree + 1 if self.last[at] == old[at - moved] else 0
             if agree >= self.vocabulary.longest and at - edit_end >= self.vocabulary.longest:
+                self.data += tail[at - edit_end:]
                 self.last += old[at - moved + 1:]
         return worked
 
