@@ -19,12 +19,12 @@ def raw(spark, rows):
 
 
 def test_export_fixture(spark):
-    rows = [("2020", "MKD", "7202", "500e6", 3.5), ("2020", "MKD", "8544", "300e6", 1.2), ("2020", "DEU", "8703", "1e9", 0.8),
-            ("2020", "WLD", "0101", "5e9", 0.1), ("2020", "MKD", "XXXX", "100", 0.0)]
+    rows = [("2011", "ALB", "2716", "41.5e6", 6.1), ("2012", "SRB", "1005", "620000", 4.0), ("2012", "SRB", "401", "17", 0.2),
+            ("2012", "EUN", "1005", "8e8", 1.1), ("2011", "ALB", "27-16", "3", 0.4), ("1987", "ALB", "2716", "9", 0.3)]
     out = P.clean_exports(raw(spark, rows))
     assert out.columns[:4] == ["year", "iso3", "hs4", "export_value"]
     got = {(r.iso3, r.hs4): r.export_value for r in out.collect()}
-    assert got == {("MKD", "7202"): 500e6, ("MKD", "8544"): 300e6, ("DEU", "8703"): 1e9}
+    assert got == {("ALB", "2716"): 41.5e6, ("SRB", "1005"): 620000.0, ("SRB", "0401"): 17.0}
 
 
 @pytest.mark.parametrize("row, expected", [

@@ -9,9 +9,9 @@ from tradelattice.operators import blocks as B, complexity as C
 
 
 def matrix_rows():
-    rng = np.random.default_rng(42)
-    rows = [(2020, c, p, float(rng.exponential(1e6))) for c in ("AAA", "BBB", "CCC") for p in ("0101", "0201", "0301", "0401")]
-    return rows + [(2020, "AAA", "0101", 1e9)]
+    """Four countries by five products with every third cell empty, and one key twice."""
+    rows = [(2020, f"K{c}", f"{10 * p + 7:04d}", float(1 + (c * 7 + p * 5) % 11) * 10 ** p) for c in range(4) for p in range(5) if (c + 2 * p) % 3]
+    return [*rows, (2020, "K1", "0007", 250.0)]
 
 
 @pytest.fixture(scope="module")
@@ -37,11 +37,11 @@ def dense(presence, year):
 
 def test_fixture(trade):
     rows = C.compute_complexity(trade, year=2020).table.collect()
-    assert len(rows) == 12
+    assert len(rows) == 20
     assert all(r.rca is None or r.rca >= 0 for r in rows)
     assert {r.mcp for r in rows} <= {0, 1, None}
-    duplicate = [r for r in rows if (r.iso3, r.hs4) == ("AAA", "0101")]
-    assert len(duplicate) == 1 and duplicate[0].export_value > 1e9
+    duplicate = [r for r in rows if (r.iso3, r.hs4) == ("K1", "0007")]
+    assert len(duplicate) == 1 and duplicate[0].export_value == 258.0
 
 
 def test_zero_totals_are_null(spark):

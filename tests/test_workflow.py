@@ -20,7 +20,7 @@ def test_chain(spark, data, tmp_path):
                           test_years=[2001], dim=8, sets={"eu_member": ["N02"]})
     inputs = W.Inputs(f"{raw}/exports", f"{raw}/reporters", f"{raw}/partners", f"{raw}/slices", f"{raw}/gravity", f"{raw}/payloads")
     assert set(W.clean(spark, inputs, out, settings)) == {"country_codes", "exports", "flows", "gravity", "indicators"}
-    assert "proximity_matrix" in W.complexity(spark, out)
+    assert "proximity_matrix" in W.complexity(spark, out, settings=settings)
     W.graph(spark, out, t.products, t.sections, t.countries, 1999, settings)
     results = W.models(spark, out, ["sage", "fastrp"], ["dot_product", "distmult"], settings)
     assert {"density", "cn", "jaccard"} < {r.model for r in results.select("model").distinct().collect()}

@@ -31,6 +31,9 @@ FLOW_RENAMES = {
     "period": "year", "reportercode": "reporter_m49", "partnercode": "partner_m49", "cmdcode": "hs_code",
     "flowcode": "flow", "primaryvalue": "value", "fobvalue": "fob_value", "cifvalue": "cif_value",
 }
+TOTAL_RENAMES = {
+    "period": "year", "reportercode": "reporter_m49", "cmdcode": "hs_code", "primaryvalue": "export_value", "fobvalue": "export_value",
+}
 GRAVITY_COLUMNS = [
     "year", "iso3_o", "iso3_d", "dist", "contig", "comlang_off", "comcol", "col45", "fta_wto",
     "gdp_o", "gdp_d", "pop_o", "pop_d",

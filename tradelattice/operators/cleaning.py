@@ -81,6 +81,7 @@ def trade_value(df: DataFrame, target: str = "value") -> DataFrame:
     have = {c: F.col(c) for c in ("value", "fob_value", "cif_value") if c in df.columns}
     if not have:
         return df
+    df = S.to_numeric(df, list(have))  # text that is no number, and NaN, fall back too
     fob, cif = have.get("fob_value"), have.get("cif_value")
     if fob is not None and cif is not None:
         fallback: Column | None = F.when(F.col("flow") == "X", fob).otherwise(cif)
@@ -200,10 +201,7 @@ def clean_flows(
 def clean_totals(raw: DataFrame, codes: DataFrame) -> DataFrame:
     """Exports to the world as reported: year, iso3, hs4, export_value; rows with any null are dropped."""
     lower = {c.lower() for c in raw.columns}
-    names = {
-        "period": "year", "reportercode": "reporter_m49", "cmdcode": "hs_code", "primaryvalue": "export_value",
-        **({} if "primaryvalue" in lower else {"fobvalue": "export_value"}),
-    }
+    names = {k: v for k, v in K.TOTAL_RENAMES.items() if k != "fobvalue" or "primaryvalue" not in lower}
     df = rename_any_case(raw, names)
     if "reporter_m49" in df.columns:
         df = attach_iso3(S.to_whole(df, ["reporter_m49"]), codes, "reporter_m49", "iso3")

@@ -17,9 +17,11 @@ from tradelattice.session import stage
 
 
 def pair_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Pairs (src, dst, ...) with the vectors of both ends as ``zu`` and ``zv``."""
+    """Pairs (src, dst, ...) with the vectors of both ends as ``zu`` and ``zv``; an end without a vector has a zero vector."""
     end = lambda node, z: vectors.select(F.col("node").alias(node), F.col("vector").alias(z))
-    return pairs.join(end("src", "zu"), "src").join(end("dst", "zv"), "dst")
+    zero = F.array_repeat(F.lit(0.0), vectors.agg(F.max(F.size("vector"))).first()[0] or 0)
+    both = pairs.join(end("src", "zu"), "src", "left").join(end("dst", "zv"), "dst", "left")
+    return both.withColumns({z: F.coalesce(z, zero) for z in ("zu", "zv")})
 
 
 def dot_scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ class Decoder:
     model: PipelineModel | None
 
     def score(self, pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-        """``pairs`` with ``score``; pairs with an end without a vector are absent."""
+        """``pairs`` with ``score``; every pair has a score."""
         if self.model is None:
             return dot_scores(pairs, vectors)
         done = self.model.transform(_inputs(pairs, vectors, self.features))

@@ -104,7 +104,7 @@ def all_metrics(scored: DataFrame, ks: Sequence[int] = (10, 20, 50), by: Sequenc
 
 def compare_models(results: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Long (model, metric, value) to one row per model, best average precision first."""
-    wide = results.groupBy("model").pivot("metric", list(metrics)).agg(F.first("value"))
+    wide = results.groupBy("model").pivot("metric", list(metrics)).agg(F.max("value"))
     return wide.orderBy(F.desc_nulls_last("average_precision"), "model")
 
 
@@ -113,7 +113,7 @@ def ablation(results: DataFrame, metrics: Sequence[str], baseline: str, variants
     base = results.where(F.col("model") == baseline).select("metric", F.col("value").alias("_base"))
     both = results.join(base, "metric", "left").withColumn("delta", F.col("value") - F.col("_base"))
     wide = both.groupBy("model", *variants).pivot("metric", list(metrics)).agg(
-        F.first("value").alias("value"), F.first("delta").alias("delta")
+        F.max("value").alias("value"), F.max("delta").alias("delta")
     )
     return wide.select(
         "model", *variants, *[F.col(f"{m}_value").alias(m) for m in metrics],

@@ -46,8 +46,8 @@ def one_per_key(df: DataFrame, keys: Sequence[str], constants: Sequence[str]) ->
 
 
 def widen(df: DataFrame, keys: Sequence[str], name: str, value: str, columns: Sequence[str]) -> DataFrame:
-    """Long to wide over a fixed list of names."""
-    return df.groupBy(*keys).pivot(name, list(columns)).agg(F.first(value, ignorenulls=True))
+    """Long to wide over a fixed list of names; of repeated entries the largest counts."""
+    return df.groupBy(*keys).pivot(name, list(columns)).agg(F.max(value))
 
 
 def merge_indicators(tables: Sequence[DataFrame], keys: Sequence[str] = ("iso3", "year")) -> DataFrame:

@@ -70,11 +70,13 @@ def clean(spark: SparkSession, raw: Inputs, out: str, settings: Settings = Setti
     return done
 
 
-def complexity(spark: SparkSession, folder: str, year: int | None = None) -> list[str]:
-    """Complexity tables of one or all years and the proximities of the latest year of the export table."""
+def complexity(spark: SparkSession, folder: str, year: int | None = None, settings: Settings = Settings()) -> list[str]:
+    """Complexity tables of one or all years, the proximities of the latest year, and those of the latest training year."""
     result = C.compute_complexity(spark.read.parquet(f"{folder}/exports"), year)
-    latest = A.in_latest_year(result.proximity).drop("year")
-    return tables.save_complexity(result, folder, latest)
+    proximity = stage(result.proximity, "proximity")
+    training = A.in_latest_year(proximity.where(F.col("year") <= settings.train_end)).drop("year")
+    tables.save(training, f"{folder}/proximity_training")
+    return [*tables.save_complexity(result, folder, A.in_latest_year(proximity).drop("year")), "proximity_training"]
 
 
 def graph(
@@ -111,17 +113,22 @@ def split_links(spark: SparkSession, folder: str, settings: Settings = Settings(
 
 def message_edges(spark: SparkSession, folder: str, labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(src, rel, dst) both ways up to the training end, without the held-out pairs."""
-    edges = spark.read.parquet(f"{folder}/graph/edges").where(F.col("year").isNull() | (F.col("year") <= settings.train_end))
+    stored = spark.read.parquet(f"{folder}/graph/edges")
+    # Sections and borders have no year; every other relation must be dated within the training years.
+    edges = stored.where(F.col("rel").isin("IN_SECTION", "NEIGHBOR_OF") | (F.col("year") <= settings.train_end))
+    near = G.proximity_edges(spark.read.parquet(f"{folder}/proximity_training"), settings.proximity_at_least).select(
+        G.node_id(F.lit("product"), "src").alias("src"), F.lit("PROXIMITY").alias("rel"), G.node_id(F.lit("product"), "dst").alias("dst")
+    )
     full = spark.read.parquet(f"{folder}/complexity").where(F.col("year") <= settings.train_end)
     exported = C.presence(full).select(
         G.node_id(F.lit("country"), "iso3").alias("src"), F.lit("EXPORTS").alias("rel"), G.node_id(F.lit("product"), "hs4").alias("dst")
     )
     # Volumes stay in the stored graph; links that carry messages are comparative advantages and the other relations.
-    rest = edges.where(~F.col("rel").isin("EXPORTS", "IMPORTS", "SHIPS")).select(
+    rest = edges.where(~F.col("rel").isin("EXPORTS", "IMPORTS", "SHIPS", "PROXIMITY")).select(
         G.node_id("src_type", "src").alias("src"), "rel", G.node_id("dst_type", "dst").alias("dst")
     )
     held = labelled.where("label = 1")
-    one = Z.propagation_edges(exported.unionByName(rest).distinct(), held)
+    one = Z.propagation_edges(exported.unionByName(rest).unionByName(near).distinct(), held)
     return stage(one.unionByName(one.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"))).distinct(), "messages")
 
 

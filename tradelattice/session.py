@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError(f"set {SETTING} to a folder all executors can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="tradelattice-"))
     return context.getCheckpointDir().rstrip("/")

@@ -32,10 +32,11 @@ def read_gravity(spark: SparkSession, path: str, years: tuple[int, int] = K.GRAV
 
 def save(df: DataFrame, path: str, by_year: bool = True) -> None:
     """Overwrite a Parquet table, one folder per year where the table has years."""
-    writer = df.write.mode("overwrite")
     if by_year and "year" in df.columns:
-        writer = writer.partitionBy("year")
-    writer.parquet(path)
+        # One even set of files per year instead of one file per task and year; Spark splits large years.
+        df.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
 
 
 def save_complexity(result: C.Complexity, folder: str, proximity: DataFrame | None = None) -> list[str]:
@@ -61,7 +62,7 @@ def save_graph(nodes: dict[str, DataFrame], edges: DataFrame, folder: str) -> No
     """Write one table per node type and one edge table partitioned by relation."""
     for name, df in nodes.items():
         save(df, f"{folder}/nodes/{name}", by_year=False)
-    edges.write.mode("overwrite").partitionBy("rel").parquet(f"{folder}/edges")
+    edges.hint("rebalance", "rel").write.mode("overwrite").partitionBy("rel").parquet(f"{folder}/edges")
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
