@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHED_MATCHES, CACHED_PAIRS, CACHED_LENGTH = 600_000, 500_000, 64  # per worker
+CACHED_MATCHES, CACHED_PAIRS, CACHED_LENGTH = 250_000, 200_000, 64  # per worker
 
 
 class Vocabulary:
