@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CACHED_MATCHES, CACHED_PAIRS, CACHED_LENGTH = 250_000, 200_000, 64  # per worker
+UNKNOWN = -2  # not worked out yet
 
 
 class Vocabulary:
@@ -100,59 +101,85 @@ class Vocabulary:
 
 
 class Prefixes:
-    """The last token of every prefix of a byte string."""
+    """The last token of every prefix of a byte string, each worked out when it is first asked for.
+
+    Later bytes never change the last token of a prefix, so appending only adds bytes, and the tokens of a string ask for
+    no more than the prefixes at which some token of theirs may begin.
+    """
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.vocabulary, self.data, self.last = vocabulary, bytearray(), [-1]
         self.append(data)
 
     def append(self, more: bytes) -> None:
-        """Walks back from each new end through the tokens that end there; the longest that fits comes first most often."""
         self.data += more
-        v, data, last = self.vocabulary, self.data, self.last
-        above, token_at, stable, known = v.ends.get, v.token_at, v.stable, v._stable.get
-        for end in range(len(last), len(data) + 1):
-            node, start, found = 0, end, []
-            while start:
-                start -= 1
-                node = above(node * 256 + data[start])
-                if node is None:
-                    break
-                token = token_at[node]
-                if token >= 0:
-                    found.append((start, token))
-            for start, token in reversed(found):
-                if start == 0:
-                    break
-                before = last[start]
-                fits = known(before << 32 | token)
-                if stable(before, token) if fits is None else fits:
-                    break
+        self.last += [UNKNOWN] * len(more)
+
+    def _ending(self, end: int) -> list[tuple[int, int]]:
+        """(start, token) of the tokens that end at ``end``, the longest last."""
+        above, token_at, data = self.vocabulary.ends.get, self.vocabulary.token_at, self.data
+        node, start, found = 0, end, []
+        while start:
+            start -= 1
+            node = above(node * 256 + data[start])
+            if node is None:
+                break
+            token = token_at[node]
+            if token >= 0:
+                found.append((start, token))
+        return found
+
+    def last_at(self, end: int) -> int:
+        """The last token of the first ``end`` bytes. The longest that fits comes first most often; one that needs the
+        last token of a shorter prefix waits on a stack until that is known, so texts of any length need no recursion."""
+        last, v = self.last, self.vocabulary
+        stable, known = v.stable, v._stable.get
+        if last[end] != UNKNOWN:
+            return last[end]
+        waiting = [(end, self._ending(end))]
+        while waiting:
+            at, found = waiting[-1]
+            while found:
+                start, token = found[-1]
+                if start:
+                    before = last[start]
+                    if before == UNKNOWN:
+                        waiting.append((start, self._ending(start)))
+                        break
+                    fits = known(before << 32 | token)
+                    if not (stable(before, token) if fits is None else fits):
+                        found.pop()
+                        continue
+                last[at] = token
+                waiting.pop()
+                break
             else:
                 raise ValueError("a byte of the text has no token")
-            last.append(token)
+        return last[end]
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
-        """Put ``new`` in place of bytes ``start`` to ``stop``; returns how many prefixes were worked out anew."""
+        """Put ``new`` in place of bytes ``start`` to ``stop``; returns how many prefixes had to be worked out anew.
+
+        What follows the edit keeps its last tokens from where they agree again over the length of the longest token.
+        """
         old, tail, moved = self.last, bytes(self.data[stop:]), start + len(new) - stop
+        before = Prefixes(self.vocabulary, bytes(self.data))
+        before.last = old
         self.last, self.data = old[:start + 1], self.data[:start]
-        self.append(new)
-        edit_end, agree, worked = len(self.data), 0, len(new)
-        while len(self.data) < edit_end + len(tail):
-            at = len(self.last)
-            self.append(tail[at - 1 - edit_end:at - edit_end])
-            worked += 1
-            agree = agree + 1 if self.last[at] == old[at - moved] else 0
-            if agree >= self.vocabulary.longest and at - edit_end >= self.vocabulary.longest:
-                self.data += tail[at - edit_end:]
-                self.last += old[at - moved + 1:]
-        return worked
+        self.append(new + tail)
+        edit_end, agree, longest = start + len(new), 0, self.vocabulary.longest
+        for at in range(edit_end + 1, len(self.data) + 1):
+            agree = agree + 1 if self.last_at(at) == before.last_at(at - moved) else 0
+            if agree >= longest:
+                self.last[at + 1:] = old[at - moved + 1:]
+                return at - start
+        return len(self.data) - start
 
     def tokens(self) -> list[int]:
         found, end = [], len(self.data)
         while end:
-            found.append(self.last[end])
-            end -= len(self.vocabulary.pieces[self.last[end]])
+            found.append(self.last_at(end))
+            end -= len(self.vocabulary.pieces[found[-1]])
         return found[::-1]
 
 
