@@ -13,7 +13,7 @@ each; extra columns pass through; texts of any length are encoded whole. Null id
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,10 +22,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHED_MATCHES, CACHED_PAIRS, CACHED_LENGTH = 250_000, 200_000, 64  # per worker
+CACHED_MATCHES, CACHED_PAIRS, CACHED_LENGTH = 150_000, 200_000, 64  # per worker
 UNKNOWN = -2  # not worked out yet
 
 
+def parse_ranks(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in content.splitlines() if line)}
+
+
 class Vocabulary:
     """Ranks of byte strings, as in the lines "base64 rank" of a rank file."""
 
@@ -50,7 +54,7 @@ class Vocabulary:
 
     @classmethod
     def parse(cls, content: bytes) -> Vocabulary:
-        return cls({base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in content.splitlines() if line)})
+        return cls(parse_ranks(content))
 
     def parts(self, token: int) -> tuple[int, ...]:
         """The two tokens that BPE joins last in making ``token``; the token alone if it is a byte; () if BPE never makes it."""
@@ -206,11 +210,9 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.match_ids, self.find(text or "")))
 
-    def text(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 _encoders: dict[tuple[int, str], Encoder] = {}
+_pieces: dict[int, dict[int, bytes]] = {}
 
 
 def encoder(held: Broadcast, pattern: str) -> Encoder:
@@ -223,6 +225,20 @@ def encoder(held: Broadcast, pattern: str) -> Encoder:
     return _encoders[key]
 
 
+def pieces(held: Broadcast) -> dict[int, bytes]:
+    """The bytes of every token; a worker that only decodes holds nothing else."""
+    content = held.value
+    key = hash(content)
+    if key not in _pieces:
+        _pieces.clear()
+        _pieces[key] = {rank: piece for piece, rank in parse_ranks(content).items()}
+    return _pieces[key]
+
+
+def joined(ids: bytes, piece: Callable[[int], bytes]) -> bytes:
+    return b"".join(map(piece, np.frombuffer(ids, "<u4").tolist()))
+
+
 def vocabulary(spark: SparkSession, path: str) -> Broadcast:
     """The rank file at ``path`` (on the driver), sent to the executors: its size is the vocabulary's, never the data's."""
     with open(path, "rb") as file:
@@ -240,22 +256,36 @@ def encode(text: Column, held: Broadcast, pattern: str) -> Column:
     return ids(text)
 
 
-def decode(ids: Column, held: Broadcast, pattern: str) -> Column:
+def decode(ids: Column, held: Broadcast) -> Column:
     """The bytes that ids stand for."""
     @F.pandas_udf("binary")
     def content(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = encoder(held, pattern)
+        piece = pieces(held).__getitem__
         for rows in batches:
-            yield pd.Series([None if r is None else own.text(r) for r in rows], dtype=object)
+            yield pd.Series([None if r is None else joined(r, piece) for r in rows], dtype=object)
 
     return content(ids)
 
 
+def round_trip(text: Column, held: Broadcast, pattern: str) -> Column:
+    """(ids, decoded): the ids of ``text`` and the bytes that they decode to, by one Python worker a task."""
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own, piece = encoder(held, pattern), pieces(held).__getitem__
+        for texts in batches:
+            ids = [own.ids(t) for t in texts]
+            yield pd.DataFrame({"ids": ids, "decoded": [joined(i, piece) for i in ids]}, dtype=object)
+
+    return both(text)
+
+
 def with_ids(docs: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the ids of its ``text`` and, if named, the bytes they decode to."""
-    held = vocabulary(docs.sparkSession, path)
-    out = docs.withColumn(ids, encode(F.coalesce(F.col("text"), F.lit("")), held, pattern))
-    return out if decoded is None else out.withColumn(decoded, decode(F.col(ids), held, pattern))
+    held, text = vocabulary(docs.sparkSession, path), F.coalesce(F.col("text"), F.lit(""))
+    if decoded is None:
+        return docs.withColumn(ids, encode(text, held, pattern))
+    coded = round_trip(text, held, pattern)
+    return docs.withColumns({ids: coded["ids"], decoded: coded["decoded"]})
 
 
 def n_tokens(ids: str | Column) -> Column:
