@@ -183,3 +183,14 @@ def test_gravity_score_equations(spark):
     split = Y.predict_gravity(beta, table, gravity, [2019], 2019).agg(F.sum("predicted_value")).first()[0]
     whole = Y.predict_pairs(beta, gravity, [2019]).agg(F.sum("predicted_value")).first()[0]
     assert split == pytest.approx(whole)
+
+
+def test_gravity_predicts_every_pair(spark):
+    schema = "year int, iso3_o string, iso3_d string, dist double, contig double, comlang_off double, gdp_o double, gdp_d double"
+    cov = [(2020, "AAA", "BBB", 4.0, 0.0, 1.0, 9.0, 5.0), (2020, "AAA", "CCC", None, 0.0, 0.0, 9.0, 5.0),
+           (2020, "BBB", "CCC", 3.0, 0.0, 0.0, 0.0, 5.0), (2020, "CCC", "AAA", 3.0, None, 0.0, 2.0, 5.0),
+           (2020, "AAA", "AAA", 1.0, 0.0, 0.0, 9.0, 9.0), (2019, "AAA", "BBB", 4.0, 0.0, 1.0, 9.0, 5.0)]
+    beta = {"intercept": 1.0, "ln_dist": -1.0, "ln_gdp_o": 1.0, "ln_gdp_d": 0.0, "contig": 0.0, "comlang_off": 0.0}
+    got = {(r.iso3_o, r.iso3_d): r.predicted_value for r in Y.predict_pairs(beta, spark.createDataFrame(cov, schema), [2020]).collect()}
+    assert got.keys() == {("AAA", "BBB"), ("AAA", "CCC"), ("BBB", "CCC"), ("CCC", "AAA")}
+    assert abs(got.pop(("AAA", "BBB")) - math.e * 9 / 4) < 1e-9 and set(got.values()) == {None}

@@ -30,18 +30,23 @@ def attach_covariates(flows: DataFrame, gravity: DataFrame) -> DataFrame:
     return flows.join(named, keys, "left")
 
 
-def design(
+def covariates(
     gravity: DataFrame, years: Sequence[int], logged: Sequence[str] = LOGGED, plain: Sequence[str] = PLAIN
 ) -> DataFrame:
-    """Covariates of the years: logs as ``ln_*``; rows with a missing or non-positive covariate are left out."""
-    df = gravity.where(F.col("year").isin(list(years)) & (F.col("iso3_o") != F.col("iso3_d")))
-    for c in logged:
-        df = df.where(F.col(c) > 0)
-    return df.dropna(subset=[*logged, *plain]).select(
-        "iso3_o", "iso3_d", "year", *[F.log(c).alias(f"ln_{c}") for c in logged], *[F.col(c).cast("double").alias(c) for c in plain]
+    """Covariates of every pair and year: logs as ``ln_*``, null where a covariate is missing or has no log."""
+    return gravity.where(F.col("year").isin(list(years)) & (F.col("iso3_o") != F.col("iso3_d"))).select(
+        "iso3_o", "iso3_d", "year", *[F.when(F.col(c) > 0, F.log(c)).alias(f"ln_{c}") for c in logged],
+        *[F.col(c).cast("double").alias(c) for c in plain],
     )
 
 
+def design(
+    gravity: DataFrame, years: Sequence[int], logged: Sequence[str] = LOGGED, plain: Sequence[str] = PLAIN
+) -> DataFrame:
+    """Rows to fit on: those with all covariates."""
+    return covariates(gravity, years, logged, plain).dropna(subset=[*[f"ln_{c}" for c in logged], *plain])
+
+
 def training_rows(
     flows: DataFrame, gravity: DataFrame, years: Sequence[int], logged: Sequence[str] = LOGGED, plain: Sequence[str] = PLAIN
 ) -> DataFrame:
@@ -76,11 +81,14 @@ def predict_pairs(
     coefficients: dict[str, float], gravity: DataFrame, years: Sequence[int], logged: Sequence[str] = LOGGED,
     plain: Sequence[str] = PLAIN,
 ) -> DataFrame:
-    """Expected total flow per pair and year: (iso3_o, iso3_d, year, predicted_value)."""
+    """Expected total flow per pair and year: (iso3_o, iso3_d, year, predicted_value).
+
+    Every pair of the years comes back; the value is null where a covariate is missing.
+    """
     eta = F.lit(coefficients["intercept"])
     for name in [*[f"ln_{c}" for c in logged], *plain]:
         eta = eta + F.lit(coefficients[name]) * F.col(name)
-    return design(gravity, years, logged, plain).select("iso3_o", "iso3_d", "year", F.exp(eta).alias("predicted_value"))
+    return covariates(gravity, years, logged, plain).select("iso3_o", "iso3_d", "year", F.exp(eta).alias("predicted_value"))
 
 
 def product_shares(flows: DataFrame, year: int) -> DataFrame:

@@ -15,7 +15,7 @@ from tradelattice.plans.graph_queries import (
 )
 from tradelattice.plans.registry import SHARED, query, r, r6, rounded
 
-DIM = 8
+DIM, WIDE = 8, 64  # short vectors; those of the default projection
 COEFFICIENTS = {"intercept": 1.5, "ln_dist": -0.4, "ln_gdp_o": 0.5, "ln_gdp_d": 0.4, "contig": 0.3, "comlang_off": 0.2}
 RELATIONS = ["EXPORTS", "PROXIMITY", "NEIGHBOR_OF"]
 METRICS = ["roc_auc", "average_precision", "mrr"]
@@ -37,15 +37,22 @@ def _gcn(before: str) -> str:
              JOIN {{deg}} a ON a.node = e.src JOIN {{deg}} b ON b.node = e.dst GROUP BY ALL"""
 
 
-SHARED.update({
-    "f0": f"""
+def _projection(dim: int, tail: str = "") -> dict[str, str]:
+    """Random signs, their walks of one to three steps, and the normalised sum of the last two."""
+    named = {
+        "f0": f"""
         SELECT node, i, CASE h % 6 WHEN 0 THEN sqrt(3.0) WHEN 1 THEN -sqrt(3.0) ELSE 0.0 END AS v
         FROM (SELECT n.node, t.i, ('0x' || substr(md5(n.node || '|' || t.i || '|42'), 1, 8))::BIGINT AS h
-              FROM (SELECT DISTINCT src AS node FROM {{adj}}) n, range({DIM}) t(i))""",
-    "f1": _step("f0"), "f2": _step("f1"), "f3": _step("f2"),
-    "u2": _unit("f2"), "u3": _unit("f3"),
-    "fsum": "SELECT node, i, sum(v) AS v FROM (SELECT * FROM {u2} UNION ALL SELECT * FROM {u3}) GROUP BY ALL",
-    "frp": _unit("fsum"),
+              FROM (SELECT DISTINCT src AS node FROM {{adj}}) n, range({dim}) t(i))""",
+        "f1": _step(f"f0{tail}"), "f2": _step(f"f1{tail}"), "f3": _step(f"f2{tail}"),
+        "u2": _unit(f"f2{tail}"), "u3": _unit(f"f3{tail}"),
+        "fsum": f"SELECT node, i, sum(v) AS v FROM (SELECT * FROM {{u2{tail}}} UNION ALL SELECT * FROM {{u3{tail}}}) GROUP BY ALL",
+        "frp": _unit(f"fsum{tail}"),
+    }
+    return {f"{name}{tail}": sql for name, sql in named.items()}
+
+
+SHARED.update(_projection(DIM) | _projection(WIDE, "_64") | {
     "g1": _gcn("f0"), "g2": _gcn("g1"),
     "both_edge": "SELECT DISTINCT a AS src, b AS dst, rel FROM (SELECT a, b, rel FROM {link_edge} UNION ALL SELECT b, a, rel FROM {link_edge})",
     "scored": f"""
@@ -74,9 +81,9 @@ SHARED.update({
                       max(CASE WHEN metric = 'average_precision' THEN value END) AS average_precision,
                       max(CASE WHEN metric = 'mrr' THEN value END) AS mrr FROM {metric} GROUP BY model""",
     "mu": f"""
-        SELECT iso3_o, iso3_d, year, exp(1.5 - 0.4 * ln(dist) + 0.5 * ln(gdp_o) + 0.4 * ln(gdp_d) + 0.3 * contig
-               + 0.2 * comlang_off) AS predicted_value
-        FROM {{gravity}} WHERE year = {YEAR + 1} AND iso3_o <> iso3_d AND dist > 0 AND gdp_o > 0 AND gdp_d > 0""",
+        SELECT iso3_o, iso3_d, year, CASE WHEN dist > 0 AND gdp_o > 0 AND gdp_d > 0 THEN
+               exp(1.5 - 0.4 * ln(dist) + 0.5 * ln(gdp_o) + 0.4 * ln(gdp_d) + 0.3 * contig + 0.2 * comlang_off) END AS predicted_value
+        FROM {{gravity}} WHERE year = {YEAR + 1} AND iso3_o <> iso3_d""",
     "mu_hs": f"""
         SELECT m.iso3_o AS reporter_iso3, m.iso3_d AS partner_iso3, s.hs4, m.year, m.predicted_value * s.v / t.v AS predicted_value
         FROM {{mu}} m JOIN (SELECT reporter_iso3 AS o, hs4, sum(value) AS v FROM {{flows}} WHERE flow = 'X' AND year = {YEAR} GROUP BY ALL) s
@@ -118,7 +125,7 @@ def fastrp(t):
     return _long(E.fastrp(link_graph(t), DIM))
 
 
-@query("fastrp_64")
+@query("fastrp_64", LONG + "(SELECT node, i AS dim, v AS value FROM {frp_64})")
 def fastrp_64(t):
     return _long(E.fastrp(link_graph(t)))
 
