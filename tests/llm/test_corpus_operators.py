@@ -165,6 +165,14 @@ def test_byte_bpe_equals_the_merges_and_decodes(spark):
         assert bytes(r.decoded) == (texts[r.doc_id] or "").encode()
 
 
+def test_ids_decode_alone(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.with_ids(docs_of(spark, ["ßé 中文", "", None]), path, public_tokenizers.PATTERN).select("doc_id", "ids")
+    coded = coded.unionByName(spark.createDataFrame([(9, None)], coded.schema))
+    rows = coded.withColumn("out", bpe.decode(F.col("ids"), bpe.vocabulary(spark, path))).collect()
+    assert {r.doc_id: None if r.out is None else bytes(r.out) for r in rows} == {0: "ßé 中文".encode(), 1: b"", 2: b"", 9: None}
+
+
 def every_last(prefixes):
     return [prefixes.last_at(end) for end in range(1, len(prefixes.data) + 1)]
 
