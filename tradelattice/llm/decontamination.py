@@ -97,6 +97,11 @@ def walk_keys(windows: np.ndarray, settings: Settings) -> np.ndarray:
     return out
 
 
+def dense(places: np.ndarray, width: int, least: int) -> bool:
+    """Whether some ``width`` neighbouring places hold ``least`` of the sorted ``places``."""
+    return len(places) >= least and bool((places[least - 1:] - places[:len(places) - least + 1] < width).any())
+
+
 def starts(hits: np.ndarray, length: int, settings: Settings) -> np.ndarray:
     """Starts of windows with enough grams that hold as many (less one) as any window within the allowed edits."""
     held = length - gram_size(length, settings) + 1
@@ -166,23 +171,26 @@ def window_rows(docs: DataFrame, key: str, table: np.ndarray, lengths: list[int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (masks, sizes) = WordHashes(), held.value
-        gram_sizes = sorted({gram_size(n, settings) for n in sizes})
+        by_size: dict[int, list[tuple[int, int, int]]] = {}  # gram size -> (place in the screen, length, fewest grams)
+        for k, n in enumerate(sizes):
+            by_size.setdefault(gram_size(n, settings), []).append((k, n, least_grams(n, settings)))
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
                 met: dict[int, list] = {}
                 for row, text in enumerate(part.column(1).to_pylist()):
                     words = hashed_words(text, hashes)
-                    for q in gram_sizes:
+                    for q in sorted(by_size):
                         mask = masks[grams(words, q) >> np.uint64(64 - settings.bits)]
-                        if not mask.any():
+                        places = np.flatnonzero(mask)
+                        if not len(places):
                             continue
-                        union = int(np.bitwise_or.reduce(mask))
-                        for k, n in enumerate(sizes):
-                            if gram_size(n, settings) != q or not union >> (k % 64) & 1:
-                                continue
-                            hits = ((mask >> np.uint64(k % 64)) & np.uint64(1)).astype(np.int64)
-                            if hits.sum() >= least_grams(n, settings):
+                        marks = mask[places]
+                        for k, n, least in by_size[q]:
+                            at_gram = places[(marks & np.uint64(1 << k % 64)) != 0]
+                            if dense(at_gram, n - q + 1, least):
+                                hits = np.zeros(len(mask), np.int64)
+                                hits[at_gram] = 1
                                 met.setdefault(n, []).extend((row, s, words) for s in starts(hits, n, settings).tolist())
                 for n, found in met.items():
                     if not found:
