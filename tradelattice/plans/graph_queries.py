@@ -227,32 +227,35 @@ def typed_edge_table(t):
     return G.typed_edges(adv(t), t.flows, t.gravity, proximity_table(t), product_node_table(t), gravity_year=YEAR)
 
 
-@query("typed_edges", f"SELECT src_type, src, rel, dst_type, dst, {r('weight', 4)} AS weight, year FROM {{edge}}")
+EDGES = f"SELECT src_type, src, rel, dst_type, dst, {r('weight', 4)} AS weight, year FROM {{edge}}"
+
+
+@query("typed_edges", EDGES)
 def typed_edges(t):
     return rounded(typed_edge_table(t), 4)
 
 
-@query("typed_edges_exports_only", "SELECT rel, count(*)::BIGINT AS n FROM {edge} WHERE rel = 'EXPORTS' GROUP BY ALL")
+@query("typed_edges_exports_only", EDGES + " WHERE rel = 'EXPORTS'")
 def typed_edges_exports_only(t):
-    return G.typed_edges(adv(t)).groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(G.typed_edges(adv(t)), 4)
 
 
-@query("stored_graph", "SELECT rel, count(*)::BIGINT AS n FROM {edge} GROUP BY ALL")
+@query("stored_graph", EDGES)
 def stored_graph(t):
     path = scratch_path(t.spark, "graph")
     nodes = {"country": G.require_unique(country_node_table(t), ["iso3"]), "product": product_node_table(t),
              "section": G.section_nodes(t.sections)}
     tables.save_graph(nodes, typed_edge_table(t), path)
     edges = t.spark.read.parquet(f"{path}/edges")
-    return edges.groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(edges.select("src_type", "src", "rel", "dst_type", "dst", "weight", "year"), 4)
 
 
-@query("stored_complexity", "SELECT year, count(*)::BIGINT AS n FROM {pres} GROUP BY ALL")
+@query("stored_complexity", f"SELECT year, iso3, hs4, {r('density')} AS density FROM {{dens}}")
 def stored_complexity(t):
     path = scratch_path(t.spark, "complexity")
     result = C.compute_complexity(t.exports)
     tables.save_complexity(result, path, result.proximity.where("year = 2001").drop("year"))
-    return t.spark.read.parquet(f"{path}/density_matrix").groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(t.spark.read.parquet(f"{path}/density_matrix").select("year", "iso3", "hs4", "density"))
 
 
 # --- joins on the graph --------------------------------------------------------------------------

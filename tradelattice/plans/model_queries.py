@@ -95,8 +95,8 @@ SHARED.update(_projection(DIM) | _projection(WIDE, "_64") | {
 })
 
 
-def _long(vectors):
-    return rounded(vectors.select("node", F.posexplode("vector").alias("dim", "value")))
+def _long(vectors, digits=8):
+    return rounded(vectors.select("node", F.posexplode("vector").alias("dim", "value")), digits)
 
 
 LONG = f"SELECT node, dim::INT AS dim, {r('value')} AS value FROM "
@@ -242,7 +242,36 @@ def model_selection(t):
     return table
 
 
-@query("node_features")
+SHARED.update({
+    "feature_input": f"""
+        SELECT 'country' AS kind, 'country:' || c.iso3 AS node, coalesce(c.region::VARCHAR, '') AS label,
+               [ln(1 + w.gdp), ln(1 + w.gdp_pc), ln(1 + w.population), k.k] AS numbers,
+               [0.0::DOUBLE, (c.iso3 IN ('N02', 'N09'))::INT::DOUBLE, (c.iso3 IN ('N01', 'N02', 'N03'))::INT::DOUBLE] AS flags
+        FROM {{countries}} c LEFT JOIN (SELECT * FROM {{indicator_wide}} WHERE year = {YEAR}) w USING (iso3)
+             LEFT JOIN (SELECT * FROM {{refl_c2}} WHERE year = {YEAR}) k USING (iso3)
+        UNION ALL
+        SELECT 'product', 'product:' || p.hs4, coalesce(s.code::VARCHAR, ''), [q.pci], []::DOUBLE[]
+        FROM {{products}} p LEFT JOIN {{sections}} s ON substr(p.hs4, 1, 2)::INT BETWEEN s.hs2_from AND s.hs2_to
+             LEFT JOIN (SELECT * FROM {{pcir}} WHERE year = {YEAR}) q USING (hs4)""",
+    "feature_mean": """
+        SELECT *, avg(x) OVER (PARTITION BY kind, dim) AS mean
+        FROM (SELECT kind, node, unnest(range(len(numbers))) AS dim, unnest(numbers) AS x FROM {feature_input})""",
+    "feature_scaled": """
+        SELECT node, dim, CASE WHEN dev > 0 THEN (coalesce(x, mean) - mean) / dev ELSE 0 END AS value
+        FROM (SELECT *, stddev_samp(coalesce(x, mean)) OVER (PARTITION BY kind, dim) AS dev FROM {feature_mean})""",
+    # One column a label, and one for labels not seen in training.
+    "feature_label": """
+        SELECT kind, label, row_number() OVER (PARTITION BY kind ORDER BY label) - 1 AS place, count(*) OVER (PARTITION BY kind) AS n
+        FROM (SELECT DISTINCT kind, label FROM {feature_input})""",
+})
+
+
+@query("node_features", f"""SELECT node, dim::INT AS dim, {r6('value')} AS value FROM (
+    SELECT node, dim, value FROM {{feature_scaled}}
+    UNION ALL SELECT f.node, len(f.numbers) + l.place, (l.label = f.label)::INT FROM {{feature_input}} f JOIN {{feature_label}} l ON l.kind = f.kind
+    UNION ALL SELECT f.node, len(f.numbers) + l.n, 0 FROM {{feature_input}} f JOIN {{feature_label}} l ON l.kind = f.kind AND l.label = f.label
+    UNION ALL SELECT f.node, len(f.numbers) + l.n + 1 + unnest(range(len(f.flags))), unnest(f.flags)
+              FROM {{feature_input}} f JOIN {{feature_label}} l ON l.kind = f.kind AND l.label = f.label)""")
 def node_features(t):
     countries, products = country_node_table(t), product_node_table(t)
     of_country = G.fit_features(
@@ -252,16 +281,14 @@ def node_features(t):
     of_product = G.fit_features(products, numbers=["pci"], categories=["section"])
     return _long(
         G.assemble_features(countries, of_country, "iso3", "country")
-        .unionByName(G.assemble_features(products, of_product, "hs_code", "product"))
+        .unionByName(G.assemble_features(products, of_product, "hs_code", "product")), 6,
     )
 
 
-@query("features_with_embeddings", f"""SELECT node, count(*)::BIGINT AS width FROM (
-    SELECT node, i FROM {{f0}} UNION ALL SELECT node, {DIM} + i FROM {{frp}}) GROUP BY ALL""")
+@query("features_with_embeddings", LONG + f"(SELECT node, i AS dim, v AS value FROM {{f0}} UNION ALL SELECT node, {DIM} + i, v FROM {{frp}})")
 def features_with_embeddings(t):
     vectors = t.stored("fastrp", lambda: E.fastrp(link_graph(t), DIM))
-    both = G.append_embeddings(signs(t), vectors, DIM)
-    return both.select("node", F.size("vector").cast("bigint").alias("width"))
+    return _long(G.append_embeddings(signs(t), vectors, DIM))
 
 
 # --- gravity -------------------------------------------------------------------------------------
