@@ -44,12 +44,18 @@ class SortedProjections:
         self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(projected.T, self.order, axis=1)
 
-    def first_radius(self) -> float:
-        """A radius whose windows hold a few rows: what one in about a thousand of the spread is worth."""
+    def first_radius(self, k: int, probes: int = 8) -> float:
+        """Half the usual distance of a row's k-th nearest, by a few rows evenly taken; at copies, what one row's share of the spread is worth.
+
+        A larger first radius only verifies more rows in the first round, so it loses none.
+        """
+        n = len(self.vectors)
+        taken = self.vectors[np.linspace(0, n - 1, min(n, probes)).astype(np.int64)]
+        usual = np.median([np.partition(((self.vectors - row) ** 2).sum(axis=1), min(k, n - 1))[min(k, n - 1)] for row in taken])
         spread = np.median(self.values[:, -1] - self.values[:, 0])
-        return max(float(spread) / (len(self.vectors) + 1) / self.settings.width, 1e-12)
+        return max(float(np.sqrt(usual)) / 2, float(spread) / (n + 1) / self.settings.width, 1e-12)
 
-    def nearest(self, query: np.ndarray, k: int, left_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, query: np.ndarray, k: int, left_out: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray]:
         """Places and exact distances of the rows verified, nearest first, at most all but ``left_out``."""
         s, n = self.settings, len(self.vectors)
         centre = query @ self.lines
@@ -57,7 +63,7 @@ class SortedProjections:
         high, counts = low.copy(), np.zeros(n, np.int32)
         verified = left_out.copy()
         found, distances = [np.zeros(0, np.int64)], [np.zeros(0)]
-        radius, need = self.first_radius(), int(s.share * s.projections)
+        radius, need = first, int(s.share * s.projections)
         while True:
             half = s.width * radius / 2
             for j in range(s.projections):
@@ -105,8 +111,9 @@ def search(rows: DataFrame, is_query: Column, k: int, settings: Settings = Setti
             own = own.sort_values("vec_id")
             ids = own["vec_id"].to_numpy()
             index = SortedProjections(np.stack(own["vector"].to_numpy()).astype(np.float64), settings)
+            first = index.first_radius(k)
             for query_id, query in zip(asked["vec_id"], asked["vector"]):
-                places, distances = index.nearest(np.asarray(query, np.float64), k, ids == query_id)
+                places, distances = index.nearest(np.asarray(query, np.float64), k, ids == query_id, first)
                 best = np.lexsort([ids[places], distances])[:k]
                 out += [(query_id, ids[places[b]], distances[b]) for b in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
