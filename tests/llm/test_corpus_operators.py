@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import math
 import random
 import re
@@ -374,3 +375,25 @@ def test_license_scan_by_brute_force(spark):
     assert [rows[i].labels for i in (0, 1, 2, 4, 5, 6, 7, 8)] == [
         "mit,mit-release", "apache,apache-2.0", "gpl", "gpl,gpl-3.0", "cc-by-nc-4.0", "", "mit-grant", ""]
     assert licenses.scan(docs_of(spark, ODD)).count() == len(ODD) and licenses.scan(docs_of(spark, ODD).limit(0)).count() == 0
+
+
+def test_license_scan_keeps_every_notice_of_a_document(spark):
+    single = {label: n.text for label, n in licenses.NOTICES.items()}
+    combos = [c for k in (1, 2, 3) for c in itertools.combinations(single, k)] + [tuple(single)]
+    data = ["gpl-3.0", "cc-by-nc-4.0", "mit-release", "apache-2.0"]
+    combos += [tuple(data), tuple(data[::-1])]
+    others = [prose(30) + " " + " ".join(licenses.VOCABULARY[k::5]) for k in range(5)]
+    rows = licenses.scan(docs_of(spark, [". ".join(single[x] for x in c) for c in combos] + others)).collect()
+    labels = {r.doc_id: set(r.labels.split(",")) for r in rows}
+    assert [c for i, c in enumerate(combos) if labels[i] - set(licenses.MENTIONS.values()) != set(c)] == []
+
+
+def test_license_scan_usual_headers(spark):
+    texts = {
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License": "gpl,gpl-2.0",
+        "# SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0", "// SPDX-License-Identifier: MIT": "mit", "CC BY 4.0": "cc-by-4.0",
+        "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-4.0",
+        "SPDX-License-Identifier: (MIT": "mit", "SPDX License Identifier": "",
+    }
+    rows = licenses.scan(docs_of(spark, list(texts))).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == list(texts.values())

@@ -2,12 +2,13 @@
 
 1. The index holds each word of the notices with its positions. How rare a licence word is comes from the number of all
    documents that hold it.
-2. A document is looked up by its ``lookups`` rarest licence words. Each occurrence, less the word's position in a
-   notice, says where the notice would begin; the beginnings on which most different words agree are the candidates.
+2. A document with a mandatory phrase is looked up by the ``lookups`` rarest words of each notice whose phrase it holds,
+   so no notice crowds out another. Each occurrence, less the word's position in a notice, says where the notice would
+   begin; the beginnings on which most different words agree are the candidates.
 3. A candidate counts if a mandatory phrase of the notice stands in the document at the place the beginning asks for,
    give or take ``slack`` words.
 
-A document that lacks a word of every mandatory phrase cannot have a match and is not looked up. The score is the
+A document without any mandatory phrase cannot have a match and is not looked up. The score is the
 largest share of a notice's rarest words (by their inverse document frequency) that agree; a document with only a plain
 mention ("mit license") has 0.5, one without both 0. Notices, their words and the frequencies of those words are of
 fixed number; nothing else is broadcast or collected.
@@ -63,6 +64,28 @@ NOTICES = {
 }
 
 
+#: Further usual forms, by label. Fixed values.
+HEADERS = [
+    *((f"gpl-{v}.0", Notice("under the terms of the GNU General Public License as published by the Free Software Foundation, either"
+                            f" version {v} of the License", "gnu general public license as published by the free software foundation"
+                            f" either version {v}")) for v in (2, 3)),
+    ("lgpl", Notice("under the terms of the GNU Library General Public License", "gnu library general public license")),
+    ("cc-by-4.0", Notice("Licensed under CC BY 4.0", "cc by 4 0")),
+    ("cc-by-nc-4.0", Notice("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+                            "creative commons attribution noncommercial 4 0 international")),
+    ("cc-by-sa-4.0", Notice("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+                            "creative commons attribution sharealike 4 0 international")),
+    *((label, Notice(f"SPDX-License-Identifier: {name}", f"spdx license identifier {name.lower().replace('-', ' ').replace('.', ' ')}"))
+      for label, name in [
+          ("agpl-3.0", "AGPL-3.0"), ("apache-2.0", "Apache-2.0"), ("bsd", "BSD"), ("cc-by-4.0", "CC-BY-4.0"), ("cc-by-nc-4.0", "CC-BY-NC-4.0"),
+          ("cc-by-sa-4.0", "CC-BY-SA-4.0"), ("gpl-2.0", "GPL-2.0"), ("gpl-3.0", "GPL-3.0"), ("isc", "ISC"), ("lgpl", "LGPL"), ("mit", "MIT"),
+          ("mpl-2.0", "MPL-2.0"), ("unlicense", "Unlicense")]),
+]
+
+#: All forms: (label, notice). Forms are told apart by their place in the list.
+FORMS = [*NOTICES.items(), *HEADERS]
+
+
 @dataclass(frozen=True)
 class Settings:
     lookups: int = 8
@@ -74,7 +97,7 @@ def notice_words(text: str) -> list[str]:
     return [w for w in re.split(SEPARATORS, text.lower()) if w]
 
 
-VOCABULARY = sorted({w for n in NOTICES.values() for w in notice_words(n.text)})
+VOCABULARY = sorted({w for _, n in FORMS for w in notice_words(n.text)})
 
 
 def words_of(text: Column) -> Column:
@@ -96,6 +119,16 @@ def labelled_starts(words: Column, phrase: list[str], label: str) -> Column:
     return F.transform(phrase_starts(words, phrase), lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
 
 
+def form_starts(words: Column, held: Column, phrase: list[str], form: int) -> Column:
+    """As ``labelled_starts``, looked for only where all the phrase's words are among the licence words ``held``."""
+    places = F.transform(phrase_starts(words, phrase), lambda i: F.struct(i.alias("at"), F.lit(form).alias("form")))
+    return F.when(F.size(F.array_except(strings(phrase), held)) == 0, places).otherwise(F.array().cast("array<struct<at:int,form:int>>"))
+
+
+def rarest_words(notice: Notice, rare: dict[str, float], lookups: int) -> list[str]:
+    return sorted(sorted(set(notice_words(notice.text))), key=lambda w: -rare[w])[:lookups]
+
+
 def frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
     """Documents, and documents with each licence word: as many numbers as there are licence words."""
     held = docs.select(F.explode(F.array_append(F.array_intersect(words_of(text_of()), strings(VOCABULARY)), "")).alias("word"))
@@ -115,25 +148,21 @@ def scan(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     ``spans``: label, first word and share of each notice found.
     """
     rare = inverse(*frequencies(docs))
-    weight = F.create_map(*(F.lit(x) for w in VOCABULARY for x in (w, rare[w])))
     rows = docs.select(F.col("doc_id"), words_of(text_of()).alias("words"))
     rows = rows.withColumn("held", F.array_intersect("words", strings(VOCABULARY)))
-    keys = {label: notice_words(n.key) for label, n in NOTICES.items()}
-    possible = reduce(Column.__or__, (F.size(F.array_except(strings(key), F.col("held"))) == 0 for key in keys.values()))
-    rarest = F.transform(
-        F.slice(F.array_sort(F.transform("held", lambda w: F.struct((-weight[w]).alias("cost"), w.alias("word")))), 1, settings.lookups),
-        lambda x: x["word"])
-    rows = rows.withColumn("rarest", F.when(possible, rarest))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(F.col("rarest"), x["word"]))
     mentions = [labelled_starts(F.col("words"), p.split(), label) for p, label in MENTIONS.items()]
-    proofs = [labelled_starts(F.col("words"), key, label) for label, key in keys.items()]
+    proofs = [form_starts(F.col("words"), F.col("held"), notice_words(n.key), k) for k, (_, n) in enumerate(FORMS)]
     nothing = F.array().cast("array<struct<at:int,label:string>>")
+    rows = rows.select(
+        "doc_id", "words", F.when(F.array_contains("held", "license"), F.concat(*mentions)).otherwise(nothing).alias("mentions"),
+        F.concat(*proofs).alias("proofs"),
+    )
+    listed = strings(sorted({w for _, n in FORMS for w in rarest_words(n, rare, settings.lookups)}))
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(listed, x["word"]))
     scanned = stage(
         rows.select(
-            "doc_id", F.uuid().alias("row"), F.size("words").cast("long").alias("n_words"),
-            F.when(F.array_contains("words", "license"), F.concat(*mentions)).otherwise(nothing).alias("mentions"),
-            F.when(F.col("rarest").isNotNull(), hits).alias("hits"),
-            F.when(F.col("rarest").isNotNull(), F.concat(*proofs)).alias("proofs"),
+            "doc_id", F.uuid().alias("row"), F.size("words").cast("long").alias("n_words"), "mentions",
+            F.when(F.size("proofs") > 0, hits).alias("hits"), F.when(F.size("proofs") > 0, F.col("proofs")).alias("proofs"),
         ), "scanned",
     )
     spans = found_notices(scanned.where("hits is not null"), rare, settings)
@@ -159,25 +188,28 @@ def found_notices(scanned: DataFrame, rare: dict[str, float], settings: Settings
     """(row, spans) of documents in which notices are found."""
     spark = scanned.sparkSession
     postings, proofs = [], []
-    for label, notice in NOTICES.items():
+    for form, (label, notice) in enumerate(FORMS):
         words, key = notice_words(notice.text), notice_words(notice.key)
-        top = sorted(sorted(set(words)), key=lambda w: -rare[w])[:settings.lookups]
+        top = rarest_words(notice, rare, settings.lookups)
         whole = sum(rare[w] for w in top)
-        postings += [(label, w, k, rare[w] / whole) for k, w in enumerate(words) if w in top]
-        proofs.append((label, next((k for k in range(len(words)) if words[k:k + len(key)] == key), 0)))
-    index = F.broadcast(fixed_rows(spark, postings, ["label", "word", "place", "part"]))
-    anchors = F.broadcast(fixed_rows(spark, proofs, ["label", "key_place"]))
+        postings += [(form, w, k, rare[w] / whole) for k, w in enumerate(words) if w in top]
+        proofs.append((form, label, next((k for k in range(len(words)) if words[k:k + len(key)] == key), 0)))
+    index = F.broadcast(fixed_rows(spark, postings, ["form", "word", "place", "part"]))
+    anchors = F.broadcast(fixed_rows(spark, proofs, ["form", "label", "key_place"]))
     begin = (
-        scanned.select("row", F.explode("hits").alias("hit")).select("row", F.col("hit.word").alias("word"), F.col("hit.at").alias("at"))
-        .join(index, "word").select("row", "label", (F.col("at") - F.col("place")).alias("begin"), "word", "part").distinct()
-        .groupBy("row", "label", "begin").agg(F.sum("part").alias("share"), F.count(F.lit(1)).alias("agreeing"))
+        scanned.select("row", F.array_distinct("proofs.form").alias("forms"), F.explode("hits").alias("hit"))
+        .select("row", "forms", F.col("hit.word").alias("word"), F.col("hit.at").alias("at"))
+        .join(index, "word").where(F.array_contains("forms", F.col("form")))
+        .select("row", "form", (F.col("at") - F.col("place")).alias("begin"), "word", "part").distinct()
+        .groupBy("row", "form", "begin").agg(F.sum("part").alias("share"), F.count(F.lit(1)).alias("agreeing"))
     )
     proven = (
-        scanned.select("row", F.explode("proofs").alias("proof")).select("row", F.col("proof.label").alias("label"), F.col("proof.at").alias("at"))
-        .join(anchors, "label").select("row", "label", (F.col("at") - F.col("key_place")).alias("asked"))
-        .select("row", "label", F.explode(F.sequence(F.col("asked") - settings.slack, F.col("asked") + settings.slack)).alias("begin")).distinct()
+        scanned.select("row", F.explode("proofs").alias("proof")).select("row", F.col("proof.form").alias("form"), F.col("proof.at").alias("at"))
+        .join(anchors, "form").select("row", "form", "label", (F.col("at") - F.col("key_place")).alias("asked"))
+        .select("row", "form", "label", F.explode(F.sequence(F.col("asked") - settings.slack, F.col("asked") + settings.slack)).alias("begin"))
+        .distinct()
     )
-    met = begin.where((F.col("agreeing") > 1) & (F.col("share") >= settings.least_share)).join(proven, ["row", "label", "begin"])
+    met = begin.where((F.col("agreeing") > 1) & (F.col("share") >= settings.least_share)).join(proven, ["row", "form", "begin"])
     best = met.groupBy("row", "label").agg(F.max(F.struct("share", (-F.col("begin")).alias("late"))).alias("best"))
     return best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
         "label", (-F.col("best.late")).cast("long").alias("first_word"), F.least(F.col("best.share"), F.lit(1.0)).alias("share")))).alias("spans"))
