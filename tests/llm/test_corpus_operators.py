@@ -295,6 +295,26 @@ def test_decontamination_odd_rows(spark):
     assert decontamination.matches(docs, items.limit(0)).count() == 0 and decontamination.matches(docs.limit(0), items).count() == 0
 
 
+def leaked(words, rng, percent=20):
+    """``words`` with as many of them replaced as are allowed."""
+    out = list(words)
+    for k in rng.sample(range(len(words)), len(words) * percent // 100):
+        out[k] = "".join(rng.choice("vwxyz") for _ in range(9))
+    return out
+
+
+def test_decontamination_screen_keeps_edited_neighbours():
+    rng, settings = random.Random(6), decontamination.Settings()
+    q, lost = decontamination.gram_size(60, settings), 0
+    for _ in range(50):
+        items = [prose(60, rng).split() for _ in range(3)]
+        known = {tuple(x[k:k + q]) for x in items for k in range(61 - q)}
+        text = prose(40, rng).split() + [w for x in items for w in leaked(x, rng)] + prose(40, rng).split()
+        hits = np.array([tuple(text[k:k + q]) in known for k in range(len(text) - q + 1)], np.int64)
+        lost += len({40, 100, 160} - set(decontamination.starts(hits, 60, settings).tolist()))
+    assert lost == 0
+
+
 # --- nearest neighbours ---
 
 def test_collision_search_recall_and_exact_scores(spark):

@@ -103,14 +103,10 @@ def dense(places: np.ndarray, width: int, least: int) -> bool:
 
 
 def starts(hits: np.ndarray, length: int, settings: Settings) -> np.ndarray:
-    """Starts of windows with enough grams that hold as many (less one) as any window within the allowed edits."""
+    """Starts of all windows with enough grams. A stretch within the allowed edits of an item begins at one of them."""
     held = length - gram_size(length, settings) + 1
-    padded = np.concatenate([np.zeros(held), hits, np.zeros(held)])
-    counts = np.cumsum(padded)[held:] - np.cumsum(padded)[:-held]  # of the window at k - held + 1
-    reach = max(1, edits(length, settings))
-    around = np.lib.stride_tricks.sliding_window_view(np.pad(counts, reach), 2 * reach + 1).max(axis=1)
-    good = np.flatnonzero((counts >= least_grams(length, settings)) & (counts >= around - 1))
-    return good - held + 1
+    total = np.cumsum(np.concatenate([[0], hits, np.zeros(held, np.int64)]))
+    return np.flatnonzero(total[held:len(hits) + held] - total[:len(hits)] >= least_grams(length, settings))
 
 
 def cut(words: np.ndarray, start: int, length: int) -> np.ndarray:
