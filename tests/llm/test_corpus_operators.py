@@ -315,6 +315,17 @@ def test_decontamination_screen_keeps_edited_neighbours():
     assert lost == 0
 
 
+@pytest.mark.parametrize("length", [8, 15, 60, 200])
+def test_decontamination_misses_no_item_at_the_full_edits(spark, length):
+    rng = random.Random(length)
+    items = [prose(length, rng).split() for _ in range(40)]
+    texts = [" ".join(prose(30, rng).split() + leaked(x, rng) + leaked(items[k - 1], rng) + prose(30, rng).split()) for k, x in enumerate(items)]
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    rows = decontamination.matches(docs_of(spark, texts), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(k, i % 40) for k in range(40) for i in (k, k - 1)}
+    assert {r.distance for r in rows} <= set(range(length // 5 + 1))
+
+
 # --- nearest neighbours ---
 
 def test_collision_search_recall_and_exact_scores(spark):

@@ -3,12 +3,11 @@
 1. A screen finds the stretches of a text that need windows at all. An item of n words with at most k edits keeps at
    least (n - q + 1) - k * q of its q-word grams, so a window of n words with fewer grams of items of that length
    cannot match. The screen is a table of fixed size: for a hashed gram, the lengths of items that hold it.
-2. Item-sized windows (and the items) go through the CGK random walk: pointer i reads a word, and a random function of
-   step and word decides whether i moves on, so that few edits become few differing coordinates. Keys of ``sampled``
-   coordinates, several for each of several walks, meet in an equi join: a pair that agrees in a share a of the
-   coordinates meets with probability 1 - (1 - a^sampled)^(walks * keys).
-3. Every pair that met is verified by the edit distance between the item and the best stretch of the text around the
-   window.
+2. Neighbouring windows make a region, and regions and items meet in an equi join on grams. Edits destroy at most k * q of
+   an item's grams, so of any k * q + 1 one is left in the region: an item is looked up by its k * q + 1 grams that the
+   fewest items hold. No pair within the allowed edits is missed.
+3. Every pair that met and shares enough grams is verified by the edit distance between the item and the best stretch of
+   the region.
 
 Words are runs of letters and digits, in lower case. Items of fewer than ``least_words`` words are not looked for.
 Defined results: null and empty texts and items match nothing; repeated items are found each; repeated rows give one
@@ -25,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelattice.llm.common import text_of
@@ -42,11 +41,7 @@ class Settings:
 
     percent: int = 20
     least_words: int = 5
-    walks: int = 6
-    keys: int = 4
-    sampled: int = 3
     bits: int = 19
-    seed: int = 5
 
 
 def hashed_words(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -77,26 +72,6 @@ def grams(words: np.ndarray, size: int) -> np.ndarray:
     return mixed(rolled)
 
 
-def walk_keys(windows: np.ndarray, settings: Settings) -> np.ndarray:
-    """Keys of windows of one length, one row a window: CGK walks, read at sampled steps."""
-    count, length = windows.shape
-    rng = np.random.default_rng([settings.seed, length])
-    steps = 2 * length
-    rows, out = np.arange(count), np.zeros((count, settings.walks * settings.keys), np.uint64)
-    for walk in range(settings.walks):
-        turn = rng.integers(1, 2 ** 63, steps, np.uint64) * np.uint64(2) + np.uint64(1)
-        picks = np.stack([np.sort(rng.choice(steps, settings.sampled, replace=False)) for _ in range(settings.keys)])
-        at, held = np.zeros(count, np.int64), np.zeros((count, settings.keys), np.uint64)
-        for step in range(steps):
-            word = np.where(at < length, windows[rows, np.minimum(at, length - 1)], np.uint64(0))
-            for key in np.flatnonzero((picks == step).any(axis=1)):
-                held[:, key] = mixed(held[:, key] * STEP + word)
-            at += (mixed(word * turn[step]) >> np.uint64(63)).astype(np.int64)
-        tags = np.uint64(length) * np.uint64(1000) + np.arange(walk * settings.keys, (walk + 1) * settings.keys, dtype=np.uint64)
-        out[:, walk * settings.keys:(walk + 1) * settings.keys] = mixed(held + mixed(tags))
-    return out
-
-
 def dense(places: np.ndarray, width: int, least: int) -> bool:
     """Whether some ``width`` neighbouring places hold ``least`` of the sorted ``places``."""
     return len(places) >= least and bool((places[least - 1:] - places[:len(places) - least + 1] < width).any())
@@ -109,34 +84,54 @@ def starts(hits: np.ndarray, length: int, settings: Settings) -> np.ndarray:
     return np.flatnonzero(total[held:len(hits) + held] - total[:len(hits)] >= least_grams(length, settings))
 
 
-def cut(words: np.ndarray, start: int, length: int) -> np.ndarray:
-    """``length`` words from ``start``; zeros where the text has none."""
-    out = np.zeros(length, np.uint64)
-    part = words[max(0, start):max(0, start + length)]
-    out[max(0, -start):max(0, -start) + len(part)] = part
-    return out
+def regions(begins: np.ndarray, length: int, settings: Settings) -> Iterator[tuple[int, int]]:
+    """First and last word of the regions of windows that begin at ``begins``, each of at most 2 * ``length`` beginnings."""
+    at = 0
+    while at < len(begins):
+        upto = int(np.searchsorted(begins, begins[at] + 2 * length))
+        gaps = np.flatnonzero(np.diff(begins[at:upto]) > length)
+        upto = at + int(gaps[0]) + 1 if len(gaps) else upto
+        yield int(begins[at]), int(begins[upto - 1]) + length + edits(length, settings)
+        at = upto
 
 
 def item_rows(items: DataFrame, settings: Settings) -> DataFrame:
-    """(item_id, length, words, keys) of the items that are looked for."""
+    """(item_id, length, words) of the items that are looked for, each once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, lengths, words, keys = [], [], [], []
+            ids, lengths, words = [], [], []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = hashed_words(text, hashes)
                 if len(found) >= settings.least_words:
                     ids.append(item)
                     lengths.append(len(found))
                     words.append(found.tobytes())
-                    keys.append(walk_keys(found[None, :], settings)[0].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(words, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["item_id", "length", "words", "keys"],
-            )
+                [pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(words, pa.binary())], ["item_id", "length", "words"])
 
     rows = items.select(F.col("item_id").cast("long"), text_of().alias("text"))
-    return rows.mapInArrow(run, "item_id long, length long, words binary, keys array<long>")
+    return rows.mapInArrow(run, "item_id long, length long, words binary").distinct()
+
+
+def item_grams(known: DataFrame, settings: Settings) -> DataFrame:
+    """(item_id, length, item, gram): of each item the k * q + 1 grams that the fewest items of its length hold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                n = batch.column(1)[row].as_py()
+                found = grams(np.frombuffer(batch.column(2)[row].as_py(), np.uint64), gram_size(n, settings)).view(np.int64)
+                same = pa.array(np.full(len(found), row))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(same), batch.column(1).take(same), batch.column(2).take(same), pa.array(found),
+                     pa.array(np.arange(len(found))), pa.array(np.full(len(found), edits(n, settings) * gram_size(n, settings) + 1))],
+                    ["item_id", "length", "item", "gram", "place", "needed"])
+
+    rows = stage(known.mapInArrow(run, "item_id long, length long, item binary, gram long, place long, needed long"), "grams")
+    often = rows.groupBy("length", "gram").agg(F.count(F.lit(1)).alias("times"))
+    order = Window.partitionBy("item_id", "item").orderBy("times", "gram", "place")
+    chosen = rows.join(often, ["length", "gram"]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("needed"))
+    return chosen.select("item_id", "length", "item", "gram").distinct()
 
 
 def screen(items: DataFrame, settings: Settings) -> tuple[np.ndarray, list[int]]:
@@ -160,8 +155,8 @@ def screen(items: DataFrame, settings: Settings) -> tuple[np.ndarray, list[int]]
     return table, lengths
 
 
-def window_rows(docs: DataFrame, key: str, table: np.ndarray, lengths: list[int], settings: Settings) -> DataFrame:
-    """(key, start, length, words, keys): windows that pass the screen, with the words around them."""
+def region_rows(docs: DataFrame, key: str, table: np.ndarray, lengths: list[int], settings: Settings) -> DataFrame:
+    """(key, start, length, words, grams): regions that pass the screen, and the grams of theirs that it holds."""
     held = docs.sparkSession.sparkContext.broadcast((table, lengths))  # 2^bits entries, and a number for each length
     kind = docs.schema[key].dataType.simpleString()
 
@@ -173,39 +168,42 @@ def window_rows(docs: DataFrame, key: str, table: np.ndarray, lengths: list[int]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                met: dict[int, list] = {}
+                rows, begins, sizes_met, around, held_grams = [], [], [], [], []
                 for row, text in enumerate(part.column(1).to_pylist()):
                     words = hashed_words(text, hashes)
                     for q in sorted(by_size):
-                        mask = masks[grams(words, q) >> np.uint64(64 - settings.bits)]
+                        found = grams(words, q)
+                        mask = masks[found >> np.uint64(64 - settings.bits)]
                         places = np.flatnonzero(mask)
                         if not len(places):
                             continue
                         marks = mask[places]
                         for k, n, least in by_size[q]:
                             at_gram = places[(marks & np.uint64(1 << k % 64)) != 0]
-                            if dense(at_gram, n - q + 1, least):
-                                hits = np.zeros(len(mask), np.int64)
-                                hits[at_gram] = 1
-                                met.setdefault(n, []).extend((row, s, words) for s in starts(hits, n, settings).tolist())
-                for n, found in met.items():
-                    if not found:
-                        continue
-                    k = edits(n, settings)
-                    windows = np.stack([cut(w, s, n) for _, s, w in found])
-                    # Of equal windows of a text the first stands for all.
-                    rows = np.column_stack([np.array([r for r, _, _ in found], np.uint64), windows])
-                    first = np.sort(np.unique(rows, axis=0, return_index=True)[1])
-                    windows, found = windows[first], [found[i] for i in first]
-                    around = [w[max(0, s - k):max(0, s + n + k)].tobytes() for _, s, w in found]
+                            if not dense(at_gram, n - q + 1, least):
+                                continue
+                            hits = np.zeros(len(mask), np.int64)
+                            hits[at_gram] = 1
+                            seen = set()  # of equal regions of a text the first stands for all
+                            for first, last in regions(starts(hits, n, settings), n, settings):
+                                inside = words[first:last].tobytes()
+                                if inside in seen:
+                                    continue
+                                seen.add(inside)
+                                rows.append(row)
+                                begins.append(first)
+                                sizes_met.append(n)
+                                around.append(inside)
+                                low, high = np.searchsorted(at_gram, [first, last - q + 1])
+                                held_grams.append(np.unique(found[at_gram[low:high]]).view(np.int64))
+                if rows:
                     yield pa.RecordBatch.from_arrays([
-                        part.column(0).take(pa.array([r for r, _, _ in found])), pa.array([max(0, s - k) for _, s, _ in found], pa.int64()),
-                        pa.array([n] * len(found), pa.int64()), pa.array(around, pa.binary()),
-                        pa.array(list(walk_keys(windows, settings).view(np.int64)), pa.list_(pa.int64())),
-                    ], ["key", "start", "length", "words", "keys"])
+                        part.column(0).take(pa.array(rows)), pa.array(begins, pa.int64()), pa.array(sizes_met, pa.int64()),
+                        pa.array(around, pa.binary()), pa.array(held_grams, pa.list_(pa.int64())),
+                    ], ["key", "start", "length", "words", "grams"])
 
     rows = docs.select(F.col(key).alias("key"), text_of().alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, start long, length long, words binary, keys array<long>")
+    return rows.mapInArrow(run, f"key {kind}, start long, length long, words binary, grams array<long>")
 
 
 def best_stretch(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -232,10 +230,9 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", settings: Se
     """(key, item_id, start_word, end_word, distance, item_words): documents with the items that they contain."""
     known = stage(item_rows(items, settings), "items")
     table, lengths = screen(known, settings)
-    windows = stage(window_rows(docs, key, table, lengths, settings), "windows")
-    buckets = known.select("item_id", F.col("words").alias("item"), F.explode("keys").alias("bucket"))
-    met = windows.select("key", "start", "words", F.explode("keys").alias("bucket")).join(buckets, "bucket")
-    pairs = met.groupBy("key", "start", "item_id", "words", "item").agg(F.count(F.lit(1)).alias("times"))
+    found = stage(region_rows(docs, key, table, lengths, settings), "regions")
+    met = found.select("key", "start", "length", "words", F.explode("grams").alias("gram")).join(item_grams(known, settings), ["length", "gram"])
+    pairs = met.select("key", "start", "item_id", "words", "item").distinct()
     percent = settings.percent
 
     @F.pandas_udf("struct<distance:long,start:long,end:long,length:long>")
@@ -243,7 +240,9 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", settings: Se
         rows = []
         for a, b in zip(item, words):
             a = np.frombuffer(a, np.uint64)
-            rows.append((*best_stretch(a, np.frombuffer(b, np.uint64)), len(a)))
+            b, q = np.frombuffer(b, np.uint64), gram_size(len(a), settings)
+            shared = int(np.isin(grams(a, q), grams(b, q)).sum())
+            rows.append((*(best_stretch(a, b) if shared >= least_grams(len(a), settings) else (len(a), 0, 0)), len(a)))
         return pd.DataFrame(rows, columns=["distance", "start", "end", "length"], dtype="int64")
 
     place = place.asNondeterministic()  # else it is worked out for the filter and again for the result
