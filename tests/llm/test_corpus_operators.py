@@ -326,6 +326,17 @@ def test_decontamination_misses_no_item_at_the_full_edits(spark, length):
     assert {r.distance for r in rows} <= set(range(length // 5 + 1))
 
 
+def test_decontamination_short_items_and_scripts_without_spaces(spark):
+    chinese, thai = "中国的首都是哪座城市？请写出它的名字。", "เมืองหลวงของประเทศไทยคือเมืองอะไร"
+    items = spark.createDataFrame(
+        [(1, "What is 2+2?"), (2, chinese), (3, thai), (4, "zyzzyva"), (5, "two words"), (6, "...")], "item_id long, text string")
+    docs = docs_of(spark, [
+        "Tell me: what is 2 + 2", "what is 2 or 2", "问题：" + chinese.replace("哪座", "那座") + "谢谢", "ถาม" + thai + "ครับ", "ZYZZYVA.", "two new words",
+        "中国的河流", "words, two words"])
+    rows = decontamination.matches(docs, items).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in rows} == {(0, 1, 0), (2, 2, 1), (3, 3, 0), (4, 4, 0), (7, 5, 0)}
+
+
 # --- nearest neighbours ---
 
 def test_collision_search_recall_and_exact_scores(spark):

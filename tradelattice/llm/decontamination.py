@@ -9,7 +9,8 @@
 3. Every pair that met and shares enough grams is verified by the edit distance between the item and the best stretch of
    the region.
 
-Words are runs of letters and digits, in lower case. Items of fewer than ``least_words`` words are not looked for.
+Words are runs of letters and digits, in lower case; in scripts written without spaces each character is a word. Items
+of fewer than five words have no allowed edits, so they are found as exact copies.
 Defined results: null and empty texts and items match nothing; repeated items are found each; repeated rows give one
 result; an empty benchmark gives no rows; of several places the one with the fewest edits, then the first, is returned;
 extra columns are ignored (or, in the filter, kept). A document without id keeps a null id.
@@ -32,6 +33,13 @@ from tradelattice.llm.wordhash import STEP, WordHashes, mixed
 from tradelattice.session import stage
 
 WORD = re.compile(r"[^\W_]+")
+#: Letters and marks of scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Bopomofo and Han.
+UNSPACED = (
+    "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u0edc-\u0edf\u1000-\u1049\u1050-\u109f\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u309f"
+    "\u30a1-\u30fa\u30fc-\u30ff\u3105-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+)
+MARK = re.compile(f"[{UNSPACED}]")
+EVERY = re.compile(f"[{UNSPACED}]|[^\\W_{UNSPACED}]+")
 ROWS_AT_ONCE = 256
 
 
@@ -40,12 +48,13 @@ class Settings:
     """``percent`` of an item's words may be edited. ``bits``: the screen has 2^bits entries of 8 bytes."""
 
     percent: int = 20
-    least_words: int = 5
     bits: int = 19
 
 
 def hashed_words(text: str | None, hashes: WordHashes) -> np.ndarray:
-    return hashes.of(WORD.findall((text or "").lower()))
+    text = (text or "").lower()
+    pattern = EVERY if not text.isascii() and MARK.search(text) else WORD
+    return hashes.of(pattern.findall(text))
 
 
 def edits(length: int, settings: Settings) -> int:
@@ -103,7 +112,7 @@ def item_rows(items: DataFrame, settings: Settings) -> DataFrame:
             ids, lengths, words = [], [], []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = hashed_words(text, hashes)
-                if len(found) >= settings.least_words:
+                if len(found):
                     ids.append(item)
                     lengths.append(len(found))
                     words.append(found.tobytes())
