@@ -19,6 +19,10 @@ def test_query_gives_a_row_per_row(spark, name):
     source = {"op5_warc": "pages"}.get(name, "documents")
     if name == "op1_decontamination":
         assert rows.select("doc_id").distinct().count() == rows.count() > 0
+    elif name == "op11_spelling":
+        assert rows.select("word").distinct().count() == rows.count() > 0
+    elif name == "op13_chat":
+        assert rows.count() == table(spark, FOLDER, "conversations").select("conv_id").distinct().count() + 1
     elif name == "op8_collision_search":
         assert rows.count() == 10 * table(spark, FOLDER, "embeddings").where("vec_id % 100 = 0").count()
     else:
