@@ -1,5 +1,4 @@
 import itertools
-from functools import partial
 
 import numpy as np
 import pytest
@@ -152,13 +151,39 @@ def test_product_scores_follow_the_product_side(presence):
     assert abs(abs(np.corrcoef(v, z)[0, 1]) - 1) < 1e-9
 
 
-def test_long_country_axis_gives_the_same_index(presence, monkeypatch):
-    presence = presence.where("year = 2000")
-    dense_solve = {(r.year, r.iso3): r for r in C.eci(presence).collect()}
-    monkeypatch.setattr(C, "MAX_DENSE_COUNTRIES", 5)
-    monkeypatch.setattr(C, "second_vectors", partial(C.second_vectors, tolerance=1e-4))
-    iterated = C.eci(presence).collect()
-    assert len(iterated) == len(dense_solve)
-    for r in iterated:
-        want = dense_solve[(r.year, r.iso3)]
-        assert abs(r.eci - want.eci) < 1e-2 and r.diversity == want.diversity
+def by_eigh(m):
+    kc, kp = m.sum(1), m.sum(0)
+    x = np.linalg.eigh((m / kp) @ m.T / np.sqrt(np.outer(kc, kc)))[1][:, -2] / np.sqrt(kc)
+    x = x * np.sign(np.cov(x, kc)[0, 1])
+    return (x - x.mean()) / x.std()
+
+
+def test_long_country_axis(spark):
+    """More countries than a block of vectors, close leading eigenvalues, several blocks of pairs."""
+    rng = np.random.default_rng(11)
+    m = (rng.random((180, 90)) < 0.04 + 0.3 * rng.random((180, 1))).astype(float)
+    m[np.arange(180), np.arange(180) % 90] = 1
+    rows = spark.createDataFrame([(2000, f"C{c:03d}", f"{p:04d}") for c, p in zip(*np.nonzero(m))], "year int, iso3 string, hs4 string")
+    got = {r.iso3: r.eci for r in C.eci(rows, C.Axes(180, 90, 3, 2)).collect()}
+    assert max(abs(got[f"C{c:03d}"] - x) for c, x in enumerate(by_eigh(m))) < 1e-8
+
+
+def test_years_of_one_and_two_countries(spark):
+    rows = [(1, "A", "x"), (1, "A", "y"), (2, "A", "x"), (2, "A", "y"), (2, "B", "y"), (3, "A", "x"), (3, "B", "x")]
+    rows += [(4, c, p) for c, ps in {"A": "xy", "B": "xz", "C": "yz", "D": "xyz"}.items() for p in ps]
+    got = {(r.year, r.iso3): r for r in C.eci(spark.createDataFrame(rows, "year int, iso3 string, hs4 string")).collect()}
+    assert (got[1, "A"].eci_raw, got[1, "A"].eci, got[1, "A"].diversity) == (None, None, 2)
+    assert abs(got[2, "A"].eci - 1) < 1e-9 and abs(got[2, "B"].eci + 1) < 1e-9
+    # Equal diversities leave no correlation: the first country by code is positive.
+    assert abs(got[3, "A"].eci - 1) < 1e-9 and abs(got[3, "B"].eci + 1) < 1e-9
+    assert {k for k in got if k[0] == 4} == {(4, c) for c in "ABCD"}
+
+
+def test_unsettled_vectors_raise(presence):
+    pairs = C.country_similarity(presence, C.Axes.of(presence))
+    with pytest.raises(RuntimeError, match="residual"):
+        C.second_vectors(pairs, C.diversity(presence), width=2, degree=2, max_rounds=1)
+
+
+def test_no_rows_have_no_index(spark):
+    assert C.eci(spark.createDataFrame([], "year int, iso3 string, hs4 string"), C.Axes(0, 0, 1, 1)).count() == 0

@@ -10,8 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradelattice.operators import blocks as B
@@ -19,8 +17,6 @@ from tradelattice.operators.profiles import one_per_key
 from tradelattice.operators.spectral import second_vectors
 from tradelattice.session import stage
 
-MAX_DENSE_COUNTRIES = 5000
-
 
 # --- comparative advantage -----------------------------------------------------------------------
 
@@ -181,56 +177,35 @@ def country_similarity(m: DataFrame, axes: Axes) -> DataFrame:
     )
 
 
-def _second_vector(year: pd.DataFrame) -> pd.DataFrame:
-    names, c = np.unique(year["c"].to_numpy(), return_inverse=True)
-    d = np.searchsorted(names, year["d"].to_numpy())
-    n = len(names)
-    k = np.zeros(n)
-    k[c] = year["k_c"].to_numpy()
-    eci = raw = np.full(n, np.nan)
-    if n > 1:
-        s = np.zeros((n, n))
-        s[c, d] = year["a"].to_numpy()
-        s /= np.sqrt(np.outer(k, k))
-        raw = np.linalg.eigh((s + s.T) / 2)[1][:, -2] / np.sqrt(k)
-        lean = np.dot(raw - raw.mean(), k - k.mean())
-        if lean < 0 or (lean == 0 and raw[np.argmax(np.abs(raw))] < 0):
-            raw = -raw
-        spread = raw.std()
-        eci = (raw - raw.mean()) / spread if spread > 0 else eci
-    return pd.DataFrame({
-        "year": year["year"].iloc[0], "iso3": names, "eci_raw": raw, "eci": eci, "diversity": k.astype("int64"),
-    })
-
-
 def eci(m: DataFrame, axes: Axes | None = None) -> DataFrame:
     """Economic complexity index per country: (year, iso3, eci_raw, eci, diversity).
 
-    The second eigenvector of W = (1/k_c) sum_p M_cp M_dp / k_p, oriented to correlate with diversity and
-    standardised. The sums over products run in Spark; what is left per year is one number per pair of
-    countries, solved densely in symmetric form because its leading eigenvalues lie too close together
-    for power iteration. The number of countries is counted first; beyond ``MAX_DENSE_COUNTRIES`` the
-    vectors are found by distributed orthogonal iteration instead.
+    The second eigenvector of W = (1/k_c) sum_p M_cp M_dp / k_p, oriented to correlate with diversity and standardised over
+    the countries. The sums over products give one number per pair of countries; the vector is found from these pairs by
+    :func:`second_vectors`, whatever their number. A year of one country has no second vector, and nulls.
+    """
+    return oriented(second_vectors(country_similarity(m, axes or Axes.of(m)), diversity(m)))
+
+
+LEVEL = 1e-9
+
+
+def oriented(vectors: DataFrame) -> DataFrame:
+    """Sign and scale of vectors (year, iso3, x, diversity): (year, iso3, eci_raw, eci, diversity).
+
+    The vector correlates with diversity. Where the correlation is nil, the first country by code of those with at least half
+    the largest entry is positive.
     """
-    axes = axes or Axes.of(m)
-    if axes.countries > MAX_DENSE_COUNTRIES:
-        return _oriented(second_vectors(m, diversity(m), ubiquity(m)))
-    k = diversity(m).select("year", F.col("iso3").alias("c"), F.col("diversity").cast("double").alias("k_c"))
-    pairs = country_similarity(m, axes).join(k, ["year", "c"])
-    schema = "year int, iso3 string, eci_raw double, eci double, diversity long"
-    solved = pairs.groupBy("year").applyInPandas(_second_vector, schema)
-    return solved.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("eci_raw", "eci")})
-
-
-def _oriented(vectors: DataFrame) -> DataFrame:
-    """Sign and scale of distributed vectors: (year, iso3, eci_raw, eci, diversity)."""
     stats = vectors.groupBy("year").agg(
-        F.when(F.covar_pop("x", "diversity") < 0, -1.0).otherwise(1.0).alias("_sign"), F.avg("x").alias("_m"),
-        F.stddev_pop("x").alias("_s"),
+        F.covar_pop("x", "diversity").alias("_lean"), F.stddev_pop("diversity").alias("_k"), F.avg("x").alias("_m"),
+        F.stddev_pop("x").alias("_s"), F.max(F.abs("x")).alias("_top"),
     )
-    return vectors.join(stats, "year").select(
-        "year", "iso3", (F.col("x") * F.col("_sign")).alias("eci_raw"),
-        (F.try_divide(F.col("x") - F.col("_m"), F.col("_s")) * F.col("_sign")).alias("eci"), "diversity",
+    known = vectors.join(stats, "year")
+    first = known.where(F.abs("x") >= F.col("_top") / 2).groupBy("year").agg(F.min(F.struct("iso3", "x"))["x"].alias("_first"))
+    leans = F.abs("_lean") > LEVEL * F.col("_k") * F.col("_s")
+    sign = F.signum(F.when(leans, F.col("_lean")).otherwise(F.col("_first")))
+    return known.join(first, "year", "left").select(
+        "year", "iso3", (F.col("x") * sign).alias("eci_raw"), (F.try_divide(F.col("x") - F.col("_m"), F.col("_s")) * sign).alias("eci"), "diversity",
     )
 
 
@@ -327,16 +302,20 @@ def compute_complexity(
     """All metrics: year, iso3, hs4, export_value, rca, mcp, eci, pci, density, coi, cog, diversity, ubiquity.
 
     The cells, the advantage grid, the proximities and the country and product scores are written once to
-    the shared folder, because several branches read them. ``table`` itself is lazy. ``country_score`` maps the presence table to the scores behind PCI, in place
-    of the eigenvector.
+    the shared folder, because several branches read them. ``table`` itself is lazy. ``country_score`` maps the presence table
+    to a column ``score`` per country, which stands behind ``eci`` and ``pci`` in place of the eigenvector.
     """
     cells = stage(trade_cells(trade, year), "cells")
     axes = Axes.of(cells)
     base = stage(mcp(rca(full_grid(cells, axes.product_blocks)), threshold), "advantage")
     m = presence(base)
     phi = stage(proximity(m, axes), "proximity")
-    countries = stage(eci(m, axes), "eci")
-    scored = pci(m, country_score(m) if country_score else countries, score)
+    if country_score is None:
+        countries = stage(eci(m, axes), "eci")
+    else:
+        given = stage(country_score(m), "country-scores")
+        countries = oriented(given.join(diversity(m), ["year", "iso3"]).withColumn("x", F.col(score).cast("double")))
+    scored = pci(m, countries if country_score is None else given, score)
     products = stage(scored.join(proximity_sums(phi), ["year", "hs4"], "left"), "products")
     table = (
         base.join(nearness(m, phi, axes, products), ["year", "iso3", "hs4"], "left")

@@ -1,99 +1,138 @@
-"""Second eigenvector of the country similarity by distributed orthogonal iteration.
+"""Second eigenvector of the country similarity by Chebyshev-filtered block iteration, for any number of countries.
 
-For country axes too long for a dense solve. Vectors live in rows (year, iso3); a step is two joins with
-the presence table and two grouped sums, and only inner products (a few dozen numbers per year) reach
-the driver. With a block of vectors and a Rayleigh-Ritz step, close leading eigenvalues do not slow it
-down; it stops on the true residual and raises when that is not reached.
+The similarity is a table of country pairs, written once. A block of vectors lives in rows (year, iso3). A round multiplies
+the block by a Chebyshev polynomial of the similarity that is small on the eigenvalues below the block and grows fast above
+them, so close leading eigenvalues cost few rounds; each degree is one join with the pairs and one grouped sum, and all years
+go together. A Rayleigh-Ritz step then turns the block, from inner products of a few dozen numbers per year on the driver.
+Rounds end on the true residual, summed row by row.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tradelattice.functions import scalars as S
 from tradelattice.session import stage
 
+# The known leading vector is kept out of the block by subtraction. Rounding lets about 1e-16 of it back in, which the filter
+# makes larger than what is looked for; the degree stays so low that it does so by this factor at most.
+MOST_LEAK = 1e12
+LEAST_RANK = 1e-12
+
+
+def _columns(template: str, width: int) -> str:
+    return ", ".join(template.format(i=i) for i in range(width))
+
+
+def _times(pairs: DataFrame, state: DataFrame, shown: str, carried: list[str], width: int) -> DataFrame:
+    """``shown`` of the similarity times ``y`` as ``s``, with ``carried`` columns of the country itself.
+
+    The pair of a country with itself brings its own row to the grouped sum.
+    """
+    own = ", ".join(f"sum(if(p.c = p.d, v.{c}, null)) AS {c}" for c in carried)
+    return pairs.sparkSession.sql(f"""
+        SELECT year, iso3, {shown} FROM (
+            SELECT p.year, p.c AS iso3, {own}, {_columns("sum(p.s * v.y{i}) AS s{i}", width)}
+            FROM {{pairs}} p JOIN {{state}} v ON p.year = v.year AND p.d = v.iso3 GROUP BY p.year, p.c)""", pairs=pairs, state=state)
+
+
+def _turned(state: DataFrame, turns: DataFrame, width: int) -> DataFrame:
+    """The block free of the leading vector and turned to its Ritz vectors ``x``, with the similarity times them, ``w``."""
+    mixed = lambda v, j: " + ".join(f"({v}{i} - t * lead[{i}]) * mix[{j}][{i}]" for i in range(width))
+    turned = [f"{mixed(v, j)} AS {x}{j}" for v, x in ("yx", "zw") for j in range(width)]
+    return state.join(turns, "year").selectExpr("year", "iso3", "k", "t", "cut", "value", *turned)
 
-def _combine(vector: Column, matrix: Column, width: int) -> Column:
-    """vector' x matrix for ``width`` columns; the matrix is an array of its columns."""
-    return F.array(*[
-        F.aggregate(F.zip_with(vector, matrix[j], lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for j in range(width)
-    ])
 
+def _filtered(pairs: DataFrame, ritz: DataFrame, width: int, degree: int) -> DataFrame:
+    """The Chebyshev polynomial over (0, cut) of the similarity, times the block ``x``, as ``y``; and the similarity times that, ``z``."""
+    kept, names = ["k", "t", "cut", "scale"], [f"{v}{i}" for v in "py" for i in range(width)]
+    state = ritz.withColumn("scale", F.when(F.col("cut") > 0, 2.0 / F.col("cut")).otherwise(0.0)).selectExpr(
+        "year", "iso3", *kept, *[f"x{i} AS p{i}" for i in range(width)], *[f"scale * w{i} - x{i} AS y{i}" for i in range(width)])
+    step = f"{', '.join(kept)}, {_columns('y{i} AS p{i}', width)}, {_columns('2 * (scale * s{i} - y{i}) - p{i} AS y{i}', width)}"
+    for _ in range(degree - 1):
+        state = _times(pairs, state, step, [*kept, *names], width)
+    return _with_product(pairs, state, width)
 
-def _sums(df: DataFrame, keys: list[str], factor: Column, vector: str, width: int) -> DataFrame:
-    sums = df.groupBy(*keys).agg(*[F.sum(factor * F.col(vector)[i]).alias(f"_s{i}") for i in range(width)])
-    return sums.select(*keys, F.array(*[F.col(f"_s{i}") for i in range(width)]).alias(vector))
 
+def _with_product(pairs: DataFrame, state: DataFrame, width: int) -> DataFrame:
+    shown = f"k, t, {_columns('y{i}', width)}, {_columns('s{i} AS z{i}', width)}"
+    return _times(pairs, state, shown, ["k", "t", *[f"y{i}" for i in range(width)]], width)
 
-def _inner(df: DataFrame, **pairs: tuple[str, int, str, int]) -> dict[str, dict[int, np.ndarray]]:
-    """Matrices of inner products per year for several pairs of vector blocks, in one aggregate."""
-    cells = [
-        F.sum(F.col(a)[i] * F.col(b)[j]).alias(f"{name}_{i}_{j}")
-        for name, (a, n, b, k) in pairs.items() for i in range(n) for j in range(k)
-    ]
-    found: dict[str, dict[int, np.ndarray]] = {name: {} for name in pairs}
-    for row in df.groupBy("year").agg(*cells).collect():
-        at = 1
-        for name, (_, n, _, k) in pairs.items():
-            found[name][row[0]] = np.array(row[at:at + n * k], dtype=float).reshape(n, k)
-            at += n * k
+
+def _ritz(state: DataFrame, width: int) -> list[tuple]:
+    """(year, mix, lead, cut, value) of every year: how the block turns into Ritz vectors, the largest first.
+
+    ``lead`` is the block's share of the leading vector, ``value`` the largest Ritz value and ``cut`` the smallest. A year
+    whose block is nothing but the leading vector has no second one, and a null value.
+    """
+    places = [(i, j) for i in range(width) for j in range(i, width)]
+    sums = [F.expr(f"sum(y{i} * y{j})") for i, j in places] + [F.expr(f"sum(y{i} * z{j} + y{j} * z{i}) / 2") for i, j in places]
+    sums += [F.expr(f"sum(t * y{i})") for i in range(width)]
+    found = []
+    for row in state.groupBy("year").agg(*sums).collect():
+        gram, ritz = np.zeros((width, width)), np.zeros((width, width))
+        for k, (i, j) in enumerate(places):
+            gram[i, j] = gram[j, i] = row[1 + k]
+            ritz[i, j] = ritz[j, i] = row[1 + len(places) + k]
+        lead = np.array(row[1 + 2 * len(places):], float)
+        size = np.diag(gram)
+        gram, ritz = gram - np.outer(lead, lead), ritz - np.outer(lead, lead)
+        here = np.diag(gram) > LEAST_RANK * size
+        scale = np.where(here, 1 / np.sqrt(np.where(here, np.diag(gram), 1.0)), 0.0)
+        lengths, axes = np.linalg.eigh(gram * np.outer(scale, scale))
+        held = lengths > LEAST_RANK * max(lengths.max(), LEAST_RANK)
+        basis = (scale[:, None] * axes[:, held]) / np.sqrt(lengths[held])
+        values, turn = np.linalg.eigh(basis.T @ ritz @ basis)
+        mix = np.zeros((width, width))
+        mix[:len(values)] = (basis @ turn).T[::-1]
+        ends = (float(max(values[0], 0.0)), float(values[-1])) if len(values) > 1 else (0.0, float(values[0]) if len(values) else None)
+        found.append((int(row[0]), mix.tolist(), lead.tolist(), *ends))
     return found
 
 
+def _degree(turns: list[tuple], most: int) -> int:
+    """The highest degree up to ``most`` at which the leading vector leaks in no year."""
+    def leak(degree: int, cut: float, value: float) -> float:
+        grown = lambda x: math.acosh(max(2 * x / cut - 1, 1.0)) * degree
+        return math.exp(min(grown(1.0) - grown(value), 700.0))
+
+    years = [(cut, value) for *_, cut, value in turns if value and cut]
+    return max((d for d in range(2, most + 1) if all(leak(d, *y) <= MOST_LEAK for y in years)), default=2)
+
+
 def second_vectors(
-    m: DataFrame, diversity: DataFrame, ubiquity: DataFrame, width: int = 6, tolerance: float = 1e-9, max_steps: int = 500
+    pairs: DataFrame, diversity: DataFrame, width: int = 12, degree: int = 8, tolerance: float = 1e-13, max_rounds: int = 100
 ) -> DataFrame:
-    """(year, iso3, x, diversity): the eigenvector of (1/k_c) sum_p M_cp M_dp / k_p of the second-largest eigenvalue, sign free."""
-    links = stage(
-        m.join(diversity, ["year", "iso3"]).join(ubiquity, ["year", "hs4"])
-        .select("year", "iso3", "hs4", (1.0 / F.sqrt(F.col("diversity") * F.col("ubiquity"))).alias("b")),
-        "links",
-    )
-    total = diversity.groupBy("year").agg(F.sum("diversity").alias("_t"))
-    # The leading eigenvector is known: the square roots of the diversities.
-    start = F.array(*[S.hash32(["iso3", F.lit(i)], 42) / F.lit(float(2 ** 31)) - 1.0 for i in range(width)])
-    state = stage(
-        diversity.join(total, "year").select(
-            "year", "iso3", "diversity", F.array(F.sqrt(F.col("diversity") / F.col("_t"))).alias("t"), start.alias("y")
-        ),
-        "vectors",
-    )
-    spark, columns = m.sparkSession, "year int, mix array<array<double>>, lead array<double>"
-    own = {"gram": ("y", width, "y", width), "along": ("t", 1, "y", width)}
-    known = _inner(state, **own)
-    for _ in range(max_steps):
-        mixes = []
-        for year, g in known["gram"].items():
-            a = known["along"][year][0]
-            values, vectors = np.linalg.eigh(g - np.outer(a, a))
-            scale = np.where(values > values.max() * 1e-13, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-            mixes.append((int(year), (vectors * scale).T.tolist(), a.tolist()))
-        freed = F.zip_with("y", "lead", lambda y, a: y - F.col("t")[0] * a)
-        q = state.join(spark.createDataFrame(mixes, columns), "year").select(
-            "year", "iso3", "diversity", "t", _combine(freed, F.col("mix"), width).alias("q")
-        )
-        z = _sums(links.join(q, ["year", "iso3"]), ["year", "hs4"], F.col("b"), "q", width)
-        y = _sums(links.join(z, ["year", "hs4"]), ["year", "iso3"], F.col("b"), "q", width).withColumnRenamed("q", "y")
-        state = stage(q.join(y, ["year", "iso3"]), "vectors")
-        known = _inner(state, ritz=("q", width, "y", width), **own)
-        best, worst = [], 0.0
-        for year, h in known["ritz"].items():
-            values, vectors = np.linalg.eigh((h + h.T) / 2)
-            u = vectors[:, -1]
-            worst = max(worst, float(u @ known["gram"][year] @ u - values[-1] ** 2))
-            best.append((int(year), [u.tolist()], float(values[-1])))
-        # The difference of squares bottoms out at rounding; near there the residual is summed row by row.
-        if worst <= max(tolerance ** 2, 1e-15):
-            chosen = spark.createDataFrame(best, "year int, mix array<array<double>>, value double")
-            found = state.join(chosen, "year").withColumns({
-                "x": _combine(F.col("q"), F.col("mix"), 1)[0], "_wx": _combine(F.col("y"), F.col("mix"), 1)[0],
-            })
-            gap = F.pow(F.col("_wx") - F.col("value") * F.col("x"), 2)
-            worst = max(r[1] for r in found.groupBy("year").agg(F.sum(gap)).collect())
-            if worst <= tolerance ** 2:
-                return found.select("year", "iso3", (F.col("x") / F.sqrt("diversity")).alias("x"), "diversity")
-        state = state.drop("q")
-    raise RuntimeError(f"residual {worst ** 0.5:.2e} after {max_steps} steps")
+    """(year, iso3, x, diversity): the eigenvector of (1/k_c) sum_p M_cp M_dp / k_p of the second-largest eigenvalue, sign free.
 
+    ``pairs`` (year, c, d, a) has the sums over products, with c = d; ``diversity`` has k_c. ``x`` is null in a year of one
+    country. Raises if the residual of a unit vector stays above ``tolerance`` in some year after ``max_rounds`` rounds.
+    """
+    spark = pairs.sparkSession
+    k = diversity.select("year", "iso3", F.col("diversity").cast("double").alias("k"))
+    total = k.groupBy("year").agg(F.sum("k").alias("_t"))
+    # In symmetric form the leading vector is known: the square roots of the shares of the diversities.
+    pairs = stage(
+        pairs.join(k.select("year", F.col("iso3").alias("c"), F.col("k").alias("_c")), ["year", "c"])
+        .join(k.select("year", F.col("iso3").alias("d"), F.col("k").alias("_d")), ["year", "d"])
+        .select("year", "c", "d", (F.col("a") / F.sqrt(F.col("_c") * F.col("_d"))).alias("s")),
+        "pairs",
+    )
+    start = [(S.hash32(["iso3", F.lit(i)], 42) / F.lit(float(2 ** 31)) - 1.0).alias(f"y{i}") for i in range(width)]
+    state = k.join(total, "year").select("year", "iso3", "k", F.sqrt(F.col("k") / F.col("_t")).alias("t"), *start)
+    state = stage(_with_product(pairs, state, width), "vectors")
+    turn_type = "year int, mix array<array<double>>, lead array<double>, cut double, value double"
+    worst = math.inf
+    for _ in range(max_rounds):
+        turns = _ritz(state, width)
+        ritz = _turned(state, spark.createDataFrame(turns, turn_type), width)
+        gap = F.pow(F.col("w0") - F.col("value") * F.col("x0"), 2)
+        gaps = ritz.groupBy("year").agg(F.sum(gap).alias("gap")).agg(F.max("gap")).first()
+        worst = math.sqrt(gaps[0] or 0.0)
+        if worst <= tolerance:
+            return ritz.select("year", "iso3", F.when(F.col("value").isNotNull(), F.col("x0") / F.sqrt("k")).alias("x"), F.col("k").cast("bigint").alias("diversity"))
+        state = stage(_filtered(pairs, ritz, width, _degree(turns, degree)), "vectors")
+    raise RuntimeError(f"residual {worst:.2e} after {max_rounds} rounds")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradelattice.operators import complexity as C, graph as G, neighbours as N, opportunities as O, splits as Z
-from tradelattice.plans.complexity_queries import FOCUS, adv, reflected
+from tradelattice.plans.complexity_queries import FOCUS, adv, metrics
 from tradelattice.plans.registry import SHARED, query, r, r6, rounded
 from tradelattice.session import scratch_path
 from tradelattice.sources import tables
@@ -19,13 +19,13 @@ SPLIT = {"train_end": 1999, "val_year": 2000, "test_years": [2001]}
 SHARED.update({
     "country_node": f"""
         SELECT c.iso3, c.country_name AS name, c.region, w.gdp, {r('w.gdp_pc')} AS gdp_pc, w.population, NULL::BOOLEAN AS landlocked,
-               {r('k.k')} AS eci, c.iso3 IN ('N02', 'N09') AS eu_member, c.iso3 IN ('N01', 'N02', 'N03') AS cefta_member
+               {r6('k.eci')} AS eci, c.iso3 IN ('N02', 'N09') AS eu_member, c.iso3 IN ('N01', 'N02', 'N03') AS cefta_member
         FROM {{countries}} c LEFT JOIN (SELECT * FROM {{indicator_wide}} WHERE year = {YEAR}) w USING (iso3)
-             LEFT JOIN (SELECT * FROM {{refl_c2}} WHERE year = {YEAR}) k USING (iso3)""",
+             LEFT JOIN (SELECT year, iso3, eci FROM {{ecic}} WHERE year = {YEAR}) k USING (iso3)""",
     "product_node": f"""
         SELECT p.hs4 AS hs_code, 4::INT AS hs_level, p.product_name AS name, s.code AS section, {r6('q.pci')} AS pci
         FROM {{products}} p LEFT JOIN {{sections}} s ON substr(p.hs4, 1, 2)::INT BETWEEN s.hs2_from AND s.hs2_to
-             LEFT JOIN (SELECT * FROM {{pcir}} WHERE year = {YEAR}) q USING (hs4)""",
+             LEFT JOIN (SELECT * FROM {{pcie}} WHERE year = {YEAR}) q USING (hs4)""",
     "trades_with": """
         SELECT reporter_iso3 AS src, partner_iso3 AS dst, year, sum(CASE WHEN flow = 'X' THEN value::DECIMAL(18,2) END)::DOUBLE
                AS export_value, sum(CASE WHEN flow = 'M' THEN value::DECIMAL(18,2) END)::DOUBLE AS import_value
@@ -77,8 +77,8 @@ SHARED["freepairs"] = """
     SELECT src, dst FROM {allpairs} a WHERE NOT EXISTS (SELECT 1 FROM {pos} p WHERE p.src = a.src AND p.dst = a.dst)"""
 
 
-def reflected_table(t):
-    return t.stored("reflected", lambda: reflected(t).table)
+def complexity_table(t):
+    return t.stored("complexity", lambda: metrics(t).table)
 
 
 def presence_table(t):
@@ -89,16 +89,12 @@ def proximity_table(t):
     return t.stored("proximity", lambda: C.proximity(presence_table(t)))
 
 
-def reflected_countries(t):
-    return C.reflections(presence_table(t), 2).withColumnRenamed("k", "eci")
-
-
 def product_scores(t):
-    return C.product_complexity(reflected_table(t))
+    return C.product_complexity(complexity_table(t))
 
 
 def country_node_table(t):
-    return G.country_nodes(t.countries, indicator_table(payloads(t)), reflected_countries(t), SETS, YEAR)
+    return G.country_nodes(t.countries, indicator_table(payloads(t)), C.country_complexity(complexity_table(t)), SETS, YEAR)
 
 
 def product_node_table(t):
@@ -125,7 +121,7 @@ def link_graph(t):
 
 
 def candidates(t):
-    opened = O.open_products(reflected_table(t)).where(F.col("year") == YEAR)
+    opened = O.open_products(complexity_table(t)).where(F.col("year") == YEAR)
     return opened.select(
         G.node_id(F.lit("country"), "iso3").alias("node_u"), G.node_id(F.lit("product"), "hs4").alias("node_v")
     )

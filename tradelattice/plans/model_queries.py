@@ -11,7 +11,7 @@ from tradelattice.operators import (
 from tradelattice.plans.complexity_queries import FOCUS
 from tradelattice.plans.graph_queries import (
     YEAR, all_pairs, country_node_table, link_edges, link_graph, positive_pairs, presence_table, product_node_table,
-    proximity_table, reflected_table,
+    proximity_table, complexity_table,
 )
 from tradelattice.plans.registry import SHARED, query, r, r6, rounded
 
@@ -245,14 +245,14 @@ def model_selection(t):
 SHARED.update({
     "feature_input": f"""
         SELECT 'country' AS kind, 'country:' || c.iso3 AS node, coalesce(c.region::VARCHAR, '') AS label,
-               [ln(1 + w.gdp), ln(1 + w.gdp_pc), ln(1 + w.population), k.k] AS numbers,
+               [ln(1 + w.gdp), ln(1 + w.gdp_pc), ln(1 + w.population), k.eci] AS numbers,
                [0.0::DOUBLE, (c.iso3 IN ('N02', 'N09'))::INT::DOUBLE, (c.iso3 IN ('N01', 'N02', 'N03'))::INT::DOUBLE] AS flags
         FROM {{countries}} c LEFT JOIN (SELECT * FROM {{indicator_wide}} WHERE year = {YEAR}) w USING (iso3)
-             LEFT JOIN (SELECT * FROM {{refl_c2}} WHERE year = {YEAR}) k USING (iso3)
+             LEFT JOIN (SELECT year, iso3, eci FROM {{ecic}} WHERE year = {YEAR}) k USING (iso3)
         UNION ALL
         SELECT 'product', 'product:' || p.hs4, coalesce(s.code::VARCHAR, ''), [q.pci], []::DOUBLE[]
         FROM {{products}} p LEFT JOIN {{sections}} s ON substr(p.hs4, 1, 2)::INT BETWEEN s.hs2_from AND s.hs2_to
-             LEFT JOIN (SELECT * FROM {{pcir}} WHERE year = {YEAR}) q USING (hs4)""",
+             LEFT JOIN (SELECT * FROM {{pcie}} WHERE year = {YEAR}) q USING (hs4)""",
     "feature_mean": """
         SELECT *, avg(x) OVER (PARTITION BY kind, dim) AS mean
         FROM (SELECT kind, node, unnest(range(len(numbers))) AS dim, unnest(numbers) AS x FROM {feature_input})""",
@@ -324,7 +324,7 @@ def gravity_prediction(t):
 
 def scored(t):
     """Open cells of one year scored by two baselines, labelled by the year after."""
-    table = reflected_table(t)
+    table = complexity_table(t)
     later = table.where(F.col("year") == YEAR + 1).select("iso3", "hs4", F.col("mcp").alias("label"))
     opened = O.open_products(table).where((F.col("year") == YEAR) & F.col("density").isNotNull()).join(later, ["iso3", "hs4"])
     models = F.array(
@@ -432,14 +432,14 @@ def temporal_validation(t):
     SELECT *, row_number() OVER (PARTITION BY year, iso3 ORDER BY {r('density')} DESC NULLS LAST, hs4)::INT AS rank FROM {{outlook}} WHERE mcp = 0)
     WHERE rank <= 50""")
 def density_baseline(t):
-    return O.density_baseline(reflected_table(t).withColumn("density", F.round("density", 8)))
+    return O.density_baseline(complexity_table(t).withColumn("density", F.round("density", 8)))
 
 
 @query("cog_baseline", f"""SELECT year, iso3, hs4, {r6('cog')} AS cog_score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY year, iso3 ORDER BY {r6('cog')} DESC NULLS LAST, hs4)::INT AS rank FROM {{outlook}} WHERE mcp = 0)
     WHERE rank <= 50""")
 def cog_baseline(t):
-    return O.cog_baseline(reflected_table(t).withColumn("cog", F.round("cog", 6)))
+    return O.cog_baseline(complexity_table(t).withColumn("cog", F.round("cog", 6)))
 
 
 @query("product_opportunities", f"""
@@ -448,7 +448,7 @@ def cog_baseline(t):
     FROM {{outlook}} o LEFT JOIN {{products}} p USING (hs4) WHERE o.iso3 = '{FOCUS}' AND o.year = {YEAR} AND o.mcp = 0
     ORDER BY rank LIMIT 50""")
 def product_opportunities(t):
-    table = reflected_table(t).withColumns({"density": F.round("density", 8), "pci": F.round("pci", 6)})
+    table = complexity_table(t).withColumns({"density": F.round("density", 8), "pci": F.round("pci", 6)})
     return O.rank_products(table, t.products, FOCUS, YEAR)
 
 
@@ -466,7 +466,7 @@ def product_opportunities(t):
 def market_opportunities(t):
     flows, gravity = t.stored("flows", lambda: t.flows), t.stored("gravity", lambda: t.gravity)
     predicted = Y.predict_gravity(COEFFICIENTS, flows, gravity, [YEAR + 1], YEAR).withColumn("year", F.lit(YEAR))
-    return rounded(O.rank_markets(reflected_table(t), flows, t.countries, t.products, FOCUS, YEAR, gravity=predicted))
+    return rounded(O.rank_markets(complexity_table(t), flows, t.countries, t.products, FOCUS, YEAR, gravity=predicted))
 
 
 @query("density_explanation", f"""
@@ -475,7 +475,7 @@ def market_opportunities(t):
          JOIN {{m}} m ON m.year = o.year AND m.iso3 = o.iso3 AND m.hs4 = f.hs4_i JOIN {{phisum}} s ON s.year = o.year AND s.hs4 = o.hs4
     WHERE o.iso3 = '{FOCUS}' AND o.year = {YEAR} AND o.mcp = 0""")
 def density_explanation(t):
-    links = O.open_products(reflected_table(t)).where((F.col("iso3") == FOCUS) & (F.col("year") == YEAR))
+    links = O.open_products(complexity_table(t)).where((F.col("iso3") == FOCUS) & (F.col("year") == YEAR))
     return rounded(O.explain_density(presence_table(t), proximity_table(t), links))
 
 
@@ -499,7 +499,7 @@ def product_space(t):
     SELECT hs4, score FROM (SELECT hs4, {r('max(density)')} AS score FROM {{outlook}} WHERE mcp = 0 AND year = {YEAR} GROUP BY hs4)
     ORDER BY score DESC NULLS LAST, hs4 LIMIT 20""")
 def top_opportunities(t):
-    best = O.open_products(reflected_table(t)).where(F.col("year") == YEAR).groupBy("hs4").agg(
+    best = O.open_products(complexity_table(t)).where(F.col("year") == YEAR).groupBy("hs4").agg(
         F.round(F.max("density"), 8).alias("score")
     )
     return O.top_opportunities(best, 20)

@@ -30,7 +30,7 @@ def query(name: str, oracle: str | None = None) -> Callable:
 
 
 # Columns that come out of standardised scores carry more rounding noise than plain ratios.
-COARSE = {"pci", "cog", "coi", "score"}
+COARSE = {"eci", "pci", "cog", "coi", "score"}
 # Amounts of money that are not plain sums.
 AMOUNTS = {"predicted_value", "gravity_pred"}
 
