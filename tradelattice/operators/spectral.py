@@ -21,45 +21,42 @@ from tradelattice.session import stage
 # makes larger than what is looked for; the degree stays so low that it does so by this factor at most.
 MOST_LEAK = 1e12
 LEAST_RANK = 1e-12
+PAIRS_IN_A_TASK = 200_000
+SETTLED = 1e-9
 
 
-def _columns(template: str, width: int) -> str:
-    return ", ".join(template.format(i=i) for i in range(width))
-
-
-def _times(pairs: DataFrame, state: DataFrame, shown: str, carried: list[str], width: int) -> DataFrame:
-    """``shown`` of the similarity times ``y`` as ``s``, with ``carried`` columns of the country itself.
+def _times(pairs: DataFrame, state: DataFrame, shown: str) -> DataFrame:
+    """``shown`` of ``s``, the similarity times ``y``, and of the country's own ``scale``, ``p`` and ``y``; a row per vector ``j``.
 
     The pair of a country with itself brings its own row to the grouped sum.
     """
-    own = ", ".join(f"sum(if(p.c = p.d, v.{c}, null)) AS {c}" for c in carried)
     return pairs.sparkSession.sql(f"""
-        SELECT year, iso3, {shown} FROM (
-            SELECT p.year, p.c AS iso3, {own}, {_columns("sum(p.s * v.y{i}) AS s{i}", width)}
-            FROM {{pairs}} p JOIN {{state}} v ON p.year = v.year AND p.d = v.iso3 GROUP BY p.year, p.c)""", pairs=pairs, state=state)
+        SELECT year, iso3, j, {shown} FROM (
+            SELECT p.year, p.c AS iso3, v.j, max(v.scale) AS scale, sum(p.s * v.y) AS s,
+                   sum(CASE WHEN p.c = p.d THEN v.p END) AS p, sum(CASE WHEN p.c = p.d THEN v.y END) AS y
+            FROM {{pairs}} p JOIN {{state}} v ON p.year = v.year AND p.d = v.iso3 GROUP BY p.year, p.c, v.j)""", pairs=pairs, state=state)
 
 
-def _turned(state: DataFrame, turns: DataFrame, width: int) -> DataFrame:
+def _turned(state: DataFrame, turns: DataFrame) -> DataFrame:
     """The block free of the leading vector and turned to its Ritz vectors ``x``, with the similarity times them, ``w``."""
-    mixed = lambda v, j: " + ".join(f"({v}{i} - t * lead[{i}]) * mix[{j}][{i}]" for i in range(width))
-    turned = [f"{mixed(v, j)} AS {x}{j}" for v, x in ("yx", "zw") for j in range(width)]
-    return state.join(turns, "year").selectExpr("year", "iso3", "k", "t", "cut", "value", *turned)
+    turned = lambda v: (
+        f"transform(mix, m -> aggregate(zip_with(zip_with({v}, lead, (a, l) -> a - t * l), m, (a, b) -> a * b), 0D, (s, a) -> s + a))")
+    return state.join(turns, "year").selectExpr("year", "iso3", "k", "t", "cut", "value", f"{turned('y')} AS x", f"{turned('z')} AS w")
 
 
-def _filtered(pairs: DataFrame, ritz: DataFrame, width: int, degree: int) -> DataFrame:
+def _filtered(pairs: DataFrame, ritz: DataFrame, degree: int) -> DataFrame:
     """The Chebyshev polynomial over (0, cut) of the similarity, times the block ``x``, as ``y``; and the similarity times that, ``z``."""
-    kept, names = ["k", "t", "cut", "scale"], [f"{v}{i}" for v in "py" for i in range(width)]
-    state = ritz.withColumn("scale", F.when(F.col("cut") > 0, 2.0 / F.col("cut")).otherwise(0.0)).selectExpr(
-        "year", "iso3", *kept, *[f"x{i} AS p{i}" for i in range(width)], *[f"scale * w{i} - x{i} AS y{i}" for i in range(width)])
-    step = f"{', '.join(kept)}, {_columns('y{i} AS p{i}', width)}, {_columns('2 * (scale * s{i} - y{i}) - p{i} AS y{i}', width)}"
+    rows = ritz.selectExpr("year", "iso3", "CASE WHEN cut > 0 THEN 2 / cut ELSE 0D END AS scale", "posexplode(arrays_zip(x, w)) AS (j, v)")
+    state = rows.selectExpr("year", "iso3", "j", "scale", "v.x AS p", "scale * v.w - v.x AS y")
     for _ in range(degree - 1):
-        state = _times(pairs, state, step, [*kept, *names], width)
-    return _with_product(pairs, state, width)
+        state = _times(pairs, state, "scale, y AS p, 2 * (scale * s - y) - p AS y")
+    return _with_product(pairs, state, ritz)
 
 
-def _with_product(pairs: DataFrame, state: DataFrame, width: int) -> DataFrame:
-    shown = f"k, t, {_columns('y{i}', width)}, {_columns('s{i} AS z{i}', width)}"
-    return _times(pairs, state, shown, ["k", "t", *[f"y{i}" for i in range(width)]], width)
+def _with_product(pairs: DataFrame, state: DataFrame, countries: DataFrame) -> DataFrame:
+    """A row per country: ``y``, the vectors of ``state``, and ``z``, the similarity times them."""
+    rows = _times(pairs, state, "y, s").groupBy("year", "iso3").agg(F.sort_array(F.collect_list(F.struct("j", "y", "s"))).alias("v"))
+    return countries.select("year", "iso3", "k", "t").join(rows, ["year", "iso3"]).selectExpr("year", "iso3", "k", "t", "v.y AS y", "v.s AS z")
 
 
 def _ritz(state: DataFrame, width: int) -> list[tuple]:
@@ -69,8 +66,8 @@ def _ritz(state: DataFrame, width: int) -> list[tuple]:
     whose block is nothing but the leading vector has no second one, and a null value.
     """
     places = [(i, j) for i in range(width) for j in range(i, width)]
-    sums = [F.expr(f"sum(y{i} * y{j})") for i, j in places] + [F.expr(f"sum(y{i} * z{j} + y{j} * z{i}) / 2") for i, j in places]
-    sums += [F.expr(f"sum(t * y{i})") for i in range(width)]
+    sums = [F.expr(f"sum(y[{i}] * y[{j}])") for i, j in places] + [F.expr(f"sum(y[{i}] * z[{j}] + y[{j}] * z[{i}]) / 2") for i, j in places]
+    sums += [F.expr(f"sum(t * y[{i}])") for i in range(width)]
     found = []
     for row in state.groupBy("year").agg(*sums).collect():
         gram, ritz = np.zeros((width, width)), np.zeros((width, width))
@@ -121,18 +118,26 @@ def second_vectors(
         .select("year", "c", "d", (F.col("a") / F.sqrt(F.col("_c") * F.col("_d"))).alias("s")),
         "pairs",
     )
-    start = [(S.hash32(["iso3", F.lit(i)], 42) / F.lit(float(2 ** 31)) - 1.0).alias(f"y{i}") for i in range(width)]
-    state = k.join(total, "year").select("year", "iso3", "k", F.sqrt(F.col("k") / F.col("_t")).alias("t"), *start)
-    state = stage(_with_product(pairs, state, width), "vectors")
+    one_task = (lambda df: df.coalesce(1)) if pairs.count() <= PAIRS_IN_A_TASK else (lambda df: df)  # needs no exchange
+    pairs, k = one_task(pairs), one_task(k)
+    countries = k.join(total, "year").select("year", "iso3", "k", F.sqrt(F.col("k") / F.col("_t")).alias("t"))
+    drawn = S.hash32(["iso3", "j"], 42) / F.lit(float(2 ** 31)) - 1.0
+    start = countries.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).select(
+        "year", "iso3", "j", F.lit(0.0).alias("scale"), F.lit(0.0).alias("p"), drawn.alias("y"))
+    state = stage(_with_product(pairs, start, countries), "vectors")
     turn_type = "year int, mix array<array<double>>, lead array<double>, cut double, value double"
-    worst = math.inf
+    worst, before = math.inf, {}
     for _ in range(max_rounds):
-        turns = _ritz(state, width)
-        ritz = _turned(state, spark.createDataFrame(turns, turn_type), width)
-        gap = F.pow(F.col("w0") - F.col("value") * F.col("x0"), 2)
-        gaps = ritz.groupBy("year").agg(F.sum(gap).alias("gap")).agg(F.max("gap")).first()
-        worst = math.sqrt(gaps[0] or 0.0)
-        if worst <= tolerance:
-            return ritz.select("year", "iso3", F.when(F.col("value").isNotNull(), F.col("x0") / F.sqrt("k")).alias("x"), F.col("k").cast("bigint").alias("diversity"))
-        state = stage(_filtered(pairs, ritz, width, _degree(turns, degree)), "vectors")
+        turns = _ritz(one_task(state), width)
+        ritz = _turned(one_task(state), spark.createDataFrame(turns, turn_type))
+        values = {year: value or 0.0 for year, *_, value in turns}
+        # The value settles long before the vector does; until then the residual needs no pass over the rows.
+        if all(abs(value - before.get(year, math.inf)) <= SETTLED for year, value in values.items()):
+            gap = F.pow(F.col("w")[0] - F.col("value") * F.col("x")[0], 2)
+            worst = math.sqrt(ritz.groupBy("year").agg(F.sum(gap).alias("gap")).agg(F.max("gap")).first()[0] or 0.0)
+            if worst <= tolerance:
+                x = F.when(F.col("value").isNotNull(), F.col("x")[0] / F.sqrt("k"))
+                return ritz.select("year", "iso3", x.alias("x"), F.col("k").cast("bigint").alias("diversity"))
+        before = values
+        state = stage(_filtered(pairs, ritz, _degree(turns, degree)), "vectors")
     raise RuntimeError(f"residual {worst:.2e} after {max_rounds} rounds")
