@@ -14,7 +14,20 @@ def test_slices_by_name(spark, tmp_path):
     assert got.count() == 2 and "extra" in got.columns
     keys = slices.with_slice_keys(slices.read_slices(spark, folder, "bilateral")).select("slice_reporter", "slice_flow", "slice_year", "slice_level", "slice_partner").distinct()
     assert [tuple(r) for r in keys.collect()] == [("807", "X", 2020, 4, "all")]
-    assert slices.read_slices(spark, str(tmp_path / "none"), "totals") is None
+    for family in slices.PARTNERS:
+        none = slices.read_slices(spark, str(tmp_path / "none"), family)
+        assert none.count() == 0 and "cmdCode" in none.columns
+
+
+def test_slices_chosen_by_name_open_only_their_files(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [(r, f, y, r * 10.0) for r in (8, 80, 807) for f in "XM" for y in (2019, 2020)]
+    slices.write_slices(spark.createDataFrame(rows, "r int, f string, y int, v double"), folder, "r", "f", "y", 4, "all")
+    got = slices.read_slices(spark, folder, "bilateral", reporters=[8, 807], flows=["M"], years=[2020])
+    assert sorted(r.v for r in got.collect()) == [80.0, 8070.0]
+    assert {p.rsplit("/", 2)[1] for p in got.inputFiles()} == {"slice=8_M_2020_hs4_pall.parquet", "slice=807_M_2020_hs4_pall.parquet"}
+    assert slices.read_slices(spark, folder, "bilateral", reporters=["80"]).count() == 4
+    assert slices.read_slices(spark, folder, "bilateral", years=[1999]).count() == 0
 
 
 def test_rewriting_a_slice_keeps_the_others(spark, tmp_path):

@@ -28,6 +28,9 @@ def test_chain(spark, data, tmp_path):
     settings = W.Settings(**{**settings.__dict__, "country": focus})
     W.opportunities(spark, out, t.products, t.countries, 2000, settings)
     top = spark.read.parquet(f"{out}/product_opportunities")
+    scored = spark.read.parquet(f"{out}/link_scores").where(f"src = 'country:{focus}' AND year = 2000")
+    best = {r.dst.split(":")[1]: r.score for r in scored.collect()}
+    assert all(r.score == best[r.hs4] for r in top.collect()) and len(best) >= top.count()
     assert 0 < top.count() <= 50 and top.columns == ["hs4", "product_name", "score", "rank", "density", "pci"]
     markets = spark.read.parquet(f"{out}/market_opportunities")
     assert markets.where("gravity_pred IS NOT NULL").count() > 0

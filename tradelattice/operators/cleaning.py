@@ -22,8 +22,12 @@ def rename_any_case(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.toDF(*[names.get(c.lower(), c) for c in df.columns])
 
 
+def missing_columns(df: DataFrame, required: Iterable[str]) -> list[str]:
+    return [c for c in required if c not in df.columns]
+
+
 def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
-    missing = [c for c in required if c not in df.columns]
+    missing = missing_columns(df, required)
     if missing:
         raise ValueError(f"missing columns {missing}; available: {df.columns}")
     return df

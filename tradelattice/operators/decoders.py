@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tradelattice.functions import constants as K, scalars as S
-from tradelattice.operators import embeddings as E
+from tradelattice.operators import embeddings as E, splits as Z
 from tradelattice.operators.evaluation import average_precision
 from tradelattice.session import stage
 
@@ -52,103 +53,189 @@ def geometry_features() -> Column:
     return F.concat(S.hadamard("zu", "zv"), F.array(distance, cosine))
 
 
+FEATURES: dict[str, Callable[[], Column]] = {
+    "distmult": hadamard_features, "embedding": geometry_features, "mlp": concatenated_features,
+}
+DECODERS = ["dot_product", *FEATURES]
+MOST_STEPS, PERCEPTRON_STEPS = 500, 100
+
+
+def _literal(values: Sequence[float]) -> str:
+    return f"array({', '.join(f'{float(v)!r}D' for v in values)})"
+
+
+def _sigmoid(x: Column) -> Column:
+    return 1.0 / (1.0 + F.exp(-x))
+
+
+@dataclass(frozen=True)
+class Layer:
+    """Weights by output and input, and a bias by output; every output goes through a sigmoid."""
+
+    weights: Sequence[Sequence[float]]
+    bias: Sequence[float]
+
+    def apply(self, x: Column) -> Column:
+        rows = F.expr(f"array({', '.join(map(_literal, self.weights))})")
+        return F.zip_with(rows, F.expr(_literal(self.bias)), lambda w, b: _sigmoid(b + S.dot(w, x)))
+
+
 @dataclass(frozen=True)
 class Decoder:
-    """A fitted decoder; ``features`` builds its input from ``zu`` and ``zv``."""
+    """A decoder as numbers: its name, which says how ``zu`` and ``zv`` become features, and its layers, the last of one output.
+
+    Scores are column expressions of these numbers, so no fitted model travels with a plan. ``dot_product`` has no layers.
+    """
 
     name: str
-    features: Callable[[], Column] | None
-    model: PipelineModel | None
+    layers: Sequence[Layer] = ()
+    converged: bool = True
+
+    def expression(self) -> Column:
+        """The score of ``zu`` and ``zv``."""
+        if not self.layers:
+            return S.dot("zu", "zv")
+        x = FEATURES[self.name]()
+        for layer in self.layers:
+            x = layer.apply(x)
+        return x[0]
 
     def score(self, pairs: DataFrame, vectors: DataFrame) -> DataFrame:
         """``pairs`` with ``score``; every pair has a score."""
-        if self.model is None:
-            return dot_scores(pairs, vectors)
-        done = self.model.transform(_inputs(pairs, vectors, self.features))
-        return done.select(*pairs.columns, vector_to_array("probability")[1].alias("score"))
+        return score_all({"score": self}, pairs, vectors)
 
     def relation(self) -> list[float]:
         """Diagonal of the relation, for the decoder that is linear in the element products."""
-        return [float(x) for x in self.model.stages[-1].coefficients.toArray()]
+        return list(self.layers[0].weights[0])
 
 
-def _inputs(pairs: DataFrame, vectors: DataFrame, features: Callable[[], Column]) -> DataFrame:
-    return pair_vectors(pairs, vectors).withColumn("features", array_to_vector(features())).drop("zu", "zv")
+def score_all(decoders: dict[str, Decoder], pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``pairs`` with a score column for each decoder, in one join with the vectors."""
+    return pair_vectors(pairs, vectors).withColumns({n: d.expression() for n, d in decoders.items()}).select(*pairs.columns, *decoders)
 
 
-def fit_decoder(name: str, training: DataFrame, vectors: DataFrame, dim: int, seed: int = K.SEED) -> Decoder:
-    """Fit ``dot_product`` (nothing to fit), ``distmult``, ``mlp`` or ``embedding`` on labelled training pairs."""
-    if name == "dot_product":
-        return Decoder(name, None, None)
-    if name == "distmult":
-        features, learner = hadamard_features, LogisticRegression(maxIter=100, regParam=1e-4, standardization=False)
-    elif name == "embedding":
-        features, learner = geometry_features, LogisticRegression(maxIter=100, regParam=1e-4)
+def fit_model(name: str, training: DataFrame, vectors: DataFrame, dim: int, seed: int = K.SEED) -> Model:
+    """The Spark ML model of a decoder on labelled training pairs, ``features`` to ``probability``."""
+    if name in ("distmult", "embedding"):
+        learner = LogisticRegression(maxIter=MOST_STEPS, regParam=1e-4)
     elif name == "mlp":
-        features = concatenated_features
-        learner = MultilayerPerceptronClassifier(layers=[2 * dim, K.MLP_HIDDEN, 2], maxIter=100, seed=seed)
+        learner = MultilayerPerceptronClassifier(layers=[2 * dim, K.MLP_HIDDEN, 2], maxIter=PERCEPTRON_STEPS, seed=seed)
     else:
         raise ValueError(f"unknown decoder {name}")
     # Iterative fits read their input many times, so it is written once.
-    ready = stage(_inputs(training.select("src", "dst", "label"), vectors, features), "training")
-    return Decoder(name, features, Pipeline(stages=[learner]).fit(ready))
+    return learner.fit(stage(model_inputs(name, training.select("src", "dst", "label"), vectors), "training"))
+
+
+def model_inputs(name: str, pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    return pair_vectors(pairs, vectors).withColumn("features", array_to_vector(FEATURES[name]())).drop("zu", "zv")
+
+
+def fit_decoder(name: str, training: DataFrame, vectors: DataFrame, dim: int, seed: int = K.SEED) -> Decoder:
+    """Fit ``dot_product`` (nothing to fit), ``distmult``, ``mlp`` or ``embedding`` on labelled training pairs.
+
+    A convex fit that has not settled raises; the perceptron, which is not convex, says so in ``converged``.
+    """
+    if name == "dot_product":
+        return Decoder(name)
+    return decoder_of(name, fit_model(name, training, vectors, dim, seed), dim)
+
+
+def decoder_of(name: str, model: Model, dim: int) -> Decoder:
+    """The numbers of a fitted model."""
+    if name == "mlp":
+        return Decoder(name, perceptron_layers(model.weights.toArray(), 2 * dim), model.summary().totalIterations < PERCEPTRON_STEPS)
+    if model.summary.totalIterations >= MOST_STEPS:
+        raise RuntimeError(f"{name} did not settle in {MOST_STEPS} steps")
+    return Decoder(name, (Layer([[float(x) for x in model.coefficients]], [float(model.intercept)]),))
+
+
+def perceptron_layers(weights: np.ndarray, inputs: int) -> tuple[Layer, Layer]:
+    """Two layers out of the flat weights of a perceptron with two classes: per layer a matrix by columns, then its bias.
+
+    The softmax of two outputs is the sigmoid of their difference, so the last layer has one output.
+    """
+    hidden = K.MLP_HIDDEN
+    first, rest = np.split(np.asarray(weights, float), [hidden * (inputs + 1)])
+    matrix = lambda flat, n_in, n_out: (flat[:n_in * n_out].reshape(n_in, n_out).T, flat[n_in * n_out:])
+    (w, b), (v, c) = matrix(first, inputs, hidden), matrix(rest, hidden, 2)
+    return Layer(w.tolist(), b.tolist()), Layer([(v[1] - v[0]).tolist()], [float(c[1] - c[0])])
 
 
 # --- link prediction -----------------------------------------------------------------------------
 
 
 def encode(
-    edges: DataFrame, features: DataFrame, encoder: str, dim: int, layers: int = 2, relations: Sequence[str] = K.RELATIONS
+    edges: DataFrame, features: DataFrame, encoder: str, dim: int, layers: int = 2, relations: Sequence[str] = K.RELATIONS,
+    samples: Sequence[int] | None = None,
 ) -> tuple[DataFrame, int]:
     """Vectors of an encoder by name and their width.
 
     ``edges`` is (src, rel, dst) in both directions; ``sage`` and ``gcn`` ignore the relation, ``rgcn`` keeps
-    one block per relation, ``fastrp`` and ``node2vec`` use the structure only.
+    one block per relation, ``fastrp`` and ``node2vec`` use the structure only. ``samples`` bounds the incoming
+    edges per node and relation that ``sage`` and ``rgcn`` use, the last layer's first; it replaces ``layers``.
     """
-    adj = edges.select("src", "dst").distinct()
-    if encoder in ("sage", "gcn"):
-        mode = "mean" if encoder == "sage" else "gcn"
-        return E.propagate_hops(adj, features, dim, layers, mode), dim * (layers + 1)
+    if encoder in ("sage", "rgcn") and samples is not None:
+        used = Z.sample_layers(edges, samples)
+    else:
+        used = [edges] * layers
+    simple = lambda df: df.select("src", "dst").distinct()
+    if encoder == "sage":
+        return E.propagate_hops([simple(e) for e in used], features, dim, mode="mean"), dim * (len(used) + 1)
+    if encoder == "gcn":
+        return E.propagate_hops(simple(edges), features, dim, layers, "gcn"), dim * (layers + 1)
     if encoder == "rgcn":
-        return E.propagate_relations(edges, features, dim, relations), dim * (len(relations) + 1)
+        return E.propagate_relations(used, features, dim, relations), dim * (len(relations) + 1)
     if encoder == "fastrp":
-        return E.fastrp(adj, dim), dim
+        return E.fastrp(simple(edges), dim), dim
     if encoder == "node2vec":
-        return E.node2vec(adj, dim), dim
+        return E.node2vec(simple(edges), dim), dim
     raise ValueError(f"unknown encoder {encoder}")
 
 
 def link_scores(
     edges: DataFrame, features: DataFrame, labelled: DataFrame, candidates: DataFrame, encoder: str, decoder: str,
-    dim: int, layers: int = 2, relations: Sequence[str] = K.RELATIONS,
+    dim: int, layers: int = 2, relations: Sequence[str] = K.RELATIONS, samples: Sequence[int] | None = None,
 ) -> DataFrame:
     """Encode, fit the decoder on the training pairs and score the candidates: (src, dst, score)."""
-    vectors, width = encode(edges, features, encoder, dim, layers, relations)
+    vectors, width = encode(edges, features, encoder, dim, layers, relations, samples)
     vectors = stage(vectors, "vectors")
     fitted = fit_decoder(decoder, labelled.where("split = 'train'"), vectors, width)
     return fitted.score(candidates.select("src", "dst"), vectors)
 
 
+def score_models(fitted: dict[str, tuple[Decoder, DataFrame]], pairs: DataFrame) -> DataFrame:
+    """``pairs`` scored by every model (its decoder and vectors) in long form, with ``model``.
+
+    Models that share vectors share one join. Each part is written before they are put together.
+    """
+    groups: dict[int, tuple[DataFrame, dict[str, Decoder]]] = {}
+    for name, (decoder, vectors) in fitted.items():
+        groups.setdefault(id(vectors), (vectors, {}))[1][name] = decoder
+    scored = None
+    for vectors, decoders in groups.values():
+        columns = {f"_s{k}": d for k, d in enumerate(decoders.values())}
+        rows = F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("score")) for n, c in zip(decoders, columns)])
+        part = stage(score_all(columns, pairs, vectors).select(*pairs.columns, F.inline(rows)), "scores")
+        scored = part if scored is None else scored.unionByName(part)
+    return scored
+
+
 def select_model(
-    edges: DataFrame, features: DataFrame, labelled: DataFrame, dim: int, encoders: Sequence[str], decoders: Sequence[str],
-    layers: int = 2, relations: Sequence[str] = K.RELATIONS,
+    edges: DataFrame, features: DataFrame, labelled: DataFrame, dim: int, encoders: Sequence[str], decoders: Sequence[str] = DECODERS,
+    layers: int = 2, relations: Sequence[str] = K.RELATIONS, samples: Sequence[int] | None = None,
 ) -> tuple[str, Decoder, DataFrame, DataFrame]:
     """Fit every encoder and decoder pair, choose by average precision on the validation pairs.
 
     Returns the name of the best, its decoder, its vectors, and the table (model, average_precision).
     """
+    training = stage(labelled.where("split = 'train'"), "training-pairs")
     fitted: dict[str, tuple[Decoder, DataFrame]] = {}
-    scored = None
     for encoder in encoders:
-        vectors, width = encode(edges, features, encoder, dim, layers, relations)
+        vectors, width = encode(edges, features, encoder, dim, layers, relations, samples)
         vectors = stage(vectors, "vectors")
         for decoder in decoders:
-            name = f"{encoder}+{decoder}"
-            model = fit_decoder(decoder, labelled.where("split = 'train'"), vectors, width)
-            fitted[name] = (model, vectors)
-            part = model.score(labelled.where("split = 'val'").select("src", "dst", "label"), vectors)
-            part = part.withColumn("model", F.lit(name))
-            scored = part if scored is None else scored.unionByName(part)
-    table = average_precision(stage(scored, "validation"), by=["model"])
+            fitted[f"{encoder}+{decoder}"] = fit_decoder(decoder, training, vectors, width), vectors
+    scored = score_models(fitted, labelled.where("split = 'val'").select("src", "dst", "label"))
+    table = stage(average_precision(scored, by=["model"]), "selection")
     best = table.orderBy(F.desc("average_precision"), "model").first()["model"]
     return best, *fitted[best], table

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tradelattice.operators.cleaning import member_flags
+from tradelattice.session import stage
 
 EDGE = ["src_type", "src", "rel", "dst_type", "dst", "weight", "year"]
+# Properties of edges; each relation fills its own, the others are null and take no room in the stored columns.
+PROPERTIES = {
+    "value": "double", "rca": "double", "export_value": "double", "import_value": "double", "hs_code": "string", "distance": "double",
+    "contiguous": "boolean", "common_lang": "boolean", "fta": "boolean",
+}
 
 
 # --- nodes ---------------------------------------------------------------------------------------
@@ -105,11 +109,14 @@ def section_edges(product_node_table: DataFrame) -> DataFrame:
     )
 
 
-def neighbour_edges(gravity: DataFrame, year: int) -> DataFrame:
+def neighbour_edges(gravity: DataFrame, year: int | None = None) -> DataFrame:
+    """Country pairs with distance and flags, of one year, or of all with the year."""
     flag = lambda c: F.col(c).cast("boolean")
-    return gravity.where(F.col("year") == year).select(
+    rows = gravity if year is None else gravity.where(F.col("year") == year)
+    return rows.select(
         F.col("iso3_o").alias("src"), F.col("iso3_d").alias("dst"), F.col("dist").alias("distance"),
         flag("contig").alias("contiguous"), flag("comlang_off").alias("common_lang"), flag("fta_wto").alias("fta"),
+        *(["year"] if year is None else []),
     )
 
 
@@ -154,6 +161,7 @@ def _typed(df: DataFrame, rel: str, src_type: str, dst_type: str, weight: Column
     return df.select(
         F.lit(src_type).alias("src_type"), F.col("src"), F.lit(rel).alias("rel"), F.lit(dst_type).alias("dst_type"),
         F.col("dst"), (none if weight is None else weight).cast("double").alias("weight"), year.cast("int").alias("year"),
+        *[(F.col(c) if c in df.columns else none).cast(kind).alias(c) for c, kind in PROPERTIES.items()],
     )
 
 
@@ -161,11 +169,14 @@ def typed_edges(
     exports: DataFrame, flows: DataFrame | None = None, gravity: DataFrame | None = None, phi: DataFrame | None = None,
     products: DataFrame | None = None, trade: DataFrame | None = None, gravity_year: int | None = None,
 ) -> DataFrame:
-    """All relations as one table (src_type, src, rel, dst_type, dst, weight, year); absent inputs are left out.
+    """All relations as one table: src_type, src, rel, dst_type, dst, weight, year and the ``PROPERTIES`` of the relation.
 
-    ``exports`` has iso3, hs4, export_value, rca, year; ``products`` is the product node table.
+    ``exports`` has iso3, hs4, export_value, rca, year; ``products`` is the product node table. Absent inputs are left out.
+    Flows are written once, as three relations read them.
     """
     parts = [_typed(export_edges(exports), "EXPORTS", "country", "product", F.col("value"))]
+    if flows is not None:
+        flows = stage(flows.select("reporter_iso3", "partner_iso3", "hs4", "flow", "value", "year"), "flows")
     if flows is not None or trade is not None:
         parts.append(_typed(import_edges(trade, flows), "IMPORTS", "country", "product", F.col("value")))
     if flows is not None:
@@ -178,8 +189,7 @@ def typed_edges(
         parts.append(_typed(section_edges(products), "IN_SECTION", "product", "section"))
     if gravity is not None:
         years = gravity if gravity_year is None else gravity.where(F.col("year") == gravity_year)
-        pairs = years.select(F.col("iso3_o").alias("src"), F.col("iso3_d").alias("dst"), "dist", "year")
-        parts.append(_typed(pairs, "NEIGHBOR_OF", "country", "country", F.col("dist")))
+        parts.append(_typed(neighbour_edges(years), "NEIGHBOR_OF", "country", "country", F.col("distance")))
     first, *rest = parts
     for part in rest:
         first = first.unionByName(part)
@@ -219,49 +229,76 @@ def hops(adj: DataFrame, seeds: DataFrame, k: int = 2) -> DataFrame:
 # --- features ------------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Features:
+    """What node features are made with, learnt from training rows: numbers with their mean, centre and spread, and categories."""
+
+    numbers: dict[str, tuple[float, float, float]]
+    sizes: frozenset[str]
+    categories: dict[str, list[str]]
+    flags: Sequence[str]
+
+    @property
+    def width(self) -> int:
+        return len(self.numbers) + sum(len(v) + 1 for v in self.categories.values()) + len(self.flags)
+
+    def vector(self) -> Column:
+        """Scaled numbers, a column per category and one for categories not seen, and flags."""
+        parts = []
+        for c, (mean, centre, spread) in self.numbers.items():
+            x = F.coalesce(_number(c, c in self.sizes), F.lit(mean))
+            parts.append((x - centre) / spread if spread > 0 else F.lit(0.0))
+        for c, known in self.categories.items():
+            label = F.coalesce(F.col(c).cast("string"), F.lit(""))
+            parts += [F.when(label == k, 1.0).otherwise(0.0) for k in known] + [F.when(label.isin(known), 0.0).otherwise(1.0)]
+        parts += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.flags]
+        return F.array(*parts)
+
+
+def _number(column: str, size: bool) -> Column:
+    x = F.col(column).cast("double")
+    x = F.log1p(x) if size else x
+    return F.when(~F.isnan(x), x)
+
+
 def fit_features(
     training: DataFrame, sizes: Sequence[str] = (), numbers: Sequence[str] = (), categories: Sequence[str] = (),
     flags: Sequence[str] = (),
-) -> tuple[PipelineModel, dict]:
-    """Fit imputation, scaling and one-hot encoding on training rows only.
+) -> Features:
+    """Imputation by the mean, scaling and one-hot encoding, learnt on training rows only.
 
-    ``sizes`` are strictly positive magnitudes taken in logs; ``flags`` become 0 or 1 with null as 0.
+    ``sizes`` are strictly positive magnitudes taken in logs; ``flags`` become 0 or 1 with null as 0. Two aggregates give the
+    numbers; the categories of a column are what reaches the driver besides.
     """
-    plan = {"sizes": list(sizes), "numbers": list(numbers), "categories": list(categories), "flags": list(flags)}
-    scaled = [*plan["sizes"], *plan["numbers"]]
-    stages = []
-    inputs: list[str] = []
+    scaled = [*sizes, *numbers]
+    known = {c: sorted(r[0] for r in training.select(F.coalesce(F.col(c).cast("string"), F.lit(""))).distinct().collect()) for c in categories}
+    stats: dict[str, tuple[float, float, float]] = {}
     if scaled:
-        stages += [
-            Imputer(inputCols=[f"_x_{c}" for c in scaled], outputCols=[f"_i_{c}" for c in scaled]),
-            VectorAssembler(inputCols=[f"_i_{c}" for c in scaled], outputCol="_num"),
-            StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True, withStd=True),
-        ]
-        inputs.append("_scaled")
-    for c in plan["categories"]:
-        stages += [
-            StringIndexer(inputCol=f"_x_{c}", outputCol=f"_k_{c}", handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCol=f"_k_{c}", outputCol=f"_h_{c}", dropLast=True, handleInvalid="keep"),
-        ]
-        inputs.append(f"_h_{c}")
-    stages.append(VectorAssembler(inputCols=[*inputs, *[f"_x_{c}" for c in plan["flags"]]], outputCol="_features"))
-    return Pipeline(stages=stages).fit(_prepared(training, plan)), plan
-
-
-def _prepared(df: DataFrame, plan: dict) -> DataFrame:
-    return df.withColumns({
-        **{f"_x_{c}": F.log1p(F.col(c).cast("double")) for c in plan["sizes"]},
-        **{f"_x_{c}": F.col(c).cast("double") for c in plan["numbers"]},
-        **{f"_x_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in plan["categories"]},
-        **{f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in plan["flags"]},
-    })
-
-
-def assemble_features(nodes: DataFrame, fitted: tuple[PipelineModel, dict], key: str, kind: str) -> DataFrame:
+        means = training.agg(*[F.coalesce(F.avg(_number(c, c in sizes)), F.lit(0.0)).alias(c) for c in scaled]).first()
+        filled = {c: F.coalesce(_number(c, c in sizes), F.lit(means[c])) for c in scaled}
+        row = training.agg(*[f(x).alias(f"{f.__name__}_{c}") for c, x in filled.items() for f in (F.avg, F.stddev_samp)]).first()
+        stats = {c: (means[c], row[f"avg_{c}"] or 0.0, row[f"stddev_samp_{c}"] or 0.0) for c in scaled}
+    return Features(stats, frozenset(sizes), known, list(flags))
+
+
+def assemble_features(nodes: DataFrame, fitted: Features, key: str, kind: str) -> DataFrame:
     """(node, vector) with the fitted transformations."""
-    model, plan = fitted
-    done = model.transform(_prepared(nodes, plan))
-    return done.select(node_id(F.lit(kind), key).alias("node"), vector_to_array("_features").alias("vector"))
+    return nodes.select(node_id(F.lit(kind), key).alias("node"), fitted.vector().alias("vector"))
+
+
+def join_features(parts: Sequence[tuple[DataFrame, int]], nodes: DataFrame) -> tuple[DataFrame, int]:
+    """Features of several kinds of nodes side by side, each in a stretch of its own: (node, vector) and the width.
+
+    ``parts`` holds (features, width) of each kind; ``nodes`` (node) without features have zeros.
+    """
+    width, at, rows = sum(w for _, w in parts), 0, None
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    for df, own in parts:
+        part = df.select("node", F.concat(zeros(at), F.col("vector"), zeros(width - at - own)).alias("vector"))
+        rows = part if rows is None else rows.unionByName(part)
+        at += own
+    every = nodes.select("node").distinct().join(rows, "node", "left")
+    return every.select("node", F.coalesce("vector", zeros(width)).alias("vector")), width
 
 
 def append_embeddings(features: DataFrame, embeddings: DataFrame, dim: int) -> DataFrame:

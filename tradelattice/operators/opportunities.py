@@ -88,11 +88,12 @@ def demand_scores(flows: DataFrame, year: int, country: str) -> DataFrame:
 
 def rank_markets(
     complexity: DataFrame, flows: DataFrame, partners: DataFrame, names: DataFrame, country: str = K.FOCUS_COUNTRY,
-    year: int = 0, scores: DataFrame | None = None, gravity: DataFrame | None = None, k: int = 50,
+    year: int = 0, scores: DataFrame | None = None, gravity: DataFrame | None = None, k: int = 50, gravity_year: int | None = None,
 ) -> DataFrame:
     """New markets for what a country exports: hs4, product_name, partner_iso3, partner_name, score, rank, gravity_pred.
 
-    ``partners`` has iso3 and country_name; ``gravity`` has reporter_iso3, partner_iso3, hs4, year, predicted_value.
+    ``partners`` has iso3 and country_name; ``gravity`` has reporter_iso3, partner_iso3, hs4, year, predicted_value, of which
+    those of ``gravity_year`` are shown, by default of ``year``.
     """
     candidates = market_candidates(complexity, flows, partners, country, year)
     scores = demand_scores(flows, year, country) if scores is None else scores
@@ -103,7 +104,8 @@ def rank_markets(
     if gravity is None:
         top = top.withColumn("gravity_pred", F.lit(None).cast("double"))
     else:
-        own = gravity.where((F.col("reporter_iso3") == country) & (F.col("year") == year)).select(
+        shown = year if gravity_year is None else gravity_year
+        own = gravity.where((F.col("reporter_iso3") == country) & (F.col("year") == shown)).select(
             "hs4", "partner_iso3", F.col("predicted_value").alias("gravity_pred")
         )
         top = top.join(own, ["hs4", "partner_iso3"], "left")

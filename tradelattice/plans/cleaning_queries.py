@@ -92,6 +92,17 @@ def payloads(t):
 # --- sources and sinks ---------------------------------------------------------------------------
 
 
+REQUIRED = ["Period", "reporterCode", "cmdCode", "primaryValue", "reporterISO", "fobvalue"]
+
+
+@query("required_columns", f"""
+    SELECT name, name IN (SELECT column_name FROM (DESCRIBE SELECT * FROM {{raw_totals}})) AS present
+    FROM (SELECT unnest({REQUIRED}) AS name)""")
+def required_columns(t):
+    lost = P.missing_columns(t.raw_totals, REQUIRED)
+    return t.spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(c not in lost).alias("present")) for c in REQUIRED])))
+
+
 @query("csv_exports", f"SELECT * FROM {{c_exports}}")
 def csv_exports(t):
     path = scratch_path(t.spark, "exports-csv")
@@ -100,7 +111,7 @@ def csv_exports(t):
 
 
 @query("csv_gravity", f"""
-    SELECT year, iso3_o, iso3_d, dist, contig, comlang_off, fta_wto, gdp_o, gdp_d, pop_o, pop_d, contig AS colony
+    SELECT year, iso3_o, iso3_d, dist, contig, comlang_off, comcol, fta_wto, gdp_o, gdp_d, pop_o, pop_d, contig AS colony
     FROM {{gravity}} WHERE year BETWEEN {YEARS[0]} AND {YEARS[1]}""")
 def csv_gravity(t):
     path = scratch_path(t.spark, "gravity-csv")

@@ -87,7 +87,7 @@ SHARED.update({
 
 def adv(t):
     """Advantage and presence over the observed cells."""
-    return C.mcp(C.rca(C.trade_cells(t.exports)))
+    return C.mcp(C.rca(stage(C.trade_cells(t.exports), "cells")))
 
 
 def grid_adv(t):
@@ -112,7 +112,7 @@ def trade_grid(t):
 
 @query("rca", f"SELECT year, iso3, hs4, {r('rca')} AS rca FROM {{adv}} WHERE export_value > 0")
 def rca_query(t):
-    return rounded(C.rca(C.trade_cells(t.exports)).select("year", "iso3", "hs4", "rca"))
+    return rounded(C.rca(stage(C.trade_cells(t.exports), "cells")).select("year", "iso3", "hs4", "rca"))
 
 
 @query("mcp", "SELECT year, iso3, hs4, CAST(mcp AS INT) AS mcp FROM {pres}")

@@ -12,7 +12,8 @@ from tradelattice.sources import tables
 from tradelattice.sources.indicators import indicator_table
 from tradelattice.plans.cleaning_queries import payloads
 
-YEAR = 1999
+YEAR = 1999  # the last training year
+CLOSE = 0.5  # proximity from which two products are linked
 SETS = {"eu_member": ["N02", "N09"], "cefta_member": ["N01", "N02", "N03"]}
 SPLIT = {"train_end": 1999, "val_year": 2000, "test_years": [2001]}
 
@@ -31,24 +32,33 @@ SHARED.update({
                AS export_value, sum(CASE WHEN flow = 'M' THEN value::DECIMAL(18,2) END)::DOUBLE AS import_value
         FROM {flows} GROUP BY ALL""",
     "edge": f"""
-        SELECT 'country' AS src_type, iso3 AS src, 'EXPORTS' AS rel, 'product' AS dst_type, hs4 AS dst,
-               export_value AS weight, year FROM {{adv}} WHERE export_value > 0
-        UNION ALL SELECT 'country', reporter_iso3, 'IMPORTS', 'product', hs4, sum(value::DECIMAL(18,2))::DOUBLE, year
+        SELECT 'country' AS src_type, iso3 AS src, 'EXPORTS' AS rel, 'product' AS dst_type, hs4 AS dst, export_value AS weight, year,
+               export_value AS value, rca, NULL::DOUBLE AS export_value, NULL::DOUBLE AS import_value, NULL::VARCHAR AS hs_code,
+               NULL::DOUBLE AS distance, NULL::BOOLEAN AS contiguous, NULL::BOOLEAN AS common_lang, NULL::BOOLEAN AS fta
+        FROM {{adv}} WHERE export_value > 0
+        UNION ALL BY NAME SELECT 'country' AS src_type, reporter_iso3 AS src, 'IMPORTS' AS rel, 'product' AS dst_type, hs4 AS dst,
+                  sum(value::DECIMAL(18,2))::DOUBLE AS weight, year, sum(value::DECIMAL(18,2))::DOUBLE AS value
                   FROM {{flows}} WHERE flow = 'M' GROUP BY ALL
-        UNION ALL SELECT 'country', src, 'TRADES_WITH', 'country', dst,
-                         coalesce(export_value, 0.0) + coalesce(import_value, 0.0), year FROM {{trades_with}}
-        UNION ALL SELECT 'country', reporter_iso3, 'SHIPS', 'country', partner_iso3, value, year FROM {{flows}} WHERE flow = 'X'
-        UNION ALL SELECT 'product', hs4_i, 'PROXIMITY', 'product', hs4_j, proximity, year FROM {{phi}}
-        UNION ALL SELECT 'product', hs_code, 'IN_SECTION', 'section', section, NULL, NULL FROM {{product_node}}
-                  WHERE section IS NOT NULL
-        UNION ALL SELECT 'country', iso3_o, 'NEIGHBOR_OF', 'country', iso3_d, dist, year FROM {{gravity}} WHERE year = {YEAR}""",
-    # The link graph of one year: comparative advantage, close products and bordering countries.
+        UNION ALL BY NAME SELECT 'country' AS src_type, src, 'TRADES_WITH' AS rel, 'country' AS dst_type, dst,
+                  coalesce(export_value, 0.0) + coalesce(import_value, 0.0) AS weight, year, export_value, import_value FROM {{trades_with}}
+        UNION ALL BY NAME SELECT 'country' AS src_type, reporter_iso3 AS src, 'SHIPS' AS rel, 'country' AS dst_type, partner_iso3 AS dst,
+                  value AS weight, year, value, hs4 AS hs_code FROM {{flows}} WHERE flow = 'X'
+        UNION ALL BY NAME SELECT 'product' AS src_type, hs4_i AS src, 'PROXIMITY' AS rel, 'product' AS dst_type, hs4_j AS dst,
+                  proximity AS weight, year FROM {{phi}}
+        UNION ALL BY NAME SELECT 'product' AS src_type, hs_code AS src, 'IN_SECTION' AS rel, 'section' AS dst_type, section AS dst
+                  FROM {{product_node}} WHERE section IS NOT NULL
+        UNION ALL BY NAME SELECT 'country' AS src_type, iso3_o AS src, 'NEIGHBOR_OF' AS rel, 'country' AS dst_type, iso3_d AS dst,
+                  dist AS weight, year, dist AS distance, contig = 1 AS contiguous, comlang_off = 1 AS common_lang, fta_wto = 1 AS fta
+                  FROM {{gravity}} WHERE year = {YEAR}""",
+    # The link graph of the training years: comparative advantages, close products and every other relation.
     "link_edge": f"""
-        SELECT 'country:' || iso3 AS a, 'product:' || hs4 AS b, 'EXPORTS' AS rel FROM {{m}} WHERE year = {YEAR}
-        UNION ALL SELECT 'product:' || hs4_i, 'product:' || hs4_j, 'PROXIMITY' FROM {{phi}}
-                  WHERE year = {YEAR} AND proximity >= 0.45
-        UNION ALL SELECT 'country:' || iso3_o, 'country:' || iso3_d, 'NEIGHBOR_OF' FROM {{gravity}}
-                  WHERE year = {YEAR} AND contig = 1""",
+        SELECT DISTINCT 'country:' || iso3 AS a, 'product:' || hs4 AS b, 'EXPORTS' AS rel FROM {{m}} WHERE year <= {YEAR}
+        UNION ALL SELECT DISTINCT 'country:' || reporter_iso3, 'product:' || hs4, 'IMPORTS' FROM {{flows}} WHERE flow = 'M' AND value > 0 AND year <= {YEAR}
+        UNION ALL SELECT DISTINCT 'country:' || reporter_iso3, 'country:' || partner_iso3, 'TRADES_WITH' FROM {{flows}} WHERE year <= {YEAR}
+        UNION ALL SELECT DISTINCT 'country:' || reporter_iso3, 'country:' || partner_iso3, 'SHIPS' FROM {{flows}} WHERE flow = 'X' AND year <= {YEAR}
+        UNION ALL SELECT DISTINCT 'product:' || hs4_i, 'product:' || hs4_j, 'PROXIMITY' FROM {{phi}} WHERE proximity >= {CLOSE} AND year <= {YEAR}
+        UNION ALL SELECT 'product:' || hs_code, 'section:' || section, 'IN_SECTION' FROM {{product_node}} WHERE section IS NOT NULL
+        UNION ALL SELECT DISTINCT 'country:' || iso3_o, 'country:' || iso3_d, 'NEIGHBOR_OF' FROM {{gravity}} WHERE year <= {YEAR}""",
     "adj": "SELECT DISTINCT a AS src, b AS dst FROM (SELECT a, b FROM {link_edge} UNION ALL SELECT b, a FROM {link_edge}) WHERE a <> b",
     "deg": "SELECT src AS node, count(*) AS degree FROM {adj} GROUP BY ALL",
     "cand": f"SELECT 'country:' || iso3 AS node_u, 'product:' || hs4 AS node_v FROM {{pres}} WHERE year = {YEAR} AND mcp = 0",
@@ -66,15 +76,29 @@ SHARED.update({
         FROM {m} WHERE year <= 2001 GROUP BY ALL""",
     "allpairs": "SELECT c.iso3 AS src, p.hs4 AS dst FROM (SELECT DISTINCT iso3 FROM {cells}) c, (SELECT DISTINCT hs4 FROM {cells}) p",
 })
-SHARED["neg"] = """
-    SELECT src, dst, CASE WHEN n <= c.train * c.free // c.total THEN 'train'
-                          WHEN n <= (c.train + c.val) * c.free // c.total THEN 'val' ELSE 'test' END AS split
-    FROM (SELECT src, dst, row_number() OVER (ORDER BY md5(src || '|' || dst || '|42'), src, dst) AS n FROM {freepairs}),
-         (SELECT count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) AS total,
-                 least(count(*), (SELECT count(*) FROM {freepairs})) AS free FROM {pos}) c
-    WHERE n <= c.free"""
-SHARED["freepairs"] = """
-    SELECT src, dst FROM {allpairs} a WHERE NOT EXISTS (SELECT 1 FROM {pos} p WHERE p.src = a.src AND p.dst = a.dst)"""
+SHARED.update({
+    "dated": """
+        SELECT iso3 AS src, hs4 AS dst, year, CASE WHEN year <= 1999 THEN 'train' WHEN year = 2000 THEN 'val' ELSE 'test' END AS split
+        FROM {m} WHERE year <= 2001""",
+    "num_src": "SELECT iso3 AS src, row_number() OVER (ORDER BY iso3) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT iso3 FROM {cells})",
+    "num_dst": "SELECT hs4 AS dst, row_number() OVER (ORDER BY hs4) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT hs4 FROM {cells})",
+    "num_year": """SELECT split, year, row_number() OVER (PARTITION BY split ORDER BY year) - 1 AS i, count(*) OVER (PARTITION BY split) AS n
+                   FROM (SELECT DISTINCT split, year FROM {dated})""",
+    # Many more draws than links are wanted; the first that are left are taken.
+    "draws": f"""
+        SELECT split, need, n, {', '.join(f"('0x' || substr(md5(split || '|{c}|' || n || '|42'), 1, 8))::BIGINT AS {c}_h" for c in ('src', 'dst', 'year'))}
+        FROM (SELECT split, need, unnest(range(40 * need)) AS n FROM (SELECT split, count(*) AS need FROM {{dated}} GROUP BY split))""",
+    "drawn": """
+        SELECT d.split, any_value(d.need) AS need, s.src, t.dst, y.year, min(d.n) AS n
+        FROM {draws} d JOIN {num_src} s ON d.src_h % s.n = s.i JOIN {num_dst} t ON d.dst_h % t.n = t.i
+             JOIN {num_year} y ON y.split = d.split AND d.year_h % y.n = y.i
+        GROUP BY d.split, s.src, t.dst, y.year""",
+    "neg": """
+        SELECT src, dst, year, split FROM (
+            SELECT *, row_number() OVER (PARTITION BY split ORDER BY n) AS place FROM {drawn} d
+            WHERE NOT EXISTS (SELECT 1 FROM {dated} p WHERE p.src = d.src AND p.dst = d.dst AND p.year = d.year))
+        WHERE place <= need""",
+})
 
 
 def complexity_table(t):
@@ -102,18 +126,17 @@ def product_node_table(t):
 
 
 def link_edges(t):
-    """Typed edges of the link graph of one year."""
-    m = presence_table(t).where(F.col("year") == YEAR)
-    phi = G.proximity_edges(proximity_table(t).where(F.col("year") == YEAR), 0.45)
-    near = G.neighbour_edges(t.gravity, YEAR).where("contiguous")
-    typed = lambda df, rel, a, b: df.select(
-        F.lit(a).alias("src_type"), "src", F.lit(rel).alias("rel"), F.lit(b).alias("dst_type"), "dst"
-    )
-    return (
-        typed(m.select(F.col("iso3").alias("src"), F.col("hs4").alias("dst")), "EXPORTS", "country", "product")
-        .unionByName(typed(phi, "PROXIMITY", "product", "product"))
-        .unionByName(typed(near, "NEIGHBOR_OF", "country", "country"))
-    )
+    """Typed edges of the link graph of the training years, each once."""
+    def build():
+        m = presence_table(t).where(F.col("year") <= YEAR)
+        flows, phi = t.flows.where(F.col("year") <= YEAR), proximity_table(t).where(F.col("year") <= YEAR)
+        every = G.typed_edges(
+            m.withColumns({"export_value": F.lit(1.0), "rca": F.lit(1.0)}), flows, t.gravity.where(F.col("year") <= YEAR),
+            phi.where(F.col("proximity") >= CLOSE), product_node_table(t),
+        )
+        return every.select("src_type", "src", "rel", "dst_type", "dst").distinct()
+
+    return t.stored("typed-links", build)
 
 
 def link_graph(t):
@@ -132,10 +155,15 @@ def positive_pairs(t):
     return t.stored("positives", lambda: Z.temporal_split(m, **SPLIT))
 
 
-def all_pairs(t):
+def dated_links(t):
+    """The links of every year, by split."""
+    m = presence_table(t).select(F.col("iso3").alias("src"), F.col("hs4").alias("dst"), "year")
+    return t.stored("dated-links", lambda: Z.temporal_split(m, **SPLIT, by_year=True))
+
+
+def sampled_negatives(t):
     cells = C.trade_cells(t.exports)
-    none = positive_pairs(t).where("split IS NULL")
-    return O.missing_links(cells.select("iso3"), cells.select("hs4"), none, "iso3", "hs4")
+    return Z.negatives(dated_links(t), cells.select(F.col("iso3").alias("src")), cells.select(F.col("hs4").alias("dst")), keys=["year"])
 
 
 # --- nodes and edges -----------------------------------------------------------------------------
@@ -223,7 +251,8 @@ def typed_edge_table(t):
     return G.typed_edges(adv(t), t.flows, t.gravity, proximity_table(t), product_node_table(t), gravity_year=YEAR)
 
 
-EDGES = f"SELECT src_type, src, rel, dst_type, dst, {r('weight', 4)} AS weight, year FROM {{edge}}"
+AMOUNTS = ", ".join(f"{r(c, 4)} AS {c}" for c in ("weight", "value", "rca", "export_value", "import_value", "distance"))
+EDGES = f"SELECT src_type, src, rel, dst_type, dst, {AMOUNTS}, year, hs_code, contiguous, common_lang, fta FROM {{edge}}"
 
 
 @query("typed_edges", EDGES)
@@ -243,7 +272,7 @@ def stored_graph(t):
              "section": G.section_nodes(t.sections)}
     tables.save_graph(nodes, typed_edge_table(t), path)
     edges = t.spark.read.parquet(f"{path}/edges")
-    return rounded(edges.select("src_type", "src", "rel", "dst_type", "dst", "weight", "year"), 4)
+    return rounded(edges.select(*G.EDGE, *G.PROPERTIES), 4)
 
 
 @query("stored_complexity", f"SELECT year, iso3, hs4, {r('density')} AS density FROM {{dens}}")
@@ -316,14 +345,33 @@ def missing_links(t):
     return O.missing_links(cells.select("iso3"), cells.select("hs4"), positive_pairs(t), "iso3", "hs4")
 
 
-@query("negative_pairs", "SELECT src, dst, split FROM {neg}")
+@query("dated_links", "SELECT src, dst, year, split FROM {dated}")
+def dated_links_query(t):
+    m = presence_table(t).select(F.col("iso3").alias("src"), F.col("hs4").alias("dst"), "year")
+    return Z.temporal_split(m, **SPLIT, by_year=True)
+
+
+@query("negative_pairs", "SELECT src, dst, year, split FROM {neg}")
 def negative_pairs(t):
-    return Z.negatives(all_pairs(t), positive_pairs(t))
+    return sampled_negatives(t)
+
+
+def _sampled(k: int, seed: int) -> str:
+    return f"""
+    SELECT src, rel, dst FROM (SELECT a AS src, rel, b AS dst, row_number() OVER (PARTITION BY b, rel ORDER BY md5(a || '|' || rel || '|' || b || '|{seed}'), a) AS n
+                               FROM {{link_edge}}) WHERE n <= {k}"""
 
 
-@query("neighbour_sample", """
-    SELECT src, rel, dst FROM (SELECT a AS src, rel, b AS dst, row_number() OVER (PARTITION BY b, rel ORDER BY md5(a || '|' || rel || '|' || b || '|42'), a) AS n
-                               FROM {link_edge}) WHERE n <= 10""")
+def directed_links(t):
+    return link_edges(t).select(G.node_id("src_type", "src").alias("src"), "rel", G.node_id("dst_type", "dst").alias("dst"))
+
+
+@query("neighbour_sample", _sampled(10, 42))
 def neighbour_sample(t):
-    edges = link_edges(t).select(G.node_id("src_type", "src").alias("src"), "rel", G.node_id("dst_type", "dst").alias("dst"))
-    return Z.sample_neighbours(edges, 10)
+    return Z.sample_neighbours(directed_links(t), 10)
+
+
+@query("neighbour_sample_layers", f"SELECT 1 AS layer, * FROM ({_sampled(10, 43)}) UNION ALL SELECT 2, * FROM ({_sampled(15, 42)})")
+def neighbour_sample_layers(t):
+    first, second = (edges.withColumn("layer", F.lit(k + 1)) for k, edges in enumerate(Z.sample_layers(directed_links(t))))
+    return first.unionByName(second)

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tradelattice.functions import constants as K
 from tradelattice.operators import (
-    decoders as D, embeddings as E, evaluation as V, graph as G, gravity as Y, opportunities as O, splits as Z,
+    complexity as C, decoders as D, embeddings as E, evaluation as V, graph as G, gravity as Y, opportunities as O, splits as Z,
 )
 from tradelattice.plans.complexity_queries import FOCUS
 from tradelattice.plans.graph_queries import (
-    YEAR, all_pairs, country_node_table, link_edges, link_graph, positive_pairs, presence_table, product_node_table,
-    proximity_table, complexity_table,
+    YEAR, complexity_table, country_node_table, dated_links, directed_links, link_graph, presence_table, product_node_table,
+    proximity_table, sampled_negatives,
 )
 from tradelattice.plans.registry import SHARED, query, r, r6, rounded
 
 DIM, WIDE = 8, 64  # short vectors; those of the default projection
 COEFFICIENTS = {"intercept": 1.5, "ln_dist": -0.4, "ln_gdp_o": 0.5, "ln_gdp_d": 0.4, "contig": 0.3, "comlang_off": 0.2}
-RELATIONS = ["EXPORTS", "PROXIMITY", "NEIGHBOR_OF"]
+RELATIONS = K.RELATIONS
 METRICS = ["roc_auc", "average_precision", "mrr"]
 
 
@@ -52,6 +54,16 @@ def _projection(dim: int, tail: str = "") -> dict[str, str]:
     return {f"{name}{tail}": sql for name, sql in named.items()}
 
 
+SHARED["short_walk"] = """
+    SELECT start, walk, list(node ORDER BY step) AS path FROM (
+        WITH RECURSIVE near AS (SELECT a.src, row_number() OVER (PARTITION BY a.src ORDER BY a.dst) - 1 AS idx, a.dst FROM {adj} a),
+        w(start, walk, step, node) AS (
+            SELECT node, k, 0, node FROM {deg}, range(2) r(k)
+            UNION ALL
+            SELECT w.start, w.walk, w.step + 1, n.dst FROM w JOIN {deg} d ON d.node = w.node
+                 JOIN near n ON n.src = w.node AND n.idx = ('0x' || substr(md5(w.start || '|' || w.walk || '|' || (w.step + 1) || '|42'), 1, 8))::BIGINT % d.degree
+            WHERE w.step < 19)
+        SELECT * FROM w) GROUP BY start, walk"""
 SHARED.update(_projection(DIM) | _projection(WIDE, "_64") | {
     "g1": _gcn("f0"), "g2": _gcn("g1"),
     "both_edge": "SELECT DISTINCT a AS src, b AS dst, rel FROM (SELECT a, b, rel FROM {link_edge} UNION ALL SELECT b, a, rel FROM {link_edge})",
@@ -107,7 +119,7 @@ def _hops(tables: list[str]) -> str:
 
 
 def both_ways(t):
-    one = link_edges(t).select(G.node_id("src_type", "src").alias("src"), "rel", G.node_id("dst_type", "dst").alias("dst"))
+    one = directed_links(t)
     mirrored = one.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"))
     return t.stored("link-edges", lambda: one.unionByName(mirrored).distinct())
 
@@ -140,24 +152,70 @@ def gcn_propagation(t):
     return _long(E.propagate_hops(link_graph(t), signs(t), DIM, 2, "gcn"))
 
 
-@query("relation_propagation", LONG + f"""(
-    SELECT node, i AS dim, v AS value FROM {{f0}}
-    UNION ALL SELECT f.node, {DIM} * k.k + f.i, coalesce(p.v, 0.0) FROM {{f0}} f
-              CROSS JOIN (VALUES ('EXPORTS', 1), ('PROXIMITY', 2), ('NEIGHBOR_OF', 3)) k(rel, k)
-              LEFT JOIN (SELECT e.dst AS node, e.rel, x.i, avg(x.v) AS v FROM {{both_edge}} e JOIN {{f0}} x ON e.src = x.node GROUP BY ALL) p
-                        ON p.node = f.node AND p.i = f.i AND p.rel = k.rel)""")
+def _relation_blocks(of: str) -> str:
+    """Own numbers and those of the mean by relation, one row per node and number."""
+    places = ", ".join(f"('{rel}', {k + 1})" for k, rel in enumerate(RELATIONS))
+    return f"""
+        SELECT node, i, v FROM {{{of}}}
+        UNION ALL SELECT f.node, {DIM} * k.k + f.i, coalesce(p.v, 0.0) FROM {{{of}}} f
+              CROSS JOIN (VALUES {places}) k(rel, k)
+              LEFT JOIN (SELECT e.dst AS node, e.rel, x.i, avg(x.v) AS v FROM {{both_edge}} e JOIN {{{of}}} x ON e.src = x.node GROUP BY ALL) p
+                        ON p.node = f.node AND p.i = f.i AND p.rel = k.rel"""
+
+
+SHARED.update({
+    "rel1": _relation_blocks("f0"),
+    "relsign": f"""
+        SELECT i, j, CASE h % 6 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS s
+        FROM (SELECT a.i, b.j, ('0x' || substr(md5('1|' || a.i || '|' || b.j || '|42'), 1, 8))::BIGINT AS h
+              FROM range({DIM * (len(RELATIONS) + 1)}) a(i), range({DIM}) b(j))""",
+    "relmid": f"SELECT r.node, s.j AS i, greatest(sum(r.v * s.s) * sqrt(3.0 / {DIM}), 0.0) AS v FROM {{rel1}} r JOIN {{relsign}} s ON s.i = r.i GROUP BY r.node, s.j",
+    "rel2": _relation_blocks("relmid"),
+})
+
+
+@query("relation_propagation", LONG + "(SELECT node, i AS dim, v AS value FROM {rel2})")
 def relation_propagation(t):
     return _long(E.propagate_relations(both_ways(t), signs(t), DIM, RELATIONS))
 
 
-@query("random_walks")
+@query("relation_propagation_one_layer", LONG + "(SELECT node, i AS dim, v AS value FROM {rel1})")
+def relation_propagation_one_layer(t):
+    return _long(E.propagate_relations(both_ways(t), signs(t), DIM, RELATIONS, layers=1))
+
+
+def _as_text(walks):
+    return walks.select("start", "walk", F.array_join("path", ">").alias("path"))
+
+
+@query("random_walks", f"""
+    SELECT start, walk::INT AS walk, string_agg(node, '>' ORDER BY step) AS path FROM (
+        WITH RECURSIVE near AS (SELECT a.src, row_number() OVER (PARTITION BY a.src ORDER BY a.dst) - 1 AS idx, a.dst FROM {{adj}} a),
+        w(start, walk, step, node) AS (
+            SELECT node, k, 0, node FROM {{deg}}, range({K.WALKS_PER_NODE}) r(k)
+            UNION ALL
+            SELECT w.start, w.walk, w.step + 1, n.dst FROM w JOIN {{deg}} d ON d.node = w.node
+                 JOIN near n ON n.src = w.node AND n.idx = ('0x' || substr(md5(w.start || '|' || w.walk || '|' || (w.step + 1) || '|42'), 1, 8))::BIGINT % d.degree
+            WHERE w.step < {K.WALK_LENGTH - 1})
+        SELECT * FROM w) GROUP BY start, walk""")
 def random_walks(t):
-    return E.random_walks(link_graph(t))
+    return _as_text(E.random_walks(link_graph(t)))
 
 
 @query("random_walks_second_order")
 def random_walks_second_order(t):
-    return E.random_walks(link_graph(t), length=5, per_node=4, p=0.5, q=2.0)
+    return _as_text(E.random_walks(link_graph(t), p=0.5, q=2.0))
+
+
+@query("walk_windows", f"""
+    SELECT center, context, count(*)::BIGINT AS n FROM (
+        SELECT w.start, w.walk, w.pos, w.node AS center, x.node AS context
+        FROM (SELECT start, walk, unnest(path) AS node, unnest(range(20)) AS pos FROM {{short_walk}}) w
+             JOIN (SELECT start, walk, unnest(path) AS node, unnest(range(20)) AS pos FROM {{short_walk}}) x
+             ON w.start = x.start AND w.walk = x.walk AND abs(w.pos - x.pos) BETWEEN 1 AND 5)
+    GROUP BY ALL""")
+def walk_windows(t):
+    return E.window_counts(E.random_walks(link_graph(t), length=20, per_node=2))
 
 
 @query("neighbour_index", """SELECT a.src, row_number() OVER (PARTITION BY a.src ORDER BY a.dst) - 1 AS idx, a.dst, d.degree::BIGINT AS dst_degree
@@ -199,60 +257,67 @@ def distmult_decoder(t):
 
 
 def labelled_links(t):
-    """Labelled country-product pairs in the node ids of the link graph."""
-    pairs = t.stored("labelled", lambda: Z.labelled(positive_pairs(t), Z.negatives(all_pairs(t), positive_pairs(t))))
+    """Labelled country-product links by year, in the node ids of the link graph."""
+    pairs = t.stored("labelled", lambda: Z.labelled(dated_links(t), sampled_negatives(t)))
     return pairs.select(
-        G.node_id(F.lit("country"), "src").alias("src"), G.node_id(F.lit("product"), "dst").alias("dst"), "split", "label"
+        G.node_id(F.lit("country"), "src").alias("src"), G.node_id(F.lit("product"), "dst").alias("dst"), "year", "split", "label"
     )
 
 
+def short_vectors(t):
+    return t.stored("fastrp", lambda: E.fastrp(link_graph(t), DIM))
+
+
+def _fitted_scores(t, name):
+    pairs, vectors = labelled_links(t), short_vectors(t)
+    fitted = D.fit_decoder(name, pairs.where("split = 'train'"), vectors, DIM)
+    return fitted.score(pairs.where("split = 'test'").select("src", "dst", "label"), vectors)
+
+
 @query("distmult_fit")
 def distmult_fit(t):
-    pairs, vectors = labelled_links(t), t.stored("fastrp", lambda: E.fastrp(link_graph(t), DIM))
-    fitted = D.fit_decoder("distmult", pairs.where("split = 'train'"), vectors, DIM)
-    return fitted.score(pairs.where("split = 'test'").select("src", "dst", "label"), vectors)
+    return _fitted_scores(t, "distmult")
 
 
 @query("mlp_fit")
 def mlp_fit(t):
-    pairs, vectors = labelled_links(t), t.stored("fastrp", lambda: E.fastrp(link_graph(t), DIM))
-    fitted = D.fit_decoder("mlp", pairs.where("split = 'train'"), vectors, DIM)
-    return fitted.score(pairs.where("split = 'test'").select("src", "dst", "label"), vectors)
+    return _fitted_scores(t, "mlp")
 
 
 @query("embedding_baseline")
 def embedding_baseline(t):
-    pairs, vectors = labelled_links(t), t.stored("fastrp", lambda: E.fastrp(link_graph(t), DIM))
-    fitted = D.fit_decoder("embedding", pairs.where("split = 'train'"), vectors, DIM)
-    return fitted.score(pairs.where("split = 'test'").select("src", "dst", "label"), vectors)
+    return _fitted_scores(t, "embedding")
 
 
 @query("link_predictor")
 def link_predictor(t):
-    candidates = labelled_links(t).where("label = 0").select("src", "dst")
-    return D.link_scores(both_ways(t), signs(t), labelled_links(t), candidates, "sage", "distmult", DIM)
+    """Scores of every open cell of the last training year."""
+    opened = O.open_products(complexity_table(t)).where(F.col("year") == YEAR)
+    candidates = opened.select(G.node_id(F.lit("country"), "iso3").alias("src"), G.node_id(F.lit("product"), "hs4").alias("dst"))
+    return D.link_scores(both_ways(t), encoder_features(t), labelled_links(t), candidates, "sage", "distmult", 2 * DIM, samples=K.NEIGHBOUR_SAMPLES)
+
+
+ENCODERS = ["sage", "gcn", "rgcn", "fastrp", "node2vec"]
 
 
 @query("model_selection")
 def model_selection(t):
-    _, _, _, table = D.select_model(
-        both_ways(t), signs(t), labelled_links(t), DIM, ["sage", "gcn", "rgcn", "fastrp"], ["dot_product", "distmult"],
-        relations=RELATIONS,
-    )
-    return table
+    return D.select_model(both_ways(t), encoder_features(t), labelled_links(t), 2 * DIM, ENCODERS, samples=K.NEIGHBOUR_SAMPLES)[-1]
 
 
 SHARED.update({
     "feature_input": f"""
         SELECT 'country' AS kind, 'country:' || c.iso3 AS node, coalesce(c.region::VARCHAR, '') AS label,
-               [ln(1 + w.gdp), ln(1 + w.gdp_pc), ln(1 + w.population), k.eci] AS numbers,
+               [ln(1 + w.gdp), ln(1 + w.gdp_pc), ln(1 + w.population), k.eci, h.k::DOUBLE] AS numbers,
                [0.0::DOUBLE, (c.iso3 IN ('N02', 'N09'))::INT::DOUBLE, (c.iso3 IN ('N01', 'N02', 'N03'))::INT::DOUBLE] AS flags
         FROM {{countries}} c LEFT JOIN (SELECT * FROM {{indicator_wide}} WHERE year = {YEAR}) w USING (iso3)
              LEFT JOIN (SELECT year, iso3, eci FROM {{ecic}} WHERE year = {YEAR}) k USING (iso3)
+             LEFT JOIN (SELECT * FROM {{kc}} WHERE year = {YEAR}) h USING (iso3)
         UNION ALL
-        SELECT 'product', 'product:' || p.hs4, coalesce(s.code::VARCHAR, ''), [q.pci], []::DOUBLE[]
+        SELECT 'product', 'product:' || p.hs4, coalesce(s.code::VARCHAR, ''), [q.pci, u.k::DOUBLE], []::DOUBLE[]
         FROM {{products}} p LEFT JOIN {{sections}} s ON substr(p.hs4, 1, 2)::INT BETWEEN s.hs2_from AND s.hs2_to
-             LEFT JOIN (SELECT * FROM {{pcie}} WHERE year = {YEAR}) q USING (hs4)""",
+             LEFT JOIN (SELECT * FROM {{pcie}} WHERE year = {YEAR}) q USING (hs4)
+             LEFT JOIN (SELECT * FROM {{kp}} WHERE year = {YEAR}) u USING (hs4)""",
     "feature_mean": """
         SELECT *, avg(x) OVER (PARTITION BY kind, dim) AS mean
         FROM (SELECT kind, node, unnest(range(len(numbers))) AS dim, unnest(numbers) AS x FROM {feature_input})""",
@@ -273,21 +338,35 @@ SHARED.update({
     UNION ALL SELECT f.node, len(f.numbers) + l.n + 1 + unnest(range(len(f.flags))), unnest(f.flags)
               FROM {{feature_input}} f JOIN {{feature_label}} l ON l.kind = f.kind AND l.label = f.label)""")
 def node_features(t):
-    countries, products = country_node_table(t), product_node_table(t)
+    return _long(reduce(DataFrame.unionByName, [df for df, _ in feature_tables(t)]), 6)
+
+
+def feature_tables(t):
+    """(features, width) of countries and products in the last training year."""
+    m = presence_table(t).where(F.col("year") == YEAR)
+    countries = country_node_table(t).join(C.diversity(m).drop("year"), "iso3", "left")
+    products = product_node_table(t).join(C.ubiquity(m).select(F.col("hs4").alias("hs_code"), "ubiquity"), "hs_code", "left")
     of_country = G.fit_features(
-        countries, sizes=["gdp", "gdp_pc", "population"], numbers=["eci"], categories=["region"],
+        countries, sizes=["gdp", "gdp_pc", "population"], numbers=["eci", "diversity"], categories=["region"],
         flags=["landlocked", "eu_member", "cefta_member"],
     )
-    of_product = G.fit_features(products, numbers=["pci"], categories=["section"])
-    return _long(
-        G.assemble_features(countries, of_country, "iso3", "country")
-        .unionByName(G.assemble_features(products, of_product, "hs_code", "product")), 6,
-    )
+    of_product = G.fit_features(products, numbers=["pci", "ubiquity"], categories=["section"])
+    return [(G.assemble_features(countries, of_country, "iso3", "country"), of_country.width),
+            (G.assemble_features(products, of_product, "hs_code", "product"), of_product.width)]
+
+
+def encoder_features(t, dim=2 * DIM):
+    """Node features of all nodes of the link graph, brought to ``dim`` numbers."""
+    def build():
+        rows, width = G.join_features(feature_tables(t), link_graph(t).select(F.col("src").alias("node")))
+        return E.project(rows, width, dim)
+
+    return t.stored(f"encoder-features-{dim}", build)
 
 
 @query("features_with_embeddings", LONG + f"(SELECT node, i AS dim, v AS value FROM {{f0}} UNION ALL SELECT node, {DIM} + i, v FROM {{frp}})")
 def features_with_embeddings(t):
-    vectors = t.stored("fastrp", lambda: E.fastrp(link_graph(t), DIM))
+    vectors = short_vectors(t)
     return _long(G.append_embeddings(signs(t), vectors, DIM))
 
 
@@ -302,13 +381,41 @@ def flow_covariates(t):
     )
 
 
+TRAINING = range(1995, YEAR + 1)
+COVARIATES = {**{f"ln_{c}": f"ln({c})" for c in Y.LOGGED}, **{c: c for c in Y.PLAIN}}
+
+
+def fitted_gravity(t):
+    flows, gravity = t.stored("flows", lambda: t.flows), t.stored("gravity", lambda: t.gravity)
+    return Y.fit_gravity(flows, gravity, TRAINING), flows, gravity
+
+
 @query("gravity_fit")
 def gravity_fit(t):
-    flows, gravity = t.stored("flows", lambda: t.flows), t.stored("gravity", lambda: t.gravity)
-    fitted = Y.fit_gravity(flows, gravity, [1997, 1998, YEAR])
+    fitted, flows, gravity = fitted_gravity(t)
     return rounded(Y.predict_gravity(fitted, flows, gravity, [YEAR + 1], YEAR))
 
 
+SHARED["gravity_rows"] = f"""
+    SELECT g.*, coalesce(f.v, 0.0) AS y FROM {{gravity}} g
+    LEFT JOIN (SELECT year, reporter_iso3 AS iso3_o, partner_iso3 AS iso3_d, sum(value) AS v FROM {{flows}} WHERE flow = 'X' GROUP BY ALL) f
+              USING (year, iso3_o, iso3_d)
+    WHERE year <= {YEAR} AND iso3_o <> iso3_d AND {' AND '.join(f'{c} > 0' for c in Y.LOGGED)}"""
+
+
+@query("gravity_score_equations", f"""
+    {' UNION ALL '.join(f"SELECT '{n}' AS covariate, {r6(f'sum(y * {x}) / sum(y)')} AS weighted_mean FROM {{gravity_rows}}" for n, x in COVARIATES.items())}
+    UNION ALL SELECT 'total', {r('sum(y)', 2)} FROM {{gravity_rows}}""")
+def gravity_score_equations(t):
+    """What the fit must reproduce: the total of the flows, and the mean of each covariate weighted by them."""
+    fitted, _, gravity = fitted_gravity(t)
+    rows = Y.design(gravity, TRAINING).join(Y.predict_pairs(fitted, gravity, TRAINING), ["iso3_o", "iso3_d", "year"])
+    mean = lambda n: F.round(F.sum(F.col("predicted_value") * F.col(n)) / F.sum("predicted_value"), 6)
+    cells = [F.struct(F.lit(n).alias("covariate"), mean(n).alias("weighted_mean")) for n in COVARIATES]
+    cells.append(F.struct(F.lit("total").alias("covariate"), F.round(F.sum("predicted_value"), 2).alias("weighted_mean")))
+    return rows.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
 @query("gravity_pairs", f"SELECT iso3_o, iso3_d, year, {r('predicted_value', 2)} AS predicted_value FROM {{mu}}")
 def gravity_pairs(t):
     return rounded(Y.predict_pairs(COEFFICIENTS, t.gravity, [YEAR + 1]))
@@ -465,8 +572,47 @@ def product_opportunities(t):
     ORDER BY rank LIMIT 50""")
 def market_opportunities(t):
     flows, gravity = t.stored("flows", lambda: t.flows), t.stored("gravity", lambda: t.gravity)
-    predicted = Y.predict_gravity(COEFFICIENTS, flows, gravity, [YEAR + 1], YEAR).withColumn("year", F.lit(YEAR))
-    return rounded(O.rank_markets(complexity_table(t), flows, t.countries, t.products, FOCUS, YEAR, gravity=predicted))
+    predicted = Y.predict_gravity(COEFFICIENTS, flows, gravity, [YEAR + 1], YEAR)
+    return rounded(O.rank_markets(complexity_table(t), flows, t.countries, t.products, FOCUS, YEAR, gravity=predicted, gravity_year=YEAR + 1))
+
+
+SHARED["affinity"] = f"""
+    SELECT a.node AS a, b.node AS b, {r6('sum(a.v * b.v)')} AS score FROM {{frp}} a JOIN {{frp}} b ON a.i = b.i
+    WHERE a.node LIKE 'country:%' AND b.node LIKE 'product:%' GROUP BY ALL"""
+
+
+def affinity(t, links):
+    """Links (src, dst) scored by the decoder without weights on the projected link graph, rounded for comparison."""
+    return D.dot_scores(links, short_vectors(t)).withColumn("score", F.round("score", 6))
+
+
+@query("product_opportunities_by_model", f"""
+    SELECT o.hs4, p.product_name, a.score, row_number() OVER (ORDER BY a.score DESC NULLS LAST, o.hs4)::INT AS rank,
+           {r('o.density')} AS density, {r6('o.pci')} AS pci
+    FROM {{outlook}} o LEFT JOIN {{products}} p USING (hs4) LEFT JOIN {{affinity}} a ON a.a = 'country:{FOCUS}' AND a.b = 'product:' || o.hs4
+    WHERE o.iso3 = '{FOCUS}' AND o.year = {YEAR} AND o.mcp = 0
+    ORDER BY rank LIMIT 50""")
+def product_opportunities_by_model(t):
+    table = complexity_table(t)
+    opened = O.open_products(table).where((F.col("iso3") == FOCUS) & (F.col("year") == YEAR))
+    links = opened.select("hs4", G.node_id(F.lit("country"), "iso3").alias("src"), G.node_id(F.lit("product"), "hs4").alias("dst"))
+    return rounded(O.rank_products(table, t.products, FOCUS, YEAR, scores=affinity(t, links)))
+
+
+@query("market_opportunities_by_model", f"""
+    SELECT c.hs4, p.product_name, c.partner_iso3, n.country_name AS partner_name, coalesce(a.score, 0.0) AS score,
+           row_number() OVER (ORDER BY coalesce(a.score, 0.0) DESC, c.hs4, c.partner_iso3)::INT AS rank, NULL::DOUBLE AS gravity_pred
+    FROM (SELECT m.hs4, k.iso3 AS partner_iso3 FROM {{m}} m, {{countries}} k
+          WHERE m.iso3 = '{FOCUS}' AND m.year = {YEAR} AND k.iso3 <> '{FOCUS}'
+            AND (m.hs4, k.iso3) NOT IN (SELECT hs4, partner_iso3 FROM {{flows}} WHERE flow = 'X' AND year = {YEAR} AND reporter_iso3 = '{FOCUS}')) c
+         LEFT JOIN {{affinity}} a ON a.a = 'country:' || c.partner_iso3 AND a.b = 'product:' || c.hs4
+         LEFT JOIN {{products}} p USING (hs4) LEFT JOIN {{countries}} n ON n.iso3 = c.partner_iso3
+    ORDER BY rank LIMIT 50""")
+def market_opportunities_by_model(t):
+    flows = t.stored("flows", lambda: t.flows)
+    wanted = O.market_candidates(complexity_table(t), flows, t.countries, FOCUS, YEAR)
+    links = wanted.select("hs4", "partner_iso3", G.node_id(F.lit("country"), "partner_iso3").alias("src"), G.node_id(F.lit("product"), "hs4").alias("dst"))
+    return rounded(O.rank_markets(complexity_table(t), flows, t.countries, t.products, FOCUS, YEAR, scores=affinity(t, links)))
 
 
 @query("density_explanation", f"""

@@ -69,6 +69,8 @@ VIEWS = {
                CAST(100 * abs(f.ko - f.kd) AS DOUBLE) AS dist,
                CAST(CASE WHEN abs(f.ko - f.kd) = 1 THEN 1 ELSE 0 END AS DOUBLE) AS contig,
                CAST(CASE WHEN a.region = b.region THEN 1 ELSE 0 END AS DOUBLE) AS comlang_off,
+               CAST(CASE WHEN f.ko + f.kd IN (7, 16, 31) THEN 1 ELSE 0 END AS DOUBLE) AS comcol,
+               CAST(CASE WHEN f.ko * f.kd IN (6, 12, 48, 90) THEN 1 ELSE 0 END AS DOUBLE) AS colony,
                CAST(CASE WHEN a.region + b.region = 4 THEN 1 ELSE 0 END AS DOUBLE) AS fta_wto,
                e.gdp AS gdp_o, g.gdp AS gdp_d, e.population AS pop_o, g.population AS pop_d
         FROM (SELECT DISTINCT year, reporter_iso3, partner_iso3, CAST(substr(reporter_iso3, 2) AS INT) AS ko,

@@ -54,12 +54,9 @@ def clean(spark: SparkSession, raw: Inputs, out: str, settings: Settings = Setti
     done = ["country_codes", "exports"]
     if raw.slices:
         totals = slices.read_slices(spark, raw.slices, "totals")
-        if totals is not None:
-            exports = P.supplement(exports, P.clean_totals(totals, codes), ["year", "iso3", "hs4"])
-        bilateral = slices.read_slices(spark, raw.slices, "bilateral")
-        if bilateral is not None:
-            tables.save(P.clean_flows(bilateral, codes), f"{out}/flows")
-            done.append("flows")
+        exports = P.supplement(exports, P.clean_totals(totals, codes), ["year", "iso3", "hs4"])
+        tables.save(P.clean_flows(slices.read_slices(spark, raw.slices, "bilateral"), codes), f"{out}/flows")
+        done.append("flows")
     tables.save(exports, f"{out}/exports")
     if raw.gravity_csv:
         tables.save(tables.read_gravity(spark, raw.gravity_csv, settings.gravity_years), f"{out}/gravity")
@@ -102,13 +99,13 @@ def graph(
 
 
 def split_links(spark: SparkSession, folder: str, settings: Settings = Settings()) -> DataFrame:
-    """Labelled country-product pairs by split, in node ids."""
+    """Labelled country-product links of every year by split, in node ids, with as many negatives as positives."""
     full = spark.read.parquet(f"{folder}/complexity")
     ids = {"src": G.node_id(F.lit("country"), "iso3"), "dst": G.node_id(F.lit("product"), "hs4")}
     links = C.presence(full).select(*[c.alias(n) for n, c in ids.items()], "year")
-    positives = stage(Z.temporal_split(links, settings.train_end, settings.val_year, settings.test_years), "positives")
-    every = full.select(*[c.alias(n) for n, c in ids.items()]).distinct()
-    return stage(Z.labelled(positives, Z.negatives(every, positives)), "labelled")
+    positives = stage(Z.temporal_split(links, settings.train_end, settings.val_year, settings.test_years, by_year=True), "positives")
+    nodes = [full.select(c.alias(n)) for n, c in ids.items()]
+    return stage(Z.labelled(positives, Z.negatives(positives, *nodes, keys=["year"])), "labelled")
 
 
 def message_edges(spark: SparkSession, folder: str, labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -121,17 +118,33 @@ def message_edges(spark: SparkSession, folder: str, labelled: DataFrame, setting
     )
     full = spark.read.parquet(f"{folder}/complexity").where(F.col("year") <= settings.train_end)
     exported = C.presence(full).select(
-        G.node_id(F.lit("country"), "iso3").alias("src"), F.lit("EXPORTS").alias("rel"), G.node_id(F.lit("product"), "hs4").alias("dst")
+        G.node_id(F.lit("country"), "iso3").alias("src"), F.lit("EXPORTS").alias("rel"), G.node_id(F.lit("product"), "hs4").alias("dst"), "year"
     )
+    exported = Z.propagation_edges(exported, labelled.where("label = 1")).drop("year")
     # Volumes stay in the stored graph; links that carry messages are comparative advantages and the other relations.
     rest = edges.where(~F.col("rel").isin("EXPORTS", "IMPORTS", "SHIPS", "PROXIMITY")).select(
         G.node_id("src_type", "src").alias("src"), "rel", G.node_id("dst_type", "dst").alias("dst")
     )
-    held = labelled.where("label = 1")
-    one = Z.propagation_edges(exported.unionByName(rest).unionByName(near).distinct(), held)
+    one = exported.unionByName(rest).unionByName(near).distinct()
     return stage(one.unionByName(one.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"))).distinct(), "messages")
 
 
+def encoder_features(spark: SparkSession, folder: str, edges: DataFrame, settings: Settings) -> DataFrame:
+    """Features of the stored nodes with diversity and ubiquity of the training end, brought to the encoders' width."""
+    read = lambda name: spark.read.parquet(f"{folder}/{name}")
+    at_end = lambda name: read(name).where(F.col("year") == settings.train_end).drop("year")
+    countries = read("graph/nodes/country").drop("eci").join(at_end("country_complexity"), "iso3", "left")
+    products = read("graph/nodes/product").drop("pci").join(at_end("product_complexity").withColumnRenamed("hs4", "hs_code"), "hs_code", "left")
+    of_country = G.fit_features(
+        countries, ["gdp", "gdp_pc", "population"], ["eci", "diversity"], ["region"], ["landlocked", *settings.sets])
+    of_product = G.fit_features(products, numbers=["pci", "ubiquity"], categories=["section"])
+    rows, width = G.join_features(
+        [(G.assemble_features(countries, of_country, "iso3", "country"), of_country.width),
+         (G.assemble_features(products, of_product, "hs_code", "product"), of_product.width)],
+        edges.select(F.col("src").alias("node")))
+    return stage(E.project(rows, width, settings.dim), "features")
+
+
 def models(
     spark: SparkSession, folder: str, encoders: Sequence[str] = ("sage", "gcn", "rgcn", "fastrp"),
     decoders: Sequence[str] = ("dot_product", "distmult"), settings: Settings = Settings(),
@@ -139,8 +152,11 @@ def models(
     """Test metrics of the selected model and of the baselines on the same pairs: (model, metric, k, value)."""
     labelled = split_links(spark, folder, settings)
     edges = message_edges(spark, folder, labelled, settings)
-    features = stage(E.sparse_signs(edges.select(F.col("src").alias("node")).distinct(), settings.dim), "features")
-    best, decoder, vectors, _ = D.select_model(edges, features, labelled, settings.dim, encoders, decoders)
+    features = encoder_features(spark, folder, edges, settings)
+    best, decoder, vectors, _ = D.select_model(edges, features, labelled, settings.dim, encoders, decoders, samples=K.NEIGHBOUR_SAMPLES)
+    opened = O.open_products(spark.read.parquet(f"{folder}/complexity")).select(
+        "year", G.node_id(F.lit("country"), "iso3").alias("src"), G.node_id(F.lit("product"), "hs4").alias("dst"))
+    tables.save(decoder.score(opened, vectors), f"{folder}/link_scores")
     test = labelled.where("split = 'test'").select("src", "dst", "label")
     adj = stage(edges.select("src", "dst").distinct(), "adjacency")
     near = N.neighbour_scores(adj, test.select(F.col("src").alias("node_u"), F.col("dst").alias("node_v")))
@@ -165,7 +181,11 @@ def opportunities(
     """Ranked new products and new markets of the focus country."""
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
     full, flows, gravity = read("complexity"), read("flows"), read("gravity")
-    tables.save(O.rank_products(full, products, settings.country, year, k=settings.top_k), f"{folder}/product_opportunities")
+    scores = None
+    if tables.is_complete(spark, f"{folder}/link_scores"):  # of the selected model, once there is one; else by density
+        own = read("link_scores").where((F.col("year") == year) & (F.col("src") == G.node_id(F.lit("country"), F.lit(settings.country))))
+        scores = own.select(F.split_part("dst", F.lit(":"), F.lit(2)).alias("hs4"), "score")
+    tables.save(O.rank_products(full, products, settings.country, year, scores, settings.top_k), f"{folder}/product_opportunities")
     fitted = Y.fit_gravity(flows, gravity, [y for y in range(settings.export_years[0], settings.train_end + 1)])
     expected = Y.predict_gravity(fitted, flows, gravity, [year], settings.train_end)
     markets = O.rank_markets(full, flows, countries, products, settings.country, year, gravity=expected, k=settings.top_k)

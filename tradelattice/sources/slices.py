@@ -6,8 +6,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# File-name patterns of the two slice families, and of a slice name.
-PATTERNS = {"totals": "*_X_*_p0.parquet", "bilateral": "*_pall.parquet"}
+# Partner part in the file names of the two slice families, their columns, and the pattern of a slice name.
+PARTNERS = {"totals": "0", "bilateral": "all"}
+EMPTY = {
+    "totals": "period int, reporterCode int, cmdCode string, fobvalue double",
+    "bilateral": "period int, reporterCode int, partnerCode int, cmdCode string, flowCode string, primaryValue double, fobvalue double, cifvalue double",
+}
 NAME = r"([A-Za-z0-9]+)_([A-Z]+)_([0-9]{4})_hs([0-9]+)_p([A-Za-z0-9]+)\.parquet"
 
 
@@ -29,13 +33,30 @@ def write_slices(df: DataFrame, folder: str, reporter: str, flow: str, year: str
     )
 
 
-def read_slices(spark: SparkSession, folder: str, family: str) -> DataFrame | None:
-    """All slices of a family as one table, columns merged by name; None when there is none."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{PATTERNS[family]}")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    if not found:
-        return None
-    return spark.read.option("mergeSchema", True).parquet(f"{folder}/{PATTERNS[family]}")
+def slice_paths(
+    folder: str, family: str, reporters: Iterable[str | int] | None = None, flows: Iterable[str] | None = None,
+    years: Iterable[int] | None = None,
+) -> str:
+    """One path pattern of the slices asked for; only their names are listed, and only their files opened."""
+    any_of = lambda values: "*" if values is None else "{" + ",".join(sorted({str(v) for v in values})) + "}"
+    chosen = ["X"] if family == "totals" and flows is None else flows
+    front = "" if reporters is None else "{,slice=}"  # written by this module, or under the plain name
+    return f"{folder}/{front}{any_of(reporters)}_{any_of(chosen)}_{any_of(years)}_hs*_p{PARTNERS[family]}.parquet"
+
+
+def read_slices(
+    spark: SparkSession, folder: str, family: str, reporters: Iterable[str | int] | None = None, flows: Iterable[str] | None = None,
+    years: Iterable[int] | None = None,
+) -> DataFrame:
+    """The slices of a family as one table, columns merged by name; an empty table where there is none.
+
+    ``reporters``, ``flows`` and ``years`` choose slices by name, before any file is opened.
+    """
+    wanted = slice_paths(folder, family, *(None if x is None else list(x) for x in (reporters, flows, years)))
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(wanted)
+    if not pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern):
+        return spark.createDataFrame([], EMPTY[family])
+    return spark.read.option("mergeSchema", True).parquet(wanted)
 
 
 def with_slice_keys(df: DataFrame) -> DataFrame:
