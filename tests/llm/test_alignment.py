@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -89,23 +90,28 @@ def test_alignment_by_hand(spark, tmp_path):
     assert rows_of(spark, texts, tmp_path) == by_hand(texts)
 
 
-def test_small_blocks_give_the_same(spark, tmp_path, monkeypatch):
+def pair_counts(rows):
+    return Counter({int(p): int(n) for r in rows if r["kind"] == alignment.PAIRS for p, n in zip(r["ids"], r["counts"])})
+
+
+def test_small_blocks_give_the_same(monkeypatch):
+    """Blocks of one text each, that carry segments on or don't, count what one block counts; rows stay small."""
     own = alignment.Aligner(open(PATHS[0], encoding="utf-8").read(), open(PATHS[1], "rb").read())
-    monkeypatch.setattr(alignment, "PAIRS_IN_ROW", 3)
+    monkeypatch.setattr(alignment, "NUMBERS_IN_ROW", 3)
     texts = [t for t in ODD if t and len(t) < 100]
     many = alignment.Block(own)
     many.add(list(range(len(texts))), texts)
-    alone = [alignment.Block(own) for _ in texts]
-    for block, text in zip(alone, texts):
-        block.add([1], [text])
-    counts = [Counter(), Counter()]
-    for counter, blocks in zip(counts, ([many], alone)):
-        for block in blocks:
-            for row in list(block.rows("x"))[1:]:
-                assert len(row["pairs"]) <= 3
-                for pair, n in zip(row["pairs"], row["counts"]):
-                    counter[int(pair)] += int(n)
-    assert counts[0] == counts[1]
+    rows = list(many.rows())
+    assert all(len(r["ids"]) <= 3 for r in rows if r["kind"] == alignment.PAIRS)
+    for carried in (0, 2, 100):
+        monkeypatch.setattr(alignment, "CARRIED", carried)
+        total, block = Counter(), alignment.Block(own)
+        for text in texts * 2:
+            block.add([1], [text])
+            total.update(pair_counts(block.rows()))
+            block = block.following()
+            assert len(block.known) <= carried and not block.ids
+        assert +total == Counter({p: 2 * n for p, n in pair_counts(rows).items()})
 
 
 def test_spans_refine_characters_and_bytes():
@@ -129,18 +135,24 @@ def test_empty_table_and_missing_ids(spark):
 def test_segments_join_to_the_text():
     own = alignment.Aligner(open(PATHS[0], encoding="utf-8").read(), open(PATHS[1], "rb").read())
     for text in filter(None, ODD):
-        assert "".join(own.segments(text)) == " " + text and all(s.startswith(" ") for s in own.segments(text))
+        assert " ".join(own.segments(text)) == text
+        assert own.segments(text) == [s[1:] for s in alignment.SEGMENT.split(" " + text)]
+
+
+def test_numbers_pack(spark):
+    for values in ([], [0], [1, 2 ** 32 - 1, 70_000, 255, 256]):
+        assert alignment.unpacked(alignment.packed(np.array(values, np.int64))).tolist() == values
 
 
 @pytest.mark.parametrize("limit", [1, 40])
-def test_blocks_end_and_are_put_together(spark, tmp_path, monkeypatch, limit):
-    """Blocks of few words, made in this process, hold all texts once."""
+def test_blocks_end_and_are_put_together(monkeypatch, limit):
+    """Blocks of few words hold all texts once."""
     monkeypatch.setattr(alignment, "WORDS_IN_BLOCK", limit)
-    own, texts, seen = alignment.Aligner(open(PATHS[0], encoding="utf-8").read(), open(PATHS[1], "rb").read()), ["one two three"] * 30, 0
+    own, seen = alignment.Aligner(open(PATHS[0], encoding="utf-8").read(), open(PATHS[1], "rb").read()), []
     block = alignment.Block(own)
-    for k, text in enumerate(texts):
-        block.add([k], [text])
+    for k in range(30):
+        block.add([k], ["one two three"])
         if block.full():
-            seen += len(block.ids)
-            block = alignment.Block(own)
-    assert seen + len(block.ids) == len(texts)
+            seen += [i for r in block.rows() if r["kind"] == alignment.TEXTS for i in r["ids"]]
+            block = block.following()
+    assert sorted(seen + block.ids) == list(range(30))
