@@ -140,7 +140,7 @@ class Block:
         found = []
         for n, place in enumerate(self.place, 1):
             rows = replies[replies["gram"] == n].sort_values("shard")
-            found.append(np.concatenate([unpack(r, np.uint32) for r in rows[column]])[place].astype(np.float64))
+            found.append(np.concatenate([unpack(r, np.uint64) for r in rows[column]])[place].astype(np.float64))
         return found
 
     def estimates(self, counts: list[np.ndarray], tokens: float, texts: float) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +188,7 @@ def replies(asked: DataFrame) -> DataFrame:
         for column in ("learnt", "held_out"):
             own = np.concatenate([unpack(c, np.uint32) for c in rows[column]])
             total[column] = np.bincount(place, own, len(distinct))
-            answers[column] = [pack(part.astype(np.uint32)) for part in np.split(total[column][place], cuts)]
+            answers[column] = [pack(part.astype(np.uint64)) for part in np.split(total[column][place], cuts)]
         first = int(rows["gram"].iloc[0])
         ends = distinct == END
         out = pd.DataFrame({"block": rows["block"].to_numpy(), "gram": first, "shard": rows["shard"].to_numpy(), **answers})
