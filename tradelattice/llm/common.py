@@ -31,3 +31,11 @@ def lower_ascii(text: Column) -> Column:
 def shares(total: int, each: int) -> int:
     """How many shares of at most about ``each`` hold ``total``; at least one."""
     return max(1, -(-int(total) // each))
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -3,10 +3,15 @@
 1. A screen finds the stretches of a text that need windows at all. An item of n words with at most k edits keeps at
    least (n - q + 1) - k * q of its q-word grams, so a window of n words with fewer grams of items of that length
    cannot match. The screen is a table of fixed size: for a hashed gram, the lengths of items that hold it.
-2. Neighbouring windows make a region, and regions and items meet in an equi join on grams. Edits destroy at most k * q of
-   an item's grams, so of any k * q + 1 one is left in the region: an item is looked up by its k * q + 1 grams that the
-   fewest items hold. No pair within the allowed edits is missed.
-3. Every pair that met and shares enough grams is verified by the edit distance between the item and the best stretch of
+2. Item-sized windows and items are embedded by random walks: a walk writes the word it stands on at every step and goes
+   on to the next word or not by a coin tossed for that word and step, so words that differ by few edits mostly write the
+   same at the same step, and edit distance becomes Hamming distance. A key is what a walk wrote at a few sampled steps;
+   windows and items that share a key are candidates. The number of walks is the smallest that reaches the target recall
+   for an item's length and allowed edits, by a simulation with made-up words.
+3. What keys missed is completed exactly: edits destroy at most k * q of an item's grams, so of any k * q + 1 one is left in
+   the region of neighbouring windows; an item is looked up by its k * q + 1 grams that the fewest items hold, in an equi
+   join. No pair within the allowed edits is missed.
+4. Every pair that met and shares enough grams is verified by the edit distance between the item and the best stretch of
    the region.
 
 Words are runs of letters and digits, in lower case; in scripts written without spaces each character is a word. Items
@@ -21,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelattice.llm.common import text_of
+from tradelattice.llm.common import free_name, text_of
 from tradelattice.llm.wordhash import STEP, WordHashes, mixed
 from tradelattice.session import stage
 
@@ -45,10 +51,18 @@ ROWS_AT_ONCE = 256
 
 @dataclass(frozen=True)
 class Settings:
-    """``percent`` of an item's words may be edited. ``bits``: the screen has 2^bits entries of 8 bytes."""
+    """``percent`` of an item's words may be edited. ``bits``: the screen has 2^bits entries of 8 bytes.
+
+    Keys sample ``samples`` steps of a walk; there are as many walks as ``recall`` needs, ``walks`` at most.
+    """
 
     percent: int = 20
     bits: int = 19
+    recall: float = 0.9
+    samples: int = 3
+    walks: int = 128
+    trials: int = 256
+    seed: int = 17
 
 
 def hashed_words(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -104,6 +118,94 @@ def regions(begins: np.ndarray, length: int, settings: Settings) -> Iterator[tup
         at = upto
 
 
+# --- random walks ---
+
+
+def walk_keys(windows: np.ndarray, walks: int, settings: Settings) -> np.ndarray:
+    """(windows, walks): the keys of windows of one length, a row of word hashes each."""
+    count, length = windows.shape
+    steps = 2 * length  # a walk needs two a word; steps after its end would be alike for all
+    sampled = np.sort(np.random.default_rng([settings.seed, length]).integers(0, steps, (settings.walks, settings.samples))[:walks], axis=1)
+    coins = mixed(np.arange(1, settings.walks * steps + 1, dtype=np.uint64) * STEP).reshape(settings.walks, steps)[:walks]
+    padded = np.concatenate([windows, np.zeros((count, 1), np.uint64)], axis=1)
+    at, keys = np.zeros((count, walks), np.int64), np.full((count, walks), length, np.uint64)
+    rows = np.arange(count)[:, None]
+    for step in range(int(sampled.max()) + 1):
+        word = padded[rows, at]
+        for k in range(settings.samples):
+            here = sampled[:, k] == step
+            if here.any():
+                keys[:, here] = mixed(keys[:, here] * STEP + word[:, here])
+        at = np.minimum(at + (mixed(word ^ coins[:, step]) & np.uint64(1)).astype(np.int64), length)
+    return mixed(keys + np.arange(1, walks + 1, dtype=np.uint64) * STEP)
+
+
+def edited(words: np.ndarray, count: int, rng: np.random.Generator) -> np.ndarray:
+    """``count`` random replacements, insertions and deletions of words, and other words after them."""
+    found = words.tolist()
+    for kind in rng.integers(0, 3, count):
+        at = int(rng.integers(len(found) + (kind == 1))) if found else 0
+        found[at:at + (kind != 1)] = [] if kind == 2 else [int(rng.integers(1, 2 ** 62))]
+    return np.array(found + rng.integers(1, 2 ** 62, count).tolist(), np.uint64)
+
+
+@cache
+def needed_walks(length: int, settings: Settings) -> int:
+    """The fewest walks whose keys meet in the share ``recall`` of pairs of an item and its edited copy."""
+    rng = np.random.default_rng([settings.seed, length, 1])
+    items = rng.integers(1, 2 ** 62, (settings.trials, length)).astype(np.uint64)
+    others = np.stack([edited(w, edits(length, settings), rng)[:length] for w in items])
+    met = walk_keys(items, settings.walks, settings) == walk_keys(others, settings.walks, settings)
+    reached = np.maximum.accumulate(met, axis=1).mean(axis=0) >= settings.recall
+    return int(reached.argmax()) + 1 if reached.any() else settings.walks
+
+
+def keyed(windows: dict[int, list[tuple[int, np.ndarray]]], settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(owner, key) of windows by length, each window with its owner."""
+    for length, own in windows.items():
+        keys = walk_keys(np.stack([w for _, w in own]), needed_walks(length, settings), settings)
+        yield np.repeat(np.array([o for o, _ in own], np.int64), keys.shape[1]), keys.ravel().view(np.int64)
+
+
+def item_keys(known: DataFrame, settings: Settings) -> DataFrame:
+    """(item_id, length, item, walk_key) of every item."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for row, (n, words) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                windows.setdefault(n, []).append((row, np.frombuffer(words, np.uint64)))
+            for owner, keys in keyed(windows, settings):
+                own = batch.take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(keys)], ["item_id", "length", "item", "walk_key"])
+
+    return known.mapInArrow(run, "item_id long, length long, item binary, walk_key long").distinct()
+
+
+def region_keys(found: DataFrame, settings: Settings) -> DataFrame:
+    """(region, length, walk_key): the keys of the windows of a region with the most grams of items, the first and the last of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for row in range(batch.num_rows):
+                n, words = batch.column(1)[row].as_py(), np.frombuffer(batch.column(2)[row].as_py(), np.uint64)
+                q = gram_size(n, settings)
+                hits = np.isin(grams(words, q).view(np.int64), batch.column(3)[row].values.to_numpy(zero_copy_only=False))
+                total = np.cumsum(np.concatenate([[0], hits]))
+                counts = total[n - q + 1:] - total[:max(len(total) - (n - q + 1), 0)]
+                if len(counts):  # a region at the end of a text can be shorter than the item
+                    best = np.flatnonzero(counts == counts.max())
+                    for at in {int(best[0]), int(best[-1])}:
+                        windows.setdefault(n, []).append((row, words[at:at + n]))
+            for owner, keys in keyed(windows, settings):
+                own = batch.take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(keys)], ["region", "length", "walk_key"])
+
+    return found.select("region", "length", "words", "grams").mapInArrow(run, "region long, length long, walk_key long")
+
+
+# --- items and regions ---
+
+
 def item_rows(items: DataFrame, settings: Settings) -> DataFrame:
     """(item_id, length, words) of the items that are looked for, each once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,13 +337,27 @@ def best_stretch(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(begin[end]), end
 
 
+def candidates(found: DataFrame, known: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """(region, item_id, item) of the regions and items that share a walk's key, and of those that only share grams."""
+    names = ["region", "item_id", "item"]
+    walked = stage(region_keys(found, settings).join(item_keys(known, settings), ["length", "walk_key"]).select(names).distinct(), "walked")
+    rows = found.select("region", "length", F.explode("grams").alias("gram"))
+    shared = rows.join(item_grams(known, settings), ["length", "gram"]).select(names).distinct()
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]
+    return walked, shared.alias("a").join(walked.alias("b"), reduce(Column.__and__, same), "left_anti")
+
+
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
-    """(key, item_id, start_word, end_word, distance, item_words): documents with the items that they contain."""
+    """(key, item_id, start_word, end_word, distance, item_words, by_walk): documents with the items that they contain.
+
+    ``by_walk`` says whether a walk's key found the pair, or the completion by grams.
+    """
     known = stage(item_rows(items, settings), "items")
     table, lengths = screen(known, settings)
-    found = stage(region_rows(docs, key, table, lengths, settings), "regions")
-    met = found.select("key", "start", "length", "words", F.explode("grams").alias("gram")).join(item_grams(known, settings), ["length", "gram"])
-    pairs = met.select("key", "start", "item_id", "words", "item").distinct()
+    found = stage(region_rows(docs, key, table, lengths, settings).withColumn("region", F.monotonically_increasing_id()), "regions")
+    walked, completed = candidates(found, known, settings)
+    met = walked.withColumn("by_walk", F.lit(True)).unionByName(completed.withColumn("by_walk", F.lit(False)))
+    pairs = met.join(found.select("region", "key", "start", "words"), "region").select("key", "start", "item_id", "words", "item", "by_walk")
     percent = settings.percent
 
     @F.pandas_udf("struct<distance:long,start:long,end:long,length:long>")
@@ -255,13 +371,13 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", settings: Se
         return pd.DataFrame(rows, columns=["distance", "start", "end", "length"], dtype="int64")
 
     place = place.asNondeterministic()  # else it is worked out for the filter and again for the result
-    found = pairs.select("key", "item_id", F.col("start").alias("offset"), place("item", "words").alias("at")).where(
+    found = pairs.select("key", "item_id", "by_walk", F.col("start").alias("offset"), place("item", "words").alias("at")).where(
         F.col("at.distance") * 100 <= percent * F.col("at.length"))
     best = found.select("key", "item_id", F.struct(
         F.col("at.distance").alias("distance"), (F.col("offset") + F.col("at.start")).alias("start_word"),
-        (F.col("offset") + F.col("at.end")).alias("end_word"), F.col("at.length").alias("item_words")).alias("best"),
-    ).groupBy("key", "item_id").agg(F.min("best").alias("best"))
-    return best.select(F.col("key").alias(key), "item_id", "best.start_word", "best.end_word", "best.distance", "best.item_words")
+        (F.col("offset") + F.col("at.end")).alias("end_word"), F.col("at.length").alias("item_words")).alias("best"), "by_walk",
+    ).groupBy("key", "item_id").agg(F.min("best").alias("best"), F.max("by_walk").alias("by_walk"))
+    return best.select(F.col("key").alias(key), "item_id", "best.start_word", "best.end_word", "best.distance", "best.item_words", "by_walk")
 
 
 def row_name() -> Column:
@@ -271,6 +387,7 @@ def row_name() -> Column:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that contain no item, with their columns unchanged. Rows that share an id go together."""
-    named = docs.withColumn("_row_name", row_name())
-    found = stage(matches(named, items, "_row_name", settings).select("_row_name").distinct(), "contaminated")
-    return named.join(found, "_row_name", "left_anti").select(*docs.columns)
+    name = free_name("_row_name", docs)
+    named = docs.withColumn(name, row_name())
+    found = stage(matches(named, items, name, settings).select(name).distinct(), "contaminated")
+    return named.join(found, name, "left_anti").select(*docs.columns)
