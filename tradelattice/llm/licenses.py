@@ -1,17 +1,15 @@
 """Licence notices in documents by a positional index of rare words, with DataFrame functions only.
 
-1. The index holds each word of the notices with its positions. How rare a licence word is comes from the number of all
-   documents that hold it.
-2. A document with a mandatory phrase is looked up by the ``lookups`` rarest words of each notice whose phrase it holds,
-   so no notice crowds out another. Each occurrence, less the word's position in a notice, says where the notice would
-   begin; the beginnings on which most different words agree are the candidates.
+1. The index holds the rarest words of each notice with their positions in it. How rare a licence word is comes from the
+   number of all documents that hold it.
+2. Every document is looked up by these words, so no notice crowds out another. Each occurrence, less the word's position
+   in a notice, says where the notice would begin; beginnings on which several words agree are the candidates.
 3. A candidate counts if a mandatory phrase of the notice stands in the document at the place the beginning asks for,
-   give or take ``slack`` words.
+   give or take ``slack`` words. Only candidates are asked for their phrase.
 
-A document without any mandatory phrase cannot have a match and is not looked up. The score is the
-largest share of a notice's rarest words (by their inverse document frequency) that agree; a document with only a plain
-mention ("mit license") has 0.5, one without both 0. Notices, their words and the frequencies of those words are of
-fixed number; nothing else is broadcast or collected.
+The score is the largest share of a notice's rarest words (by their inverse document frequency) that agree; a document with
+only a plain mention ("mit license") has 0.5, one without both 0. Notices, their words and the frequencies of those words
+are of fixed number; nothing else is broadcast or collected.
 
 Defined results: a null or empty text has no words, no labels and score 0; repeated rows have a result each; rows
 without id too; extra columns are ignored.
@@ -82,15 +80,59 @@ HEADERS = [
           ("mpl-2.0", "MPL-2.0"), ("unlicense", "Unlicense")]),
 ]
 
+#: Whole notices of licences, by label. Fixed values.
+WHOLE = [
+    ("mit", Notice(
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+        " (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,"
+        " merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is"
+        " furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included"
+        " in all copies or substantial portions of the Software.",
+        "rights to use copy modify merge publish distribute sublicense and or sell copies of the software")),
+    ("apache-2.0", Notice(
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+        " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under"
+        " the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "you may not use this file except in compliance with the license")),
+    ("bsd", Notice(
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+        " Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in"
+        " the documentation and/or other materials provided with the distribution.",
+        "redistributions of source code must retain the above copyright notice")),
+    ("isc", Notice(
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided"
+        " that the above copyright notice and this permission notice appear in all copies.",
+        "provided that the above copyright notice and this permission notice appear in all copies")),
+    ("mpl-2.0", Notice(
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with"
+        " this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "if a copy of the mpl was not distributed with this file")),
+    ("unlicense", Notice(
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a"
+        " compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "anyone is free to copy modify publish use compile sell or distribute this software")),
+    ("zlib", Notice(
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any"
+        " damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including"
+        " commercial applications, and to alter it and redistribute it freely",
+        "in no event will the authors be held liable for any damages arising from the use of this software")),
+    ("bsl-1.0", Notice("Boost Software License - Version 1.0 - August 17th, 2003", "boost software license version 1 0")),
+]
+
 #: All forms: (label, notice). Forms are told apart by their place in the list.
-FORMS = [*NOTICES.items(), *HEADERS]
+FORMS = [*NOTICES.items(), *HEADERS, *WHOLE]
 
 
 @dataclass(frozen=True)
 class Settings:
+    """``lookups`` rarest words a notice; words of more than ``common`` of the documents are looked up only where a notice has
+    fewer than two others. ``agreeing`` words must say the same beginning, with ``least_share`` of the notice's rarity."""
+
     lookups: int = 8
-    slack: int = 2
+    common: float = 0.1
+    agreeing: int = 2
     least_share: float = 0.3
+    slack: int = 2
 
 
 def notice_words(text: str) -> list[str]:
@@ -119,14 +161,11 @@ def labelled_starts(words: Column, phrase: list[str], label: str) -> Column:
     return F.transform(phrase_starts(words, phrase), lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
 
 
-def form_starts(words: Column, held: Column, phrase: list[str], form: int) -> Column:
-    """As ``labelled_starts``, looked for only where all the phrase's words are among the licence words ``held``."""
-    places = F.transform(phrase_starts(words, phrase), lambda i: F.struct(i.alias("at"), F.lit(form).alias("form")))
-    return F.when(F.size(F.array_except(strings(phrase), held)) == 0, places).otherwise(F.array().cast("array<struct<at:int,form:int>>"))
-
-
-def rarest_words(notice: Notice, rare: dict[str, float], lookups: int) -> list[str]:
-    return sorted(sorted(set(notice_words(notice.text))), key=lambda w: -rare[w])[:lookups]
+def lookup_words(notice: Notice, docs: int, counts: dict[str, int], settings: Settings) -> list[str]:
+    """The words by which a notice is looked up, the rarest first."""
+    rare = inverse(docs, counts)
+    words = sorted(sorted(set(notice_words(notice.text))), key=lambda w: -rare[w])[:settings.lookups]
+    return [w for k, w in enumerate(words) if k < settings.agreeing or counts.get(w, 0) <= settings.common * docs]
 
 
 def frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
@@ -142,74 +181,96 @@ def inverse(docs: int, counts: dict[str, int]) -> dict[str, float]:
     return {w: math.log((docs + 1) / (counts.get(w, 0) + 1)) + 1e-6 for w in VOCABULARY}
 
 
+def fixed_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A table of a few literal rows."""
+    literal = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows))
+    return spark.range(1).select(F.inline(literal))
+
+
+@dataclass(frozen=True)
+class Index:
+    """The rarest words of the notices: (form, word, place, part of the form's rarity)."""
+
+    postings: list[tuple[int, str, int, float]]
+
+    @classmethod
+    def of(cls, docs: int, counts: dict[str, int], settings: Settings) -> Index:
+        rare, postings = inverse(docs, counts), []
+        for form, (_, notice) in enumerate(FORMS):
+            looked_up = lookup_words(notice, docs, counts, settings)
+            whole = sum(rare[w] for w in looked_up)
+            postings += [(form, w, k, rare[w] / whole) for k, w in enumerate(notice_words(notice.text)) if w in looked_up]
+        return cls(postings)
+
+    @property
+    def words(self) -> list[str]:
+        return sorted({word for _, word, _, _ in self.postings})
+
+
+def with_hits(docs: DataFrame, index: Index) -> DataFrame:
+    """A row per document with its words, the places of plain mentions, and those of words of the index."""
+    rows = docs.select("doc_id", words_of(text_of()).alias("words"))
+    mentions = [labelled_starts(F.col("words"), p.split(), label) for p, label in MENTIONS.items()]
+    nothing = F.array().cast("array<struct<at:int,label:string>>")
+    hits = F.filter(
+        F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(strings(index.words), x["word"]))
+    return rows.select(
+        "doc_id", "words", F.when(F.array_contains("words", "license"), F.concat(*mentions)).otherwise(nothing).alias("mentions"), hits.alias("hits"))
+
+
+def candidates(scanned: DataFrame, index: Index, settings: Settings) -> DataFrame:
+    """(row, form, begin, share) of the beginnings of notices on which enough words of the index agree."""
+    postings = F.broadcast(fixed_rows(scanned.sparkSession, index.postings, ["form", "word", "place", "part"]))
+    return (
+        scanned.select("row", F.explode("hits").alias("hit")).select("row", F.col("hit.word").alias("word"), F.col("hit.at").alias("at"))
+        .join(postings, "word").select("row", "form", (F.col("at") - F.col("place")).alias("begin"), "word", "part")
+        .groupBy("row", "form", "begin", "word").agg(F.max("part").alias("part"))
+        .groupBy("row", "form", "begin").agg(F.sum("part").alias("share"), F.count(F.lit(1)).alias("agreeing"))
+        .where((F.col("agreeing") >= settings.agreeing) & (F.col("share") >= settings.least_share)).drop("agreeing")
+    )
+
+
+def proven(found: DataFrame, scanned: DataFrame, settings: Settings) -> DataFrame:
+    """The candidates, with their label, whose mandatory phrase stands about where their beginning asks for it."""
+    rows = []
+    for form, (label, notice) in enumerate(FORMS):
+        words, key = notice_words(notice.text), notice_words(notice.key)
+        rows.append((form, label, next(k for k in range(len(words)) if words[k:k + len(key)] == key), " ".join(key), len(key)))
+    phrases = F.broadcast(fixed_rows(found.sparkSession, rows, ["form", "label", "key_place", "phrase", "phrase_words"]))
+    at = F.col("begin") + F.col("key_place")
+    there = lambda k: (at + k >= 0) & (
+        F.array_join(F.slice("words", F.greatest(at + k, F.lit(0)) + 1, F.col("phrase_words")), " ") == F.col("phrase"))
+    held = reduce(Column.__or__, (there(k) for k in range(-settings.slack, settings.slack + 1)))
+    return found.join(phrases, "form").join(scanned.select("row", "words"), "row").where(held).select("row", "form", "label", "begin", "share")
+
+
 def scan(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans), one row a document.
 
     ``spans``: label, first word and share of each notice found.
     """
-    rare = inverse(*frequencies(docs))
-    rows = docs.select(F.col("doc_id"), words_of(text_of()).alias("words"))
-    rows = rows.withColumn("held", F.array_intersect("words", strings(VOCABULARY)))
-    mentions = [labelled_starts(F.col("words"), p.split(), label) for p, label in MENTIONS.items()]
-    proofs = [form_starts(F.col("words"), F.col("held"), notice_words(n.key), k) for k, (_, n) in enumerate(FORMS)]
-    nothing = F.array().cast("array<struct<at:int,label:string>>")
-    rows = rows.select(
-        "doc_id", "words", F.when(F.array_contains("held", "license"), F.concat(*mentions)).otherwise(nothing).alias("mentions"),
-        F.concat(*proofs).alias("proofs"),
-    )
-    listed = strings(sorted({w for _, n in FORMS for w in rarest_words(n, rare, settings.lookups)}))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(listed, x["word"]))
+    index = Index.of(*frequencies(docs), settings)
+    rows = with_hits(docs, index)
+    # One word of the index alone can't agree with another; such documents are not looked up and their words not kept.
+    several = F.size(F.array_distinct(F.transform("hits", lambda x: x["word"]))) >= settings.agreeing
     scanned = stage(
         rows.select(
             "doc_id", F.uuid().alias("row"), F.size("words").cast("long").alias("n_words"), "mentions",
-            F.when(F.size("proofs") > 0, hits).alias("hits"), F.when(F.size("proofs") > 0, F.col("proofs")).alias("proofs"),
+            F.when(several, F.col("hits")).alias("hits"), F.when(several, F.col("words")).alias("words"),
         ), "scanned",
     )
-    spans = found_notices(scanned.where("hits is not null"), rare, settings)
+    looked_up = scanned.where("hits is not null")
+    met = proven(stage(candidates(looked_up, index, settings), "candidates"), looked_up, settings)
+    best = met.groupBy("row", "label").agg(F.max(F.struct("share", (-F.col("begin")).alias("late"))).alias("best"))
+    spans = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
+        "label", (-F.col("best.late")).cast("long").alias("first_word"), F.least(F.col("best.share"), F.lit(1.0)).alias("share")))).alias("spans"))
     base = F.array_distinct(F.transform("mentions", lambda x: x["label"]))
     places = F.transform("mentions", lambda x: x["at"].cast("long"))
     own = F.coalesce(F.transform("spans", lambda x: x["label"]), F.array().cast("array<string>"))
-    best = F.array_max(F.transform("spans", lambda x: x["share"]))
-    return scanned.join(spans, "row", "left").select(
+    best_share = F.array_max(F.transform("spans", lambda x: x["share"]))
+    return scanned.select("doc_id", "row", "n_words", "mentions").join(spans, "row", "left").select(
         "doc_id", "n_words", F.size("mentions").cast("long").alias("n_base"), F.array_min(places).alias("first_word"),
         F.array_max(places).alias("last_word"), F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"),
-        F.coalesce(best, F.when(F.size("mentions") > 0, 0.5), F.lit(0.0)).cast("double").alias("score"), "spans",
-    )
-
-
-def fixed_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    """A table of a few literal rows."""
-    literal = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows))
-    return spark.range(1).select(F.inline(literal))
-
-
-def found_notices(scanned: DataFrame, rare: dict[str, float], settings: Settings) -> DataFrame:
-    """(row, spans) of documents in which notices are found."""
-    spark = scanned.sparkSession
-    postings, proofs = [], []
-    for form, (label, notice) in enumerate(FORMS):
-        words, key = notice_words(notice.text), notice_words(notice.key)
-        top = rarest_words(notice, rare, settings.lookups)
-        whole = sum(rare[w] for w in top)
-        postings += [(form, w, k, rare[w] / whole) for k, w in enumerate(words) if w in top]
-        proofs.append((form, label, next((k for k in range(len(words)) if words[k:k + len(key)] == key), 0)))
-    index = F.broadcast(fixed_rows(spark, postings, ["form", "word", "place", "part"]))
-    anchors = F.broadcast(fixed_rows(spark, proofs, ["form", "label", "key_place"]))
-    begin = (
-        scanned.select("row", F.array_distinct("proofs.form").alias("forms"), F.explode("hits").alias("hit"))
-        .select("row", "forms", F.col("hit.word").alias("word"), F.col("hit.at").alias("at"))
-        .join(index, "word").where(F.array_contains("forms", F.col("form")))
-        .select("row", "form", (F.col("at") - F.col("place")).alias("begin"), "word", "part").distinct()
-        .groupBy("row", "form", "begin").agg(F.sum("part").alias("share"), F.count(F.lit(1)).alias("agreeing"))
+        F.coalesce(best_share, F.when(F.size("mentions") > 0, 0.5), F.lit(0.0)).cast("double").alias("score"), "spans",
     )
-    proven = (
-        scanned.select("row", F.explode("proofs").alias("proof")).select("row", F.col("proof.form").alias("form"), F.col("proof.at").alias("at"))
-        .join(anchors, "form").select("row", "form", "label", (F.col("at") - F.col("key_place")).alias("asked"))
-        .select("row", "form", "label", F.explode(F.sequence(F.col("asked") - settings.slack, F.col("asked") + settings.slack)).alias("begin"))
-        .distinct()
-    )
-    met = begin.where((F.col("agreeing") > 1) & (F.col("share") >= settings.least_share)).join(proven, ["row", "form", "begin"])
-    best = met.groupBy("row", "label").agg(F.max(F.struct("share", (-F.col("begin")).alias("late"))).alias("best"))
-    return best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
-        "label", (-F.col("best.late")).cast("long").alias("first_word"), F.least(F.col("best.share"), F.lit(1.0)).alias("share")))).alias("spans"))
