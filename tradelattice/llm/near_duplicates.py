@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradelattice.llm.common import free_name
 from tradelattice.llm.components import components
 from tradelattice.llm.wordhash import STEP, WordHashes, mixed, shingles, split_words
 from tradelattice.session import stage
@@ -202,8 +203,12 @@ def rest(members: DataFrame, found: DataFrame, sets: DataFrame, settings: Settin
 def drop_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One document of each group, that with the smallest id, with its columns unchanged.
 
-    Rows that repeat a kept id are one document, so one of them stays; rows without id all stay.
+    Rows that repeat a kept id are one document: the first by a hash of the text stays, of equal texts the
+    first by a hash of all columns; rows without id all stay.
     """
-    kept = stage(groups(docs, settings).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
-    with_id = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept_id")).drop("_kept_id").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where(F.col("doc_id").isNull()))
+    name, place = free_name("_kept_id", docs), free_name("_place", docs)
+    kept = stage(groups(docs, settings).where("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct(), "kept")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text"), F.xxhash64(*plain))
+    with_id = docs.join(kept, F.col("doc_id").cast("long") == F.col(name)).withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return with_id.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradelattice.llm import subwords
-from tradelattice.llm.common import text_of
+from tradelattice.llm.common import free_name, text_of
 
 SETTINGS = subwords.Settings(pooling="mean", epochs=4)
 FOLDS = 5
@@ -30,7 +30,5 @@ def score(df: DataFrame, documents: DataFrame, labels: DataFrame, settings: subw
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score at least ``threshold``, with their columns unchanged."""
-    name = "_quality"
-    while name in docs.columns:
-        name += "_"
+    name = free_name("_quality", docs)
     return score(docs, docs, labels, name=name).where(F.col(name) >= threshold).select(*docs.columns)

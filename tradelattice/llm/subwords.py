@@ -223,7 +223,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
     ]
     chosen = F.broadcast(part[0].unionByName(part[1]))  # at most two times sample_per_class rows of two numbers
     rows = documents.select(F.col("doc_id").alias("id"), text_of().alias("text")).where(F.length("text") <= settings.sample_chars)
-    return rows.join(chosen, "id").dropDuplicates(["id"]).select("id", "text", "y")
+    # Of rows that repeat an id the first by a hash of the text is learnt from.
+    return rows.join(chosen, "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).select("id", "text", "y")
 
 
 def learn(documents: DataFrame, labels: DataFrame, label: str, folds: int, settings: Settings) -> Model:

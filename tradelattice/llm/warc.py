@@ -302,7 +302,11 @@ def archive(pages: DataFrame, least_bytes: int = 0, path: str | None = None) ->
     spark = pages.sparkSession
     register(spark)
     path = path or scratch_path(spark, "warc")
-    path = path if "://" in path or path.startswith("/") is False else f"file://{path}"
+    # A path without a scheme is one of the session's default file system.
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(path)
+    path = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    path = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
     page_records(pages, least_bytes).write.format("warc").mode("append").save(path)
     return path
 

@@ -87,6 +87,9 @@ class Automaton:
         return len(counts), sum(counts) + 2 * unknown, unknown
 
 
+_automata: dict[int, Automaton] = {}  # one a worker, by the vocabulary it holds
+
+
 def pieces(path: str) -> list[str]:
     """The ordinary pieces of a SentencePiece model (on the driver): no control, unknown or byte pieces."""
     import sentencepiece
@@ -96,12 +99,21 @@ def pieces(path: str) -> list[str]:
 
 
 def with_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """``docs`` with a struct ``pieces`` of n_words, n_tokens and n_unknown. The vocabulary's size is the tokenizer's."""
+    """``docs`` with a struct ``pieces`` of n_words, n_tokens and n_unknown. The vocabulary's size is the tokenizer's.
+
+    Raises if ``docs`` has a column ``pieces`` already.
+    """
+    if "pieces" in {c.lower() for c in docs.columns}:
+        raise ValueError("column pieces is there already")
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("struct<n_words:long,n_tokens:long,n_unknown:long>")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Automaton(held.value)
+        key = id(held.value)
+        if key not in _automata:
+            _automata.clear()
+            _automata[key] = Automaton(held.value)
+        own = _automata[key]
         for texts in batches:
             yield pd.DataFrame([own.text(t) for t in texts], columns=["n_words", "n_tokens", "n_unknown"], dtype="int64")
 
