@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tradelattice.operators import complexity as C, graph as G
+from tradelattice.plans.views import Tables
 from tradelattice.sources import indicators, slices, tables
 
 
@@ -82,3 +83,12 @@ def test_unique_nodes(spark):
         G.require_unique(nodes, ["k"])
     edges = spark.createDataFrame([("a", "b"), ("a", "z")], "src string, dst string")
     assert [r.dst for r in G.dangling(edges, "dst", nodes, "k").collect()] == ["z"]
+
+
+def test_stored_tables_follow_their_inputs(spark, tmp_path):
+    folder = str(tmp_path / "tables")
+    spark.createDataFrame([(1, "a")], "n_nationkey long, n_name string").write.parquet(f"{folder}/nation.parquet")
+    count = lambda: Tables(spark, folder).stored("names", lambda: Tables(spark, folder).nation.select("n_name")).count()
+    assert count() == 1 == count()
+    spark.createDataFrame([(1, "a"), (2, "b")], "n_nationkey long, n_name string").write.mode("overwrite").parquet(f"{folder}/nation.parquet")
+    assert count() == 2

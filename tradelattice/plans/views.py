@@ -135,7 +135,14 @@ VIEWS = {
 }
 
 FORMATTER = string.Formatter()
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple, str] = {}
+
+
+def state_of(spark: SparkSession, folder: str) -> tuple:
+    """Name, length and time of the tables of a folder: what changes when one of them is written anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
 
 
 def references(sql: str) -> list[str]:
@@ -146,11 +153,12 @@ class Tables:
     """Lazy access to the test tables and views of one folder: ``t.exports``, ``t.lineitem``."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder, self._made = spark, folder, {}
+        self.spark, self.folder, self._made, self._state = spark, folder, {}, None
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A derived table written once per session and folder, then read by every query that needs it."""
-        place = (self.spark.sparkContext.applicationId, self.folder, name)
+        """A derived table written once per session and state of the folder, then read by every query that needs it."""
+        self._state = self._state or state_of(self.spark, self.folder)
+        place = (self.spark.sparkContext.applicationId, self.folder, self._state, name)
         if place not in _STORED:
             _STORED[place] = scratch_path(self.spark, name)
         return materialise(self.spark, _STORED[place], build)
