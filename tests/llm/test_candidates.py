@@ -47,8 +47,9 @@ def by_hand(texts, settings):
         best = 0.0
         for label, notice in licenses.FORMS:
             own, key = words_of(notice.text), words_of(notice.key)
+            sure = sorted(sorted(set(key)), key=lambda w: -rare[w])[:settings.agreeing]
             top = sorted(sorted(set(own)), key=lambda w: -rare[w])[:settings.lookups]
-            top = [w for k, w in enumerate(top) if k < settings.agreeing or counts[w] <= settings.common * len(texts)]
+            top = sure + [w for w in top if w not in sure and counts[w] <= settings.common * len(texts)]
             key_at = next(k for k in range(len(own)) if own[k:k + len(key)] == key)
             for begin in range(-len(own), len(words)):
                 agree = {w for k, w in enumerate(own) if w in top and 0 <= begin + k < len(words) and words[begin + k] == w}

@@ -125,8 +125,8 @@ FORMS = [*NOTICES.items(), *HEADERS, *WHOLE]
 
 @dataclass(frozen=True)
 class Settings:
-    """``lookups`` rarest words a notice; words of more than ``common`` of the documents are looked up only where a notice has
-    fewer than two others. ``agreeing`` words must say the same beginning, with ``least_share`` of the notice's rarity."""
+    """``lookups`` rarest words a notice, without words of more than ``common`` of the documents, and the ``agreeing`` rarest of
+    its phrase. ``agreeing`` words must say the same beginning, with ``least_share`` of the notice's rarity."""
 
     lookups: int = 8
     common: float = 0.1
@@ -162,10 +162,12 @@ def labelled_starts(words: Column, phrase: list[str], label: str) -> Column:
 
 
 def lookup_words(notice: Notice, docs: int, counts: dict[str, int], settings: Settings) -> list[str]:
-    """The words by which a notice is looked up, the rarest first."""
+    """The words by which a notice is looked up: the rarest of its mandatory phrase, so that no text with the phrase lacks them,
+    and the rarest of all its words."""
     rare = inverse(docs, counts)
-    words = sorted(sorted(set(notice_words(notice.text))), key=lambda w: -rare[w])[:settings.lookups]
-    return [w for k, w in enumerate(words) if k < settings.agreeing or counts.get(w, 0) <= settings.common * docs]
+    rarest = lambda text: sorted(sorted(set(notice_words(text))), key=lambda w: -rare[w])
+    sure = rarest(notice.key)[:settings.agreeing]
+    return sure + [w for w in rarest(notice.text)[:settings.lookups] if w not in sure and counts.get(w, 0) <= settings.common * docs]
 
 
 def frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
