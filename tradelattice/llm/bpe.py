@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHED_MATCHES, CACHED_PAIRS, CACHED_STEPS, CACHED_LENGTH = 150_000, 150_000, 300_000, 64  # per worker
+CACHED_MATCHES, CACHED_PAIRS, CACHED_STEPS, CACHED_LENGTH = 100_000, 150_000, 300_000, 64  # per worker
 
 
 class Recent(dict):
@@ -268,6 +268,12 @@ class Encoder(Recent):
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, self.find(text or "")))
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that goes on to other work shall not hold them."""
+        for cache in (self, self.vocabulary.steps, self.vocabulary.apart):
+            cache.clear()
+            cache.before = {}
+
 
 def ids_bytes(ids: list[int]) -> bytes:
     packed = array("I", ids)
@@ -317,6 +323,7 @@ def encode(text: Column, held: Broadcast, pattern: str) -> Column:
         own = encoder(held, pattern)
         for texts in batches:
             yield pd.Series([own.ids(t) for t in texts], dtype=object)
+        own.forget()
 
     return ids(text)
 
@@ -340,6 +347,7 @@ def round_trip(text: Column, held: Broadcast, pattern: str) -> Column:
         for texts in batches:
             ids = [own.ids(t) for t in texts]
             yield pd.DataFrame({"ids": ids, "decoded": [joined(i, piece) for i in ids]}, dtype=object)
+        own.forget()
 
     return both(text)
 
