@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from tradelattice.session import stage
 
 SPACE = "▁"
-WORDS_IN_BLOCK, SEGMENTS_IN_BLOCK, LETTERS_IN_BLOCK = 4_000_000, 500_000, 48_000_000
-CARRIED = 250_000  # frequent segments that the next block of a task starts with
+WORDS_IN_BLOCK, SEGMENTS_IN_BLOCK, LETTERS_IN_BLOCK = 3_000_000, 380_000, 36_000_000
+CARRIED = 190_000  # frequent segments that the next block of a task starts with
 TEXTS_AT_ONCE, LETTERS_AT_ONCE, NUMBERS_IN_ROW = 128, 200_000, 8192
 TEXTS, SEGMENTS, PAIRS, TOTALS = range(4)  # kinds of rows of a block
 SEGMENT = re.compile(r"(?<=\S)(?<!᠎)(?= [\s\S])")
