@@ -1,3 +1,4 @@
+import datetime as dt
 import hashlib
 import math
 from collections import Counter
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from tradelattice.operators import (
     decoders as D, embeddings as E, evaluation as V, gravity as Y, neighbours as N, ordering as R, splits as Z,
 )
+from tradelattice.plans import graph_queries
+from tradelattice.plans.views import Tables
 from tradelattice.session import stage
 
 
@@ -120,6 +123,36 @@ def test_impossible_negatives_raise(spark):
     assert Z.negatives(pos.limit(0), pos.select("src"), pos.select("dst"), keys=["year"]).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.499, 0.6, 1.0])
+def test_all_free_negatives_where_links_fill_half_of_the_cells(spark, share):
+    """A split that asks for more than are free gets each free link once, the others as many as they have links."""
+    pos = dated(spark, share)
+    every = {(s.src, d.dst) for s in pos.select("src").distinct().collect() for d in pos.select("dst").distinct().collect()}
+    links = {(r.src, r.dst, r.year): r.split for r in pos.collect()}
+    neg = Z.negatives(pos, pos.select("src"), pos.select("dst"), keys=["year"], or_all_free=True).collect()
+    got = {(r.src, r.dst, r.year): r.split for r in neg}
+    assert len(got) == len(neg) and not got.keys() & links.keys()
+    for split in Z.SPLITS:
+        years = {y for (_, _, y), s in links.items() if s == split}
+        free = {(s, d, y) for s, d in every for y in years} - links.keys()
+        mine = {link for link, s in got.items() if s == split}
+        assert mine <= free and len(mine) == min(len(free), sum(s == split for s in links.values()))
+
+
+def test_negatives_query_on_dense_trade(spark, tmp_path):
+    """Equal exports everywhere: every cell is an advantage, no link is free, and decoders still have their positives."""
+    for name, rows, schema in [
+        ("nation", [(k, f"NATION_{k}", 0) for k in range(3)], "n_nationkey long, n_name string, n_regionkey long"),
+        ("supplier", [(k, k) for k in range(3)], "s_suppkey long, s_nationkey long"),
+        ("part", [(k, "LARGE", f"Brand#{k}") for k in range(1, 5)], "p_partkey long, p_type string, p_brand string"),
+    ]:
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    lines = [(s, p, dt.date(y, 5, 1), 100.0 + (y == 2001 and s == p)) for s in range(3) for p in range(1, 5) for y in range(1999, 2002)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_shipdate date, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    count = Counter(r.split for r in graph_queries.sampled_negatives(Tables(spark, str(tmp_path))).collect())
+    assert count["train"] == count["val"] == 0 < count["test"]
+
+
 def test_layers_are_sampled_from_the_last_inwards(spark):
     edges = spark.createDataFrame([(f"s{i}", "r" if i % 2 else "q", f"d{j}") for i in range(60) for j in range(3)], "src string, rel string, dst string")
     first, last = Z.sample_layers(edges, [15, 10])

@@ -69,6 +69,7 @@ def numbered(nodes: DataFrame, column: str) -> DataFrame:
 
 def negatives(
     positives: DataFrame, sources: DataFrame, targets: DataFrame, ratio: int = 1, keys: Sequence[str] = (), seed: int = K.SEED,
+    or_all_free: bool = False,
 ) -> DataFrame:
     """``ratio`` negative links per positive of each split: (src, dst, *keys, split).
 
@@ -76,7 +77,7 @@ def negatives(
     number: a hash of the draw picks the place of its source, its target and, per key, one of the values that the split's
     positives have. Draws that repeat one another, a positive of any split, or a negative of a split before are passed over,
     and draws go on until there are enough, so the product of the nodes is never built. The first that are left are taken.
-    Raises if a split asks for more links than are free.
+    A split that asks for more links than are free raises or, with ``or_all_free``, gets every free link.
     """
     link = ["src", "dst", *keys]
     nodes = {c: stage(numbered(df, c), "numbered") for c, df in (("src", sources), ("dst", targets))}
@@ -92,15 +93,18 @@ def negatives(
         size = {c: count[c] if c in count else places[c].count() for c in places}
         domain = math.prod(size.values())
         free = domain - _inside(taken, places).count()
-        if need > free:
+        if need > free and not or_all_free:
             raise ValueError(f"{split}: {need} negative links wanted, {free} free")
-        draws = 2 * need * domain // free + 100
-        while True:
-            drawn = stage(_drawn(draws, split, places, size, seed).join(taken, link, "left_anti"), "drawn")
-            if drawn.count() >= need:
-                break
-            draws *= 2
-        first = ranked(drawn, [F.asc("_n")], rank="_rank").where(F.col("_rank") <= need)
+        if need >= free:
+            first = _every(places, size).join(taken, link, "left_anti")
+        else:
+            draws = 2 * need * domain // free + 100
+            while True:
+                drawn = stage(_drawn(draws, split, places, size, seed).join(taken, link, "left_anti"), "drawn")
+                if drawn.count() >= need:
+                    break
+                draws *= 2
+            first = ranked(drawn, [F.asc("_n")], rank="_rank").where(F.col("_rank") <= need)
         parts.append(stage(first.select(*link, F.lit(split).alias("split")), "negatives"))
         taken = taken.unionByName(parts[-1].select(link))
     if not parts:
@@ -124,6 +128,16 @@ def _drawn(draws: int, split: str, places: dict[str, DataFrame], size: dict[str,
     return rows.groupBy(*places).agg(F.min("_n").alias("_n"))
 
 
+def _every(places: dict[str, DataFrame], size: dict[str, int]) -> DataFrame:
+    """All links there are. Asked for only where no more are free than wanted, so they are a few for every link that is taken."""
+    rows, below = places["src"].sparkSession.range(math.prod(size.values())), 1
+    for column in places:
+        place = F.expr(f"id div {below} % {size[column]}")
+        rows = rows.withColumn("_i", place).join(places[column], "_i").drop("_i")
+        below *= size[column]
+    return rows.drop("id")
+
+
 def labelled(positives: DataFrame, negative: DataFrame) -> DataFrame:
     """The columns of the positives, with label 1 for them and 0 for the negatives."""
     one = positives.withColumn("label", F.lit(1))

@@ -162,8 +162,10 @@ def dated_links(t):
 
 
 def sampled_negatives(t):
+    """As many negatives as links in every split; all free ones where links fill more than half of its cells."""
     cells = C.trade_cells(t.exports)
-    return Z.negatives(dated_links(t), cells.select(F.col("iso3").alias("src")), cells.select(F.col("hs4").alias("dst")), keys=["year"])
+    nodes = cells.select(F.col("iso3").alias("src")), cells.select(F.col("hs4").alias("dst"))
+    return Z.negatives(dated_links(t), *nodes, keys=["year"], or_all_free=True)
 
 
 # --- nodes and edges -----------------------------------------------------------------------------
