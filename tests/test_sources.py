@@ -1,3 +1,5 @@
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tradelattice.operators import complexity as C, graph as G
@@ -92,3 +94,27 @@ def test_stored_tables_follow_their_inputs(spark, tmp_path):
     assert count() == 1 == count()
     spark.createDataFrame([(1, "a"), (2, "b")], "n_nationkey long, n_name string").write.mode("overwrite").parquet(f"{folder}/nation.parquet")
     assert count() == 2
+
+
+def test_views_of_lines_are_read_from_their_written_form(spark, tmp_path):
+    """Lines, orders and customers are read once for each view, however often it is used; keys may repeat or be null."""
+    folder = str(tmp_path)
+    for name, rows, schema in [
+        ("supplier", [(1, 0), (2, 1), (2, 1), (None, 2)], "s_suppkey long, s_nationkey long"),
+        ("part", [(1, "LARGE", "Brand#11"), (2, "PROMO", "Brand#12")], "p_partkey long, p_type string, p_brand string"),
+        ("customer", [(1, 1), (2, 0), (2, 2)], "c_custkey long, c_nationkey long"),
+        ("orders", [(1, 1, dt.date(1999, 1, 1), 5.0), (2, 2, dt.date(1999, 1, 1), 7.0), (3, None, None, None)],
+         "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double"),
+        ("lineitem", [(o, p, s, dt.date(1999, 3, 1), 10.25) for o in (1, 2, 3, None) for p in (1, 2) for s in (1, 2, None)],
+         "l_orderkey long, l_partkey long, l_suppkey long, l_shipdate date, l_extendedprice double"),
+    ]:
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    t = Tables(spark, folder)
+    for name, raw in [("exports", "lineitem"), ("shipments", "lineitem"), ("economy", "orders"), ("flows", "lineitem")]:
+        assert not any(raw in path for path in getattr(t, name).inputFiles())
+    exports = {(r.iso3, r.hs4): r.export_value for r in t.exports.collect()}
+    assert exports == {("N00", "2011"): 41.0, ("N01", "2011"): 82.0, ("N00", "4012"): 41.0, ("N01", "4012"): 82.0}
+    assert t.exports.columns == ["year", "iso3", "hs4", "export_value"]
+    shipped = {(r.o, r.d, r.hs4): r.value for r in t.shipments.collect()}
+    assert shipped == {(o, d, p): v for p in ("2011", "4012") for o, d, v in [(0, 1, 10.25), (0, 2, 10.25), (1, 0, 20.5), (1, 2, 20.5)]}
+    assert {(r.iso3, r.gdp, r.population) for r in t.economy.collect()} == {("N01", 5.0, 1.0), ("N00", 7.0, 1.0), ("N02", 7.0, 1.0)}
